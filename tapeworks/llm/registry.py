@@ -2,13 +2,17 @@
 
 from tapeworks.llm.bpe import op1_bpe
 from tapeworks.llm.language_id import op3_language_id
+from tapeworks.llm.minhash import op9_minhash_near_dedup
 from tapeworks.llm.quality_classifier import op10_quality_classifier
 from tapeworks.llm.quality_rules import op6_quality_rules
+from tapeworks.llm.suffix_dedup import op7_suffix_dedup
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_language_id": op3_language_id,
     "op6_quality_rules": op6_quality_rules,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
 SQL: dict[str, str] = {}
