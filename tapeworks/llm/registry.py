@@ -6,13 +6,17 @@ from tapeworks.llm.minhash import op9_minhash_near_dedup
 from tapeworks.llm.quality_classifier import op10_quality_classifier
 from tapeworks.llm.quality_rules import op6_quality_rules
 from tapeworks.llm.suffix_dedup import op7_suffix_dedup
+from tapeworks.llm.warc import OP4_SQL, op4_warc
+from tapeworks.llm.wavelet import op5_token_ids
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_language_id": op3_language_id,
+    "op4_warc": op4_warc,
+    "op5_token_ids": op5_token_ids,
     "op6_quality_rules": op6_quality_rules,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_warc": OP4_SQL}
