@@ -1,10 +1,13 @@
-"""Corpus pipeline: quality rules, near-duplicates, repeated passages, benchmark leaks, token ids."""
+"""Corpus pipeline: quality rules, near-duplicates, repeated passages, benchmark leaks, token ids.
+
+Each stage reads all that the one before has kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tapeworks.llm import quality_rules
+from tapeworks.llm import bpe, decontaminate, minhash, quality_rules, suffix_dedup
 from tapeworks.llm.common import table, written
 
 
@@ -13,7 +16,39 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
-STAGES = [("quality rules", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, similarity of 0.8 or more), the document of least doc_id."""
+    kept = minhash.near_duplicates(docs, shingle=5, percent=80).where("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of strings of 100 bytes that also start earlier; what is cut through of a character goes
+    with them. n_chars follows the text; documents stay, even those left without a text."""
+    cut = suffix_dedup.remove_repeats(docs).where("n_removed > 0").select("doc_id", F.col("kept_text").alias("_text"))
+    text = F.coalesce("_text", "text")
+    changed = {"text": text} | ({"n_chars": F.when(F.col("_text").isNull(), F.col("n_chars")).otherwise(F.length("_text").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
+    return docs.join(cut, "doc_id", "left").withColumns(changed).select(*docs.columns)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a leak of `benchmark`."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and decoded text of each document."""
+    return bpe.encode_documents(docs, with_ids=False)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("MinHash near-dedup", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_leaks),
+    ("BPE encoding and decoding", token_ids),
+]
+#: No SQL can express compression bands, MinHash, suffix arrays, latent retrieval or BPE.
 ORACLE_SQL = None
 
 

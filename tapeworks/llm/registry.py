@@ -1,6 +1,8 @@
 """The queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
 from tapeworks.llm.bpe import op1_bpe
+from tapeworks.llm.decontaminate import op2_decontaminate
+from tapeworks.llm.html_extract import op8_html_extract
 from tapeworks.llm.language_id import op3_language_id
 from tapeworks.llm.minhash import op9_minhash_near_dedup
 from tapeworks.llm.quality_classifier import op10_quality_classifier
@@ -11,11 +13,13 @@ from tapeworks.llm.wavelet import op5_token_ids
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_decontaminate": op2_decontaminate,
     "op3_language_id": op3_language_id,
     "op4_warc": op4_warc,
     "op5_token_ids": op5_token_ids,
     "op6_quality_rules": op6_quality_rules,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_html_extract": op8_html_extract,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
