@@ -3,12 +3,18 @@
 1. Each text becomes the set of its word shingles (64-bit hashes); `HASHES` universal hashes give its minima; `ROWS`
    minima make a band. Documents of equal sets fall together by a 128-bit digest of the set: from there on each set
    goes by its smallest doc_id.
-2. Sets that share a band share a bucket. A bucket's hub is the member that shares most buckets with others; each
-   member is compared with the hub of each of its buckets (a star, not all pairs), on the full sets.
+2. Sets that share a band share a bucket. A bucket's hub is the member that shares most buckets with others; each member
+   is compared with its bucket's hub (a star, not all pairs), on the full sets. What is within `NEAR` of its hub leaves the
+   bucket; what is left has another such round, `STARS` rounds in all.
 3. The confirmed links' components come from alternating large-star and small-star.
-4. Buckets that still hold several components: every pair of members in different components whose signatures agree
-   in at least `LEAST_AGREE` of the places is compared on the full sets too. Buckets are cut into blocks of `BLOCK` members;
-   a task takes a pair of blocks. Members of one component need no more comparison: a link there would change nothing.
+4. Members of one hub that stand in different components are compared through it. Each is kept as what it lacks of the
+   hub's set and has beyond it; x and y of such differences, with weights w (100 for each lacking shingle, `percent` for each
+   one beyond), are linked if and only if w(x) + w(y) <= (100 - percent) * |hub| + (100 + percent) * |what their
+   differences share|. A member in the hub's component needs no partner there, so only the others look for some, by an inverted
+   index of the differences: exact, and no pair is emitted but one link for each component. By the triangle inequality
+   of Jaccard distances, every pair of a bucket of which one has left is found so.
+5. Buckets that still hold several members after all rounds, which are hardly alike, give pairs whose signatures agree in
+   `LEAST_AGREE` of the places, unless one component has both; these are compared on the full sets too.
 
 A pair at the threshold of 0.8 is missed with probability (1 - 0.8 ** ROWS) ** BANDS = 5e-8. Nothing is capped.
 
@@ -32,6 +38,9 @@ HASHES = BANDS * ROWS
 #: 0.8 less 4.5 standard deviations of the agreement of HASHES minima.
 LEAST_AGREE = 0.64
 BLOCK = 1024
+#: Jaccard distance from the hub within which a member leaves its bucket, and rounds of hubs.
+NEAR, STARS = 0.3, 2
+SEEKERS, HELD = 1024, 4096
 MOST_WORDS = 400_000
 _rng = np.random.Generator(np.random.PCG64(20240229))
 A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -108,28 +117,104 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return spread(texts(docs), "doc_id").mapInArrow(sign, "doc_id long, n_shingles long, set_id binary, bands array<long>, sig binary")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of distinct pairs (a, b), those whose full sets are linked."""
+def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     a, b = (docs.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+    return pairs.join(b, "b").join(a, "a")
 
-    def compare(batches):
-        import pyarrow as pa
 
-        shingles, last, held = Shingles(k), None, None
-        for batch in batches:
-            out = []
-            for x, y, tx, ty in zip(*(batch.column(c).to_pylist() for c in ("a", "b")), *(batch.column(c).cast("binary").to_pylist() for c in ("ta", "tb"))):
-                if x != last:
-                    last, held = x, shingles(tx)
-                if linked(held, shingles(ty), percent):
-                    out.append((x, y))
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
+def _sets(batches, k: int):
+    """a, b and their sets, some megabytes of text at a time."""
+    shingles, last, held = Shingles(k), None, None
+    for batch in blocks(batches, 8_000_000, "tb"):
+        for x, y, tx, ty in zip(*(batch.column(c).to_pylist() for c in ("a", "b")), *(batch.column(c).cast("binary").to_pylist() for c in ("ta", "tb"))):
+            if x != last:
+                last, held = x, shingles(tx)
+            yield x, y, held, shingles(ty)
 
-    def small(batches):  # a few megabytes at a time cross into Python, however long the texts are
-        for batch in blocks(batches, 8_000_000, "tb"):
-            yield batch
 
-    return pairs.join(b, "b").join(a, "a").mapInArrow(lambda it: compare(small(it)), "a long, b long")
+def _batches(rows, names, types, size: int = 2000):
+    """Record batches of what an iterator of rows gives."""
+    import pyarrow as pa
+    from itertools import batched
+
+    for part in batched(rows, size):
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*part), types)], names=names)
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of distinct pairs (a, b), those whose full sets are linked."""
+    import pyarrow as pa
+
+    def compare(batches):
+        yield from _batches(((x, y) for x, y, s, t in _sets(batches, k) if linked(s, t, percent)), ["a", "b"], [pa.int64()] * 2)
+
+    return _with_texts(pairs, docs).mapInArrow(compare, "a long, b long")
+
+
+BEYOND = np.uint64(0xA5A5A5A5A5A5A5A5)
+
+
+def relations(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of pairs of a hub and a member (a, b) that are not too far apart for step 4: the hub's size, whether they are
+    linked, whether they are near, and the member's difference with its weight."""
+    import pyarrow as pa
+
+    far = NEAR + (100 - percent) / 100
+
+    def related(batches):
+        for x, y, s, t in _sets(batches, k):
+            both = np.intersect1d(s, t, assume_unique=True)
+            union = len(s) + len(t) - len(both)
+            if len(both) < (1 - far) * union - 1e-9:
+                continue
+            lacks, has = np.setdiff1d(s, both, assume_unique=True), np.setdiff1d(t, both, assume_unique=True)
+            weight = 100 * len(lacks) + percent * len(has)
+            yield x, y, len(s), 100 * len(both) >= percent * union, len(both) >= (1 - NEAR) * union, weight, np.concatenate([lacks, has ^ BEYOND]).tobytes()
+
+    names, types = ["a", "b", "size", "linked", "near", "weight", "diff"], [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.binary()]
+    return _with_texts(pairs, docs).mapInArrow(lambda it: _batches(related(it), names, types, 500), "a long, b long, size long, linked boolean, near boolean, weight long, diff binary")
+
+
+def through_hubs(related: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of one hub that stand in different components (step 4)."""
+    import pyarrow as pa
+
+    comp = lambda node: found.select(F.col("node").alias(node), F.col("component").alias(f"c{node}"))
+    rows = related.select("a", "b", "size", "weight", "diff").join(comp("b"), "b", "left").join(comp("a"), "a", "left")
+    rows = rows.withColumns({"cb": F.coalesce("cb", "b"), "ca": F.coalesce("ca", "a")}).withColumn("seeks", F.col("ca") != F.col("cb"))
+    counts = rows.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.count_if("seeks").alias("u")).where("u > 0 and n > 1")
+    blocks_of = {"mi": F.ceil(F.col("u") / SEEKERS).cast("int"), "mj": F.ceil(F.col("n") / HELD).cast("int")}
+    rows = rows.join(counts, "a").withColumns(blocks_of)
+    side = lambda many, n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(many)
+    own = lambda one, n: F.pmod(F.xxhash64("b"), F.col(n)).cast("int").alias(one)
+    keep = ["a", "b", "cb", "size", "weight", "diff"]
+    held = rows.select(*keep, own("j", "mj"), side("i", "mi")).withColumn("seeks", F.lit(False))
+    seekers = rows.where("seeks").select(*keep, own("i", "mi"), side("j", "mj")).withColumn("seeks", F.lit(True))
+
+    def match(group):
+        seeks = group.column("seeks").to_numpy(zero_copy_only=False)
+        ids, comps, weight = (group.column(c).to_numpy() for c in ("b", "cb", "weight"))
+        diffs = [np.frombuffer(x, np.uint64) for x in group.column("diff").to_pylist()]
+        size = group.column("size")[0].as_py()
+        rest, at = np.flatnonzero(~seeks), []
+        out = set()
+        if len(rest):
+            element = np.concatenate([diffs[r] for r in rest])
+            owner = np.repeat(np.arange(len(rest)), [len(diffs[r]) for r in rest])
+            order = np.argsort(element, kind="stable")
+            element, owner = element[order], owner[order]
+            for r in np.flatnonzero(seeks):
+                lo, hi = np.searchsorted(element, diffs[r], "left"), np.searchsorted(element, diffs[r], "right")
+                n = hi - lo
+                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                shared = np.bincount(owner[at], minlength=len(rest))
+                good = (weight[r] + weight[rest] <= (100 - percent) * size + (100 + percent) * shared) & (comps[rest] != comps[r])
+                _, first = np.unique(comps[rest][good], return_index=True)
+                out |= {(min(x, int(ids[r])), max(x, int(ids[r]))) for x in ids[rest][good][first].tolist()}
+        pairs = sorted(out)
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+    return held.unionByName(seekers).groupBy("a", "i", "j").applyInArrow(match, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -177,27 +262,43 @@ def cross_pairs(members: DataFrame) -> DataFrame:
     return dealt.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
 
 
+def shared_buckets(pool: DataFrame) -> DataFrame:
+    """key, id, n of the buckets (key, id) that hold several members, one of those with the same members."""
+    several = pool.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("x"), F.max("id").alias("y"), F.sum(F.pmod(F.xxhash64("id"), F.lit(1 << 31))).alias("z")).where("n > 1")
+    once = several.groupBy("n", "x", "y", "z").agg(F.min("key").alias("key")).select("key", "n")
+    return written(pool.join(once, "key"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id of those reachable by links of `percent` or more), kept."""
     signed = written(signatures(docs, shingle))
     full = signed.where("n_shingles > 0 and doc_id is not null")
     sets = written(full.groupBy("set_id").agg(F.min("doc_id").alias("id")))
     unique = full.select(F.col("doc_id").alias("id"), "bands", "sig").join(sets.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    keyed = unique.select("id", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("x"), F.max("id").alias("y"), F.sum(F.pmod(F.xxhash64("id"), F.lit(1 << 31))).alias("z")).where("n > 1")
-    once = buckets.groupBy("n", "x", "y", "z").agg(F.min("key").alias("key")).select("key", "n")  # bands with the same members: one of them
-    members = written(keyed.join(once, "key"))
-    weight = members.groupBy("id").agg(F.sum(F.col("n") - 1).alias("weight"))
-    hubs = members.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("hub"))
-    pairs = members.join(hubs, "key").where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    ids = members.select(F.col("id").alias("doc_id")).distinct()
-    bodies = written(texts(docs).join(ids, "doc_id").dropDuplicates(["doc_id"]))
-    links = written(confirm(pairs, bodies, shingle, percent))
+    pool = unique.select("id", F.explode("bands").alias("key"))
+    bodies, related = None, None
+    for _ in range(STARS):
+        members = shared_buckets(pool)
+        if bodies is None:
+            bodies = written(texts(docs).join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]))
+        weight = members.groupBy("id").agg(F.sum(F.col("n") - 1).alias("weight"))
+        hubs = members.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("a"))
+        stars = written(members.join(hubs, "key").where("id != a").select("key", "a", F.col("id").alias("b")))
+        now = written(relations(stars.select("a", "b").distinct(), bodies, shingle, percent))
+        related = now if related is None else related.unionByName(now)
+        pool = written(stars.join(now.where("near").select("a", "b"), ["a", "b"], "left_anti").select("key", F.col("b").alias("id")))
+        if pool.isEmpty():
+            break
+    related = related.dropDuplicates(["a", "b"])
+    links = written(related.where("linked").select("a", "b"))
     found = components(links)
-    placed = members.where("n > 2").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-    open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    rest = written(cross_pairs(placed.join(open_, "key", "left_semi").join(unique.select("id", "sig"), "id")))
-    more = written(confirm(rest, bodies, shingle, percent))
+    more = written(through_hubs(related, found, percent))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        found = components(links)
+    rest = shared_buckets(pool).join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    pairs = written(cross_pairs(rest.join(unique.select("id", "sig"), "id")))
+    more = written(confirm(pairs, bodies, shingle, percent))
     if not more.isEmpty():
         found = components(links.unionByName(more))
     of_set = sets.join(found.withColumnRenamed("node", "id"), "id", "left").select("set_id", F.coalesce("component", "id").alias("component"))
