@@ -127,7 +127,7 @@ class Scorer:
         slot, n = grams(words)
         total = np.zeros((len(words), len(self.model["langs"])), np.float32)
         some = n > 0
-        if some.any():
+        if some.any() and self.model["langs"]:
             begin = (np.cumsum(n) - n)[some]
             sums = np.add.reduceat(self.model["rate"][slot], begin, axis=0)
             count = np.fromiter(map(letters, words), np.int64, len(words))
@@ -226,7 +226,7 @@ def label(docs: DataFrame, model: dict, with_spans: bool = True) -> DataFrame:
                 names.append("spans")
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return docs.mapInArrow(find, schema)
+    return docs.withColumn("text", F.coalesce("text", F.lit(""))).mapInArrow(find, schema)
 
 
 def training_rows(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:

@@ -24,7 +24,7 @@ from tapeworks.llm.common import Ids, blocks, mixed, spread, table, texts
 
 SIZE = 1 << 18
 TRAIN_ROWS = 16_000
-EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.3, 1.0, 1e-4, 1e-4
+EPOCHS, ALPHA, BETA, L1, L2 = 6, 0.5, 1.0, 1e-4, 1e-4
 MOST_WORDS = 400_000
 _RUNS = ((re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[0-9]+"), b"0"))
 
@@ -135,7 +135,7 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3) -> DataF
             p = 1 / (1 + np.exp(-np.clip(np.array(sums), -35, 35)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*kept, "score", "predicted"])
 
-    return docs.mapInArrow(rate, schema)
+    return docs.withColumn("text", F.coalesce("text", F.lit(""))).mapInArrow(rate, schema)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
