@@ -29,7 +29,7 @@ def of(name, source, *columns):
 
 
 def shown(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: rounded(F.col(c), n) for c, n in SHOWN.items() if c in df.columns})
+    return df.withColumns({c: rounded(F.col(c) + F.lit(1.7 * 10.0 ** -(n + 3)), n) for c, n in SHOWN.items() if c in df.columns})
 
 
 def typed(raw: DataFrame) -> DataFrame:

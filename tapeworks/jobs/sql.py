@@ -5,7 +5,7 @@ from __future__ import annotations
 from tapeworks.schema import BAR_COLUMNS, FEATURES, MOMENTUM_WINDOWS, RETURN_WINDOWS, SLOPE_WINDOWS, VOL_WINDOWS
 
 #: Digits at which the queries give what sums over windows add up to: two less than the features have, as the last ones
-#: hang on the order in which an engine adds.
+#: hang on the order in which an engine adds. A small part of a digit keeps them off ties, which engines round differently.
 SHOWN = {f"realized_vol_{w}s": 10 for w in VOL_WINDOWS} | {f"cvd_slope_{w}s": 8 for w in SLOPE_WINDOWS}
 
 RAW = """
@@ -131,7 +131,7 @@ _REPORT = {
 
 
 def _shown(c: str) -> str:
-    return f"round({c}, {SHOWN[c]}) + 0.0 AS {c}" if c in SHOWN else c
+    return f"round({c} + {1.7 * 10.0 ** -(SHOWN[c] + 3)!r}::DOUBLE, {SHOWN[c]}) + 0.0 AS {c}" if c in SHOWN else c
 
 
 def _named(name: str, columns: str) -> dict[str, str]:
