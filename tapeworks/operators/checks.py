@@ -150,10 +150,10 @@ def baseline_summary(df: DataFrame, columns: list[str] | None = None) -> DataFra
         (drift(df, columns).where(~F.col("stable")), "unstable_features"),
         (correlated_pairs(df, columns), "redundant_pairs"),
     ]
-    out = df.sparkSession.range(1).select(F.lit(len(columns)).cast("long").alias("features_analyzed"))
+    rows = df.sparkSession.range(1).select(F.lit("features_analyzed").alias("k"), F.lit(len(columns)).cast("long").alias("n"))
     for d, name in one:
-        out = out.join(d.agg(F.count(F.lit(1)).alias(name)), how="cross")  # one row each
-    return out
+        rows = rows.unionByName(d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("k"), "n"))
+    return rows.agg(*[F.max(F.when(F.col("k") == k, F.col("n"))).alias(k) for k in ["features_analyzed", *(name for _, name in one)]])
 
 
 def returns_sanity(df: DataFrame) -> DataFrame:
