@@ -13,13 +13,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Paths handed out since `watch()`, for those who know when they are done with.
+_watched: list[str] | None = None
+
+
+def watch() -> list[str]:
+    """From now on scratch paths are noted in the list that this returns, until `_watched` is set anew."""
+    global _watched
+    _watched = []
+    return _watched
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path under spark.checkpoint.dir; where that is unset (tests), under a folder of this machine."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="spark-llm-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    if _watched is not None:
+        _watched.append(path)
+    return path
 
 
 def written(df: DataFrame, by: list[str] | None = None) -> DataFrame:
