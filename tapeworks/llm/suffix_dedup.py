@@ -318,7 +318,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = groups = 4 * partitions
+    buckets = groups = partitions
     found, grouped = removed_runs(texts(docs), buckets, groups)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.string()] * with_text
