@@ -25,7 +25,7 @@ from tapeworks.llm.common import Ids, blocks, scratch, table, texts
 SHARD = 1 << 20
 BLOCK = 512
 END_ID = 2
-MOST_WORDS = 600_000
+MOST_WORDS = 400_000
 SCHEMA = "part int, shard int, first long, doc_ids array<long>, lengths array<int>, n long, planes int, matrix binary"
 
 
@@ -140,52 +140,60 @@ class WaveletMatrix:
 
 
 class Encoder:
-    """The tokenizers library, asked once for each stretch between white space: its words never cross white space, so a
-    text's ids are those of its stretches. Texts with the file's special tokens or with separators that Python alone
-    takes for white space go to the library whole."""
+    """The BPE model of the tokenizers library, asked once for each word. Words are found as the file's normalizer and
+    pre-tokenizer find them, in stretches between white space; numbers of stretches and words are kept between texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        from tapeworks.llm.bpe import NOT_SPACE
+        from tapeworks.llm.bpe import WordBPE, byte_symbols
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = NOT_SPACE
+        tokenizer = Tokenizer.from_file(path)
+        self.model, self.finder, self.symbols = tokenizer.model, WordBPE(path), byte_symbols()
+        self.special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         self._new()
 
     def _new(self):
         from tapeworks.llm.bpe import Ragged
 
-        self.ids, self.rows = Ids(), Ragged(np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        self.ids, self.words = Ids(), Ids()
+        self.rows, self.word_rows = (Ragged(np.zeros(0, np.uint32), np.zeros(0, np.int64)) for _ in range(2))
 
-    def _whole(self, many: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(many, add_special_tokens=False)]
+    def _word(self, word: str) -> list[int]:
+        if word in self.special:
+            return [self.special[word]]
+        return [t.id for t in self.model.tokenize("".join([self.symbols[b] for b in word.encode()]))]
 
     def __call__(self, many: list[str]) -> list[np.ndarray]:
         from itertools import islice
 
         if len(self.ids) > MOST_WORDS:
             self._new()
-        known, get = len(self.ids), self.ids.__getitem__
-        odd = [i for i, t in enumerate(many) if self.odd.search(t) or any(s in t for s in self.special)]
-        skip = set(odd)
+        known, known_words, get = len(self.ids), len(self.words), self.ids.__getitem__
         rows = []
-        for i, t in enumerate(many):
-            w = [] if i in skip else t.split()
+        for t in many:
+            w = self.finder.cut(t)
             rows.append(np.fromiter(map(get, w), np.int32, len(w)))
-        new = list(islice(self.ids, known, None))
-        if new:
-            got = self._whole(new)
-            self.rows.extend(np.array([x for ids in got for x in ids], np.uint32), np.array([len(x) for x in got], np.int64))
+        pieces = [self.finder.pieces(c) for c in islice(self.ids, known, None)]
+        if pieces:
+            within = np.fromiter((self.words[w] for ws in pieces for w in ws), np.int64)
+            got = [self._word(w) for w in islice(self.words, known_words, None)]
+            self.word_rows.extend(np.fromiter((x for ids in got for x in ids), np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
+            flat, bounds = self.word_rows.take(within)
+            self.rows.extend(flat, np.diff(bounds[np.cumsum([0, *map(len, pieces)])]))
         flat, bounds = self.rows.take(np.concatenate(rows) if rows else np.zeros(0, np.int32))
         upto = bounds[np.cumsum([0, *map(len, rows)])]
-        out = [flat[a:b] for a, b in zip(upto[:-1], upto[1:])]
-        for i, ids in zip(odd, self._whole([many[i] for i in odd])):
-            out[i] = np.array(ids, np.uint32)
-        return out
+        return [flat[a:b] for a, b in zip(upto[:-1], upto[1:])]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each Python worker and file."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, shard: int = SHARD, end_id: int = END_ID) -> None:
@@ -198,7 +206,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, shard
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer), TaskContext.get().partitionId()
         doc_ids, held, size, first, number = [], [], 0, 0, 0
 
         def full():
