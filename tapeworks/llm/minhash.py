@@ -119,7 +119,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     a, b = (docs.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
-    return pairs.join(b, "b").join(a, "a")
+    return pairs.hint("merge").join(b, "b").join(a.hint("merge"), "a")  # texts: neither side has a bound
 
 
 def _sets(batches, k: int):
@@ -280,7 +280,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     for _ in range(STARS):
         members = shared_buckets(pool)
         if bodies is None:
-            bodies = written(texts(docs).join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]))
+            bodies = written(texts(docs).join(members.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id").dropDuplicates(["doc_id"]))
         weight = members.groupBy("id").agg(F.sum(F.col("n") - 1).alias("weight"))
         hubs = members.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("a"))
         stars = written(members.join(hubs, "key").where("id != a").select("key", "a", F.col("id").alias("b")))
@@ -289,7 +289,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         pool = written(stars.join(now.where("near").select("a", "b"), ["a", "b"], "left_anti").select("key", F.col("b").alias("id")))
         if pool.isEmpty():
             break
-    related = related.dropDuplicates(["a", "b"])
     links = written(related.where("linked").select("a", "b"))
     found = components(links)
     more = written(through_hubs(related, found, percent))
