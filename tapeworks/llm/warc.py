@@ -1,7 +1,7 @@
 """WARC archives as a chunked record table.
 
-An archive is a Parquet table of rows (segment, record_id, chunk_no, data, digest): the `data` of a record's chunks, one
-after another, are the bytes of a WARC/1.1 record; chunk 0 is its header, the last holds the two empty lines. A payload
+An archive is a Parquet table of rows (record_id, page_id, copy, chunk_no, data, digest): the `data` of a record's chunks,
+one after another, are zstandard frames of a WARC/1.1 record; chunk 0 is its header, the last holds the two empty lines. A payload
 of any size is written as chunks of `CHUNK` bytes and read back a chunk at a time; no writer or reader holds a whole
 record. `digest` is carried from chunk to chunk: SHA-1 of the digest before and the chunk's own SHA-1, so a lost,
 changed or swapped chunk is found when it is read.
@@ -23,7 +23,7 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tapeworks.llm.common import scratch, table
+from tapeworks.llm.common import scratch, table, written
 
 CHUNK = 1 << 16
 SCHEMA = "record_id string, page_id long, copy long, chunk_no int, data binary, digest binary"
@@ -64,6 +64,9 @@ def write_archive(pages: DataFrame, path: str, least: int = 0, chunk: int = CHUN
 
     def write(batches):
         import pyarrow as pa
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=6).compress
 
         def batch_of(rows):
             cols = list(zip(*rows))
@@ -84,7 +87,7 @@ def write_archive(pages: DataFrame, path: str, least: int = 0, chunk: int = CHUN
                 for n, (a, b) in enumerate(parts):
                     data = header(kind, page, url or "", body, digest, refers, len(payload)) if n == 0 else b"\r\n\r\n" if a < 0 else bytes(payload[a:b])
                     carried = chained(carried, data)
-                    hold.append((name, page, copy, n, data, carried))
+                    hold.append((name, page, copy, n, squeeze(data), carried))
                     size += len(data)
                     if size > 4_000_000:
                         yield batch_of(hold)
@@ -93,50 +96,79 @@ def write_archive(pages: DataFrame, path: str, least: int = 0, chunk: int = CHUN
             yield batch_of(hold)
 
     numbered = records(pages, least).withColumn("copy", F.monotonically_increasing_id())
-    numbered.mapInArrow(write, SCHEMA).write.option("compression", "zstd").parquet(path)
+    numbered.mapInArrow(write, SCHEMA).write.option("compression", "none").parquet(path)
+
+
+FIELDS = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "cut"]
+READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, cut long"
+
+
+def _parsed(head: bytes, sha, size: int) -> tuple:
+    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:] if x)
+    number = lambda x: int(m) if (m := x.rpartition(":")[2].rstrip(">")) else None
+    kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
+    if kind == "response" and (b32(sha.digest()) != digest or size != int(fields["Content-Length"])):
+        raise ValueError(f"the payload of {fields['WARC-Record-ID']} isn't what its header says")
+    refers = number(fields["WARC-Refers-To"]) if kind == "revisit" else None
+    return number(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), int(fields["X-Payload-Length"]), digest, kind, refers, None
+
+
+def follow(rows, whole: bool):
+    """Records of chunk rows (copy, chunk_no, data, digest) as they come, one chunk in memory: a row for each record that
+    comes whole and in order, and the number (`cut`) of each that doesn't; with `whole` that is an error."""
+    import zstandard
+
+    expand = zstandard.ZstdDecompressor().decompress
+    now, head, sha, size, carried, part = None, b"", None, 0, b"", 0
+    for copy, n, data, digest in rows:
+        if copy != now:
+            if part:
+                yield (None,) * 6 + (now,)
+            now, head, sha, size, carried, part = copy, b"", hashlib.sha1(), 0, b"", 0
+        data = expand(data)
+        carried = chained(carried, data)
+        if n != part or carried != digest:
+            if whole:
+                raise ValueError(f"chunk {part} of record {copy} is missing or changed")
+            part = -1  # what follows of it fits no more
+            continue
+        part += 1
+        if n == 0:
+            head = data
+        elif data == b"\r\n\r\n" and size == _length(head):
+            yield _parsed(head, sha, size)
+            part = 0
+        else:
+            sha.update(data)
+            size += len(data)
+    if part:
+        yield (None,) * 6 + (now,)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to of every record, each read chunk by chunk in
-    order; the carried digests, a response's length and its payload's digest are checked."""
-    import pyarrow as pa
+    order; the carried digests, a response's length and its payload's digest are checked.
 
-    def read(batches):
-        out, now, head, sha, size, carried, part = [], None, None, None, 0, b"", 0
+    A first pass reads files as they lie, without a shuffle. The few records that a split of the input cuts, two for each
+    split at most, are then gathered and read in order."""
+    import pyarrow as pa
+    from itertools import batched
 
-        def parsed():
-            fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:] if x)
-            number = lambda x: int(m) if (m := x.rpartition(":")[2].rstrip(">")) else None
-            kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
-            if kind == "response" and (b32(sha.digest()) != digest or size != int(fields["Content-Length"])):
-                raise ValueError(f"the payload of {fields['WARC-Record-ID']} isn't what its header says")
-            refers = number(fields["WARC-Refers-To"]) if kind == "revisit" else None
-            return number(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), int(fields["X-Payload-Length"]), digest, kind, refers
+    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
 
-        def batch_of(rows):
-            types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+    def reader(whole):
+        def read(batches):
+            rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("copy", "chunk_no", "data", "digest"))))
+            for part in batched(follow(rows, whole), 5000):
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*part), types)], names=FIELDS)
 
-        for batch in batches:
-            for copy, n, data, digest in zip(*(batch.column(c).to_pylist() for c in ("copy", "chunk_no", "data", "digest"))):
-                if copy != now:
-                    now, head, sha, size, carried, part = copy, data, hashlib.sha1(), 0, b"", 0
-                carried = chained(carried, data)
-                if n != part or carried != digest:
-                    raise ValueError(f"chunk {part} of record {copy} is missing or changed")
-                part += 1
-                if n and data == b"\r\n\r\n" and size == _length(head):
-                    out.append(parsed())
-                elif n:
-                    sha.update(data)
-                    size += len(data)
-            if out:
-                yield batch_of(out)
-                out = []
+        return read
 
     chunks = spark.read.schema(SCHEMA).parquet(path).select("copy", "chunk_no", "data", "digest")
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return chunks.repartition("copy").sortWithinPartitions("copy", "chunk_no").mapInArrow(read, schema)
+    first = written(chunks.mapInArrow(reader(False), READ))
+    cut = first.where("cut is not null").select(F.col("cut").alias("copy")).distinct()
+    again = chunks.join(F.broadcast(cut), "copy").repartition("copy").sortWithinPartitions("copy", "chunk_no").mapInArrow(reader(True), READ)
+    return first.where("cut is null").unionByName(again).drop("cut")
 
 
 def _length(head: bytes) -> int:
