@@ -25,7 +25,7 @@ from tapeworks.llm.common import Ids, blocks, scratch, table, texts
 SHARD = 1 << 20
 BLOCK = 512
 END_ID = 2
-MOST_WORDS = 400_000
+MOST_WORDS = 1_200_000
 SCHEMA = "part int, shard int, first long, doc_ids array<long>, lengths array<int>, n long, planes int, matrix binary"
 
 
