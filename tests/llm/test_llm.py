@@ -14,6 +14,7 @@ from tapeworks.llm import bpe, decontaminate, html_extract, language_id, minhash
 from tapeworks.llm.common import scratch, table
 
 SF = "/root/testdata/sf0.001"
+LARGE = "/root/testdata/sf0.1"
 DOCS = T.StructType([T.StructField(c, t) for c, t in (("doc_id", T.LongType()), ("text", T.StringType()), ("lang", T.StringType()), ("source", T.StringType()), ("n_chars", T.LongType()))])
 WORDS = [a + b + c for a in ("ta", "re", "mo", "li") for b in ("n", "st", "b", "rk", "w") for c in ("e", "or", "ing", "a", "us", "ey")]
 
@@ -308,3 +309,22 @@ def test_pipeline(spark):
         out = stage(spark, docs, SF)
         assert out.columns == columns and 0 < out.count() <= docs.count(), name
     assert set(P.run(spark, SF).columns) >= {"doc_id", "n_tokens"}
+
+
+def test_decontaminate_large_benchmark(spark):
+    """Verbatim copies of items of 15 to 59 words, among a benchmark of thousands, against a search for every item's words."""
+    rng = random.Random(5)
+    texts = [r.text for r in table(spark, LARGE, "documents").where("length(text) > 1500").orderBy("doc_id").limit(1500).collect()]
+    words = [w for t in texts for w in t.split()]
+    real = [r.text for r in table(spark, LARGE, "benchmark").orderBy("item_id").collect()]
+    items = real + [" ".join(rng.choice(words) for _ in range(rng.randrange(15, 60))) for _ in range(2000 - len(real))]
+    for d, i in enumerate(i for i in range(len(real)) for _ in range(3)):
+        at = texts[d].split()
+        k = rng.randrange(len(at))
+        texts[d] = " ".join(at[:k] + items[i].split() + at[k:])
+    plain = lambda t: " " + " ".join(re.findall(r"\w+", t.lower())) + " "
+    whole = [plain(t) for t in texts]
+    brute = {(d, i) for i, x in enumerate(map(plain, items)) for d, t in enumerate(whole) if x in t}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    by_length = collections.Counter((len(items[i].split()) // 10 * 10, (d, i) in got) for d, i in brute)
+    assert len(brute) >= 3 * len(real) and brute <= got, sorted(by_length.items())
