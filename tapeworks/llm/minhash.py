@@ -16,7 +16,8 @@
 5. Buckets that still hold several members after all rounds, which are hardly alike, give pairs whose signatures agree in
    `LEAST_AGREE` of the places, unless one component has both; these are compared on the full sets too.
 
-A pair at the threshold of 0.8 is missed with probability (1 - 0.8 ** ROWS) ** BANDS = 5e-8. Nothing is capped.
+A pair at the threshold of 0.8 is missed with probability (1 - 0.8 ** ROWS) ** BANDS = 5e-8 in the bands; one left for step 5
+fails `LEAST_AGREE` with probability 8.7e-6 besides. No bucket is capped.
 
 Null and empty texts have an empty set and are linked with nothing (component_id is doc_id); a text of fewer words than a
 shingle has its whole sequence as the one shingle. Rows of equal doc_id count as one document for links. An empty table
