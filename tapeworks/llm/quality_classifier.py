@@ -1,14 +1,18 @@
 """Quality classifier: hashed word n-grams, logistic regression by follow-the-regularised-leader, sparse dot products.
 
-Features of a text are hashed into `SIZE` slots: each word (letters in lower case), each pair of neighbouring words, and
-pairs of the words' shapes (runs of letters, digits and each other character; a word equal to the one before it has a
-shape of its own). A slot's value is log(1 + count), over the Euclidean length of all of them.
+Features of a text are hashed into `SIZE` slots, in two blocks: words (letters in lower case) and pairs of neighbouring
+words; the words' shapes (runs of letters, digits and each other character; a word equal to the one before it has a shape
+of its own) and pairs of shapes. A slot's value is log(1 + count), over the Euclidean length of its block, so that words never
+seen in training don't drown the shapes, which all languages share.
 
-Training is one pass order over at most `TRAIN_ROWS` labelled rows, those with the least xxhash64(doc_id); the bound
-keeps the training's single task and the broadcast of the ids of one size however large the corpus is. Scoring reads
-every text. A null or empty text has no feature, so its score is that of the intercept. Several labels of a document
+Training takes `EPOCHS` turns, in a fixed shuffled order, over at most `TRAIN_ROWS` labelled rows, those with the least
+xxhash64(doc_id); the bound keeps a training task and the broadcast of the ids of one size however large the corpus is.
+`FOLDS` more models, each trained without one part of these rows, score that part; on these scores a slope and an offset
+are fitted (Platt's calibration), which the weights then hold. Scoring reads every text.
+
+A null or empty text has no feature, so its score is that of the intercept. Several labels of a document
 count as the least of them; repeated rows give repeated results; without any label the score is 0.5; an empty table
-gives an empty table; other columns are ignored.
+gives an empty table; a row of a null doc_id is scored and never learned from; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -23,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tapeworks.llm.common import Ids, blocks, mixed, spread, table, texts
 
 SIZE = 1 << 18
-TRAIN_ROWS = 16_000
+TRAIN_ROWS, FOLDS = 16_000, 3
 EPOCHS, ALPHA, BETA, L1, L2 = 6, 0.5, 1.0, 1e-4, 1e-4
 MOST_WORDS = 400_000
 _RUNS = ((re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[0-9]+"), b"0"))
@@ -60,10 +65,12 @@ class Features:
         s = np.where(np.r_[False, w[1:] == w[:-1]], np.uint64(7), s)
         pair = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] + np.uint64(1 << 40)
         shapes = s[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + s[1:] + np.uint64(2 << 40)
-        slots = (mixed(np.concatenate([h, pair, shapes, s + np.uint64(3 << 40)])) & np.uint64(SIZE - 1)).astype(np.int64)
-        slots, n = np.unique(slots, return_counts=True)
-        x = np.log1p(n).astype(np.float32)
-        return slots, x / np.sqrt((x * x).sum())
+        blocks = []
+        for keys in (np.concatenate([h, pair]), np.concatenate([s + np.uint64(3 << 40), shapes])):
+            slots, n = np.unique((mixed(keys) & np.uint64(SIZE - 1)).astype(np.int64), return_counts=True)
+            x = np.log1p(n).astype(np.float32)
+            blocks.append((slots, x / np.sqrt((x * x).sum())))
+        return np.concatenate([a for a, _ in blocks]), np.concatenate([x for _, x in blocks])
 
 
 class FTRL:
@@ -77,17 +84,46 @@ class FTRL:
         return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
     def learn(self, slots: np.ndarray, x: np.ndarray, y: int) -> None:
+        """A slot may come twice (once of each block); each is a step of its own from the same weights."""
         slots, x = np.append(slots, SIZE), np.append(x, 1.0)
         w = self.weights(slots)
         p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
         g = (p - y) * x
         n = self.n[slots]
-        self.z[slots] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / ALPHA * w
-        self.n[slots] = n + g * g
-
-
-def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
-    """Weights from labelled (doc_id, text, y): SIZE slots and the intercept."""
+        np.add.at(self.z, slots, g - (np.sqrt(n + g * g) - np.sqrt(n)) / ALPHA * w)
+        np.add.at(self.n, slots, g * g)
+
+
+def trained(rows: Iterable[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Weights after EPOCHS turns over (y, slots, x) in the order given."""
+    model, rows = FTRL(), list(rows)
+    for _ in range(EPOCHS):
+        for y, slots, x in rows:
+            model.learn(slots, x, y)
+    return model.weights()
+
+
+def calibration(sums: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic curve that fits y to out-of-fold sums best, with Platt's smoothed targets; by
+    Newton's method. Labels of one kind, or a slope that isn't positive, leave sums as they are."""
+    good, bad = int((y == 1).sum()), int((y == 0).sum())
+    if not good or not bad:
+        return 1.0, 0.0
+    target = np.where(y == 1, (good + 1) / (good + 2), 1 / (bad + 2))
+    a, at = np.c_[sums, np.ones(len(sums))], np.array([1.0, 0.0])
+    hold = np.diag([1e-3, 0.0])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a @ at, -35, 35)))
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + hold + 1e-6 * np.eye(2), a.T @ (p - target) + hold @ (at - (1, 0)))
+        at = at - np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-8:
+            break
+    return (float(at[0]), float(at[1])) if at[0] > 0 else (1.0, 0.0)
+
+
+def fit(labelled: DataFrame) -> np.ndarray:
+    """Calibrated weights from labelled (doc_id, text, y): SIZE slots and the intercept. The models are trained side by side,
+    a task for each."""
 
     def extract(batches):
         import pyarrow as pa
@@ -97,23 +133,31 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
             got = [features(t) for t in batch.column("text").cast("binary").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([a.astype("<i4").tobytes() for a, _ in got]), pa.array([b.tobytes() for _, b in got])], names=["doc_id", "y", "slots", "x"])
 
-    def train(batches):
+    def train(key, group):
         import pyarrow as pa
 
-        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "y", "slots", "x")))]
-        rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0] if r[0] is not None else -1, r[2]))
-        model = FTRL()
-        for _ in range(EPOCHS):
-            for _, y, slots, x in rows:
-                model.learn(np.frombuffer(slots, "<i4"), np.frombuffer(x, np.float32), y)
-        w = model.weights()
-        at = np.flatnonzero(w)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(w[at])], names=["slot", "w"])
+        left_out = key[0].as_py()  # FOLDS: none
+        rows = list(zip(*(group.column(c).to_pylist() for c in ("doc_id", "y", "slots", "x"))))
+        rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[2]))
+        fold = mixed(np.array([r[0] for r in rows], np.int64).view(np.uint64)) % np.uint64(FOLDS)
+        vectors = [(y, np.frombuffer(slots, "<i4"), np.frombuffer(x, np.float32)) for _, y, slots, x in rows]
+        w = trained(v for v, f in zip(vectors, fold) if f != left_out)
+        if left_out == FOLDS:
+            at = np.flatnonzero(w)
+            return pa.table({"y": pa.nulls(len(at), pa.int32()), "slot": pa.array(at.astype(np.int32)), "w": pa.array(w[at])})
+        out = [(y, float(w[slots] @ x + w[SIZE])) for (y, slots, x), f in zip(vectors, fold) if f == left_out]
+        return pa.table({"y": pa.array([y for y, _ in out], pa.int32()), "slot": pa.nulls(len(out), pa.int32()), "w": pa.array([z for _, z in out], pa.float64())})
 
     found = spread(labelled.select("doc_id", "text", "y"), "doc_id").mapInArrow(extract, "doc_id long, y int, slots binary, x binary")
+    models = F.explode(F.array(*map(F.lit, range(FOLDS + 1)))).alias("model")
+    got = found.select("*", models).groupBy("model").applyInArrow(train, "y int, slot int, w double").toArrow()  # SIZE + 1 + TRAIN_ROWS rows at most
+    y, slot, w = (got.column(c).to_numpy() for c in ("y", "slot", "w"))
+    scored = ~np.isnan(y.astype(float))
     weights = np.zeros(SIZE + 1)
-    for b in found.repartition(1).mapInArrow(train, "slot int, w double").toArrow().to_batches():  # SIZE + 1 rows at most
-        weights[b.column("slot").to_numpy()] = b.column("w").to_numpy()
+    weights[slot[~scored].astype(int)] = w[~scored]
+    slope, offset = calibration(w[scored], y[scored])
+    weights *= slope
+    weights[SIZE] += offset
     return weights
 
 
