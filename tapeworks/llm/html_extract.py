@@ -1,33 +1,42 @@
 """HTML extraction by wrapper induction.
 
-1. Each page is read into a DOM tree and folded: siblings (and the children of folded siblings) of one tag and class are
-   one node, in order of first appearance; a node keeps a hash of its direct text.
-2. Of each host's pages, the one whose folded tree has most nodes (ties: least page_id) is the host's exemplar.
-3. Each page of the host is aligned with it by simple tree matching: the largest set of node pairs of equal tag and class
-   that keeps parents and order. For each exemplar node, pages that have it and pages with its very text are counted, over
-   all pages of the host that aren't the exemplar's equals, as partial sums.
-4. A node found in `SUPPORT` pages or more, whose text is the same in `CONSTANT` of them, is template; other slots vary.
-5. A page's text is that of its articles (`article`, `main`, or a node whose role says so), or of its whole body where it
-   has none, without template slots outside articles, without boilerplate elements (menus, headers, footers, sidebars,
-   notices, adverts, forms, scripts, styles, comments: by tag, role, class and id) and without lists of links.
+1. Each page is read into a DOM tree and folded: block elements of one tag and class that stand side by side (or below folded
+   ones) are one node, in order of first appearance; a node keeps a hash and the length of each of its blocks' texts, in
+   which inline elements are text.
+2. Of each host's distinct trees, the one with most nodes (ties: the least tree) is the host's exemplar.
+3. Each distinct tree of the host is aligned with it by simple tree matching: the largest set of node pairs of equal tag and
+   class that keeps parents and order. For each exemplar node the trees that have it are counted, and for each
+   text in it the trees that have that text there, as partial sums.
+4. Constant text is template: what at least two trees, and `CONSTANT` of those that have the node, hold at one node. The rest
+   varies. From the root of the exemplar, the way leads down to the child that holds `MOST` of the varying text, as long as
+   there is one and no varying heading stands beside it: where it ends is the content slot. Below it, constant text is template only
+   on hosts of `SUPPORT` trees or more and never in a heading, as few pages may share a passage of their own.
+5. A page's text is that of its nodes that are aligned with the content slot, without template text. Varying elements in it that
+   are no part of an article go by what they are: menus, headers without a heading, footers, sidebars, forms, notices, adverts, reader
+   comments (`DROP_TAGS`, `DROP_ROLES`, `DROP_NAMES`).
+6. A page without such a slot (its host has one distinct tree, or it is not aligned with the slot) goes by element rules alone: the
+   text of its articles (`article`, `main`, or a node whose role says so), or of its body where it has none, less
+   boilerplate elements and lists of links.
 
 Blocks are joined in page order by one line feed; white space in a block is one space; character references are decoded.
 A null or empty html, or one without text, gives the empty text. Pages without host share one that is empty. Pages of any
-length are read whole, unclosed and stray tags are mended as browsers do in the main cases; repeated rows give
+length and depth are read whole, unclosed and stray tags are mended as browsers do in the main cases; repeated rows give
 repeated results; an empty table gives an empty table; other columns are ignored. A row of a null page_id is kept.
+Hosts with a large share of the pages are dealt out over several tasks.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-import zlib
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapeworks.llm.common import blocks, spread, table, written
 
-SUPPORT, CONSTANT, DEPTH = 5, 0.7, 24
+SUPPORT, CONSTANT, MOST = 5, 0.7, 0.9
+#: Pages of one host in a task, at least; hosts of more than this and more than a 2,000th of all pages are dealt out.
+HOT = 4096
 #: Names of elements and of classes.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template svg iframe xmp".split())
@@ -37,6 +46,8 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "td": {"tr", "
 P_SCOPE = {"article", "aside", "main", "section", "div", "td", "th", "li", "body", "html", "blockquote", "nav", "footer", "header", "form", "figure", "button", "table"}
 DROP_TAGS = set("head script style noscript template svg iframe nav aside footer form button select input textarea dialog menu object canvas audio video map title".split())
 DROP_NAMES = set("ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar widget related recommended share sharing social comment comments disqus replies footer header masthead login signup subscribe toolbar pagination pager skip".split())
+#: What may follow one of these names in a class or id that names a part of the page: comment-list, but not share-price.
+PARTS = set("area bar block body box button buttons container content form frame footer header inner item items link links list msg message notice panel popup row section slot text thread top unit widget wrap wrapper".split())
 DROP_ROLES = set("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -108,42 +119,67 @@ def signature(node: Node) -> str:
     return node.tag + "." + ".".join(sorted(node.attrs.get("class", "").split()))
 
 
+def split(node: Node) -> tuple[str, list[Node]]:
+    """A block's own text, its strings and those of inline elements in it; and the blocks in it. An inline element beside
+    blocks counts as a block."""
+    among = any(c.tag in BLOCK for c in node.children())
+    out, inner, stack = [], [], [(x, among) for x in reversed(node.items)]
+    while stack:
+        x, beside = stack.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif x.tag == "br":
+            out.append(" ")
+        elif x.tag in RAW or x.tag in VOID:
+            continue
+        elif x.tag in BLOCK or beside:
+            inner.append(x)
+        else:
+            stack += [(c, False) for c in reversed(x.items)]
+    return " ".join(entities.unescape("".join(out)).split()), inner
+
+
 class Folded:
-    """Like siblings as one node: what the alignment works on."""
+    """Like siblings as one node: what the alignment works on. texts: hash and length of each block's text."""
+
+    __slots__ = ("name", "nodes", "children", "texts", "number")
+
+    def __init__(self, name: str, nodes: list[Node], texts: list[tuple[int, int]]):
+        self.name, self.nodes, self.children, self.texts, self.number = name, nodes, [], texts, -1
+
 
-    __slots__ = ("name", "nodes", "children", "hash", "number")
+def text_hash(text: str) -> int:
+    from xxhash import xxh64_intdigest
 
-    def __init__(self, name: str, nodes: list[Node]):
-        self.name, self.nodes, self.children, self.number = name, nodes, [], -1
-        own = " ".join(" ".join(x.split()) for n in nodes for x in n.items if isinstance(x, str) and x.strip())
-        self.hash = zlib.crc32(own.encode()) if own else 0
+    return xxh64_intdigest(text.encode(errors="replace")) >> 1
 
 
 def fold(root: Node) -> list[Folded]:
     """All folded nodes in pre-order; the first is the root."""
-    top = Folded("#root.", [root])
-    out, stack = [], [(top, 0)]
+    top = Folded("#root.", [root], [])
+    out, stack = [], [top]
     while stack:
-        f, depth = stack.pop()
+        f = stack.pop()
         f.number = len(out)
         out.append(f)
-        if depth < DEPTH:
-            like: dict[str, list[Node]] = {}
-            for n in f.nodes:
-                for c in n.children():
-                    if c.tag not in RAW and c.tag not in VOID:
-                        like.setdefault(signature(c), []).append(c)
-            f.children = [Folded(k, v) for k, v in like.items()]
-            stack += [(c, depth + 1) for c in reversed(f.children)]
+        like: dict[str, list[Node]] = {}
+        for n in f.nodes:
+            words, inner = split(n)
+            if words:
+                f.texts.append((text_hash(words), len(words)))
+            for c in inner:
+                like.setdefault(signature(c), []).append(c)
+        f.children = [Folded(k, v, []) for k, v in like.items()]
+        stack += reversed(f.children)
     return out
 
 
 def packed(nodes: list[Folded]) -> str:
-    """A folded tree as text: a line for each node, with its depth, hash and name."""
+    """A folded tree as text: a line for each node, with its depth, its texts and its name."""
     lines, stack = [], [(nodes[0], 0)]
     while stack:
         f, d = stack.pop()
-        lines.append(f"{d} {f.hash} {f.name}")
+        lines.append(f"{d} {','.join(f'{h:x}:{n}' for h, n in f.texts)} {f.name}")
         stack += [(c, d + 1) for c in reversed(f.children)]
     return "\n".join(lines)
 
@@ -151,9 +187,9 @@ def packed(nodes: list[Folded]) -> str:
 def unpacked(text: str) -> list[Folded]:
     out, path = [], []
     for line in text.split("\n"):
-        depth, h, name = line.split(" ", 2)
-        f = Folded(name, [])
-        f.hash, f.number = int(h), len(out)
+        depth, words, name = line.split(" ", 2)
+        f = Folded(name, [], [(int(h, 16), int(n)) for h, _, n in (w.partition(":") for w in words.split(",") if w)])
+        f.number = len(out)
         out.append(f)
         del path[int(depth) :]
         if path:
@@ -162,51 +198,72 @@ def unpacked(text: str) -> list[Folded]:
     return out
 
 
-def matched(a: Folded, b: Folded) -> list[tuple[Folded, Folded]]:
-    """Simple tree matching: node pairs of the largest matching of two trees of the same name at the root."""
-
-    def match(x: Folded, y: Folded):
-        size = [[0] * (len(y.children) + 1) for _ in range(len(x.children) + 1)]
-        best = {}
-        for i, c in enumerate(x.children):
-            for j, d in enumerate(y.children):
-                size[i + 1][j + 1] = max(size[i][j + 1], size[i + 1][j])
-                if c.name == d.name:
-                    best[i, j] = match(c, d)
-                    size[i + 1][j + 1] = max(size[i + 1][j + 1], size[i][j] + len(best[i, j]))
-        pairs, i, j = [], len(x.children), len(y.children)
-        while i and j:
-            if size[i][j] == size[i - 1][j]:
-                i -= 1
-            elif size[i][j] == size[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                pairs += best[i, j]
-        return [(x, y), *pairs]
+def heaviest(places: list[int], weights: list[int]) -> list[int]:
+    """The rising subsequence of (distinct) places with the largest weight, as indices: sums of the best ending at or before
+    each place are kept in a Fenwick tree."""
+    order = {p: k + 1 for k, p in enumerate(sorted(places))}
+    tree, before, best = [(0, -1)] * (len(places) + 1), [], (0, -1)
+    for i, p in enumerate(places):
+        k, top = order[p] - 1, (0, -1)
+        while k:
+            top, k = max(top, tree[k]), k & (k - 1)
+        before.append(top[1])
+        now, k = (top[0] + weights[i], i), order[p]
+        best = max(best, now)
+        while k < len(tree):
+            tree[k], k = max(tree[k], now), k + (k & -k)
+    out, i = [], best[1]
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return out[::-1]
+
 
-    return match(a, b)
+def matched(a: Folded, b: Folded) -> list[tuple[Folded, Folded]]:
+    """Simple tree matching: node pairs of the largest matching of two trees of the same name at the root. As children of
+    a folded node have different names, each has one possible partner, so the pairs to be weighed are no more than the nodes."""
+    pairs, parent = [(a, b)], [-1]
+    for k, (x, y) in enumerate(pairs):  # grows
+        at = {c.name: c for c in y.children}
+        for c in x.children:
+            if c.name in at:
+                pairs.append((c, at[c.name]))
+                parent.append(k)
+    inside: list[list[int]] = [[] for _ in pairs]
+    for k, p in enumerate(parent):
+        if p >= 0:
+            inside[p].append(k)
+    size = [1] * len(pairs)
+    for k in range(len(pairs) - 1, -1, -1):
+        if inside[k]:
+            inside[k] = [inside[k][i] for i in heaviest([pairs[j][1].number for j in inside[k]], [size[j] for j in inside[k]])]
+            size[k] += sum(size[j] for j in inside[k])
+    out, stack = [], [0]
+    while stack:
+        k = stack.pop()
+        out.append(pairs[k])
+        stack += reversed(inside[k])
+    return out
 
 
 def boilerplate(node: Node, inside: bool) -> bool:
+    """Whether an element is, by what it is called, no part of an article. inside: it stands in the content."""
     if node.article and not (node.tag in ("article", "main") and inside):
         return False  # an article stands in it: an unclosed element around it doesn't take it away
     if node.tag in DROP_TAGS:
         return True
     if node.tag == "header":
         return not (inside and any(c.tag in HEADINGS for c in node.children()))
-    a = node.attrs
-    if not a:
-        return False
-    if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")) or a.get("role") in DROP_ROLES:
-        return True
-    if node.tag in HEADINGS or node.tag in ("body", "html", "p"):
-        return bool(node.tag == "p" and _named(a))
-    return _named(a)
+    return bool(node.attrs) and (node.attrs.get("role") in DROP_ROLES or node.tag not in HEADINGS | {"p", "body", "html"} and _named(node.attrs))
 
 
 def _named(a: dict) -> bool:
-    return bool(DROP_NAMES & set(re.split(r"[^a-z0-9]+", f"{a.get('class', '')} {a.get('id', '')}".lower())))
+    """A class or the id is one of DROP_NAMES, or one of these and then only PARTS."""
+    for token in f"{a.get('class', '')} {a.get('id', '')}".lower().split():
+        first, *rest = [x for x in re.split(r"[^a-z]+", token) if x] or [""]
+        if first in DROP_NAMES and PARTS.issuperset(x for x in rest if x not in DROP_NAMES):
+            return True
+    return False
 
 
 def links_only(node: Node) -> bool:
@@ -228,8 +285,9 @@ def links_only(node: Node) -> bool:
     return links > 1
 
 
-def text_of(root: Node, template: set[int]) -> str:
-    """The page's text; template: ids of nodes whose direct text is the host's."""
+def text_of(root: Node, template: set[int] = frozenset(), content: list[Node] | None = None) -> str:
+    """The text of the content nodes, or by element rules that of the page; template: ids of blocks whose own text is the
+    host's."""
     out, block = [], []
 
     def flush():
@@ -238,31 +296,32 @@ def text_of(root: Node, template: set[int]) -> str:
             out.append(words)
         block.clear()
 
-    #: (item, in an article, leave: a block ends here)
-    stack = [(root, False, False)]
+    #: (item, in the content, its block's own text goes, leave: a block ends here)
+    stack = [(root, False, False, False)] if content is None else [(x, True, False, False) for x in reversed(content)]
+    tops = set(map(id, content or []))
     while stack:
-        x, inside, leave = stack.pop()
+        x, inside, gone, leave = stack.pop()
         if leave:
             flush()
             continue
         if isinstance(x, str):
-            block.append(x)
+            block.append("" if gone else x)
+            continue
+        if x.tag in RAW or x.tag in VOID - {"br", "hr"}:
             continue
-        if boilerplate(x, inside) or (not inside and not x.article and links_only(x)):
+        if id(x) not in tops and (boilerplate(x, inside) or (not inside and not x.article and links_only(x))):
             continue
         article = inside or x.tag in ("article", "main") or x.attrs.get("role") in ("article", "main")
         if x.tag in ("br", "hr"):
             block.append(" ")
-        if x.tag in BLOCK:
+        if x.tag in BLOCK or id(x) in tops:
             flush()
-            stack.append((None, False, True))
-        elif x.tag == "img":
-            continue
+            stack.append((None, False, False, True))
+            gone = False
+        gone = gone or id(x) in template
         # beside an article, only what leads to one
         items = x.items if article or not root.article else [c for c in x.items if isinstance(c, Node) and c.article]
-        if id(x) in template and not article:
-            items = [c for c in items if isinstance(c, Node)]
-        stack += [(c, article, False) for c in reversed(items)]
+        stack += [(c, article, gone, False) for c in reversed(items)]
     flush()
     return "\n".join(out)
 
@@ -274,48 +333,122 @@ def _arrow(rows, names, types):
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=names)
 
 
-def induce(pages: DataFrame) -> DataFrame:
-    """host, tree (its exemplar's folded tree) and same (for each node: 1 if it is template) for every host."""
+def votes(trees, model: list[Folded], held: dict[tuple[int, int], list[int]]) -> None:
+    """Add to held, by (exemplar node, text): trees that have the text there, and its length; under text -1, trees that have the node."""
+    for tree in trees:
+        for x, y in matched(unpacked(tree)[0], model[0]):
+            for h, n in {(-1, 0), *x.texts}:
+                held.setdefault((y.number, h), [0, n])[0] += 1
+
+
+def wrapper(tree: str, rows: list[tuple[int, int, int, int]]) -> tuple[int, list[int]]:
+    """The content slot's node number (-1: none) and the template, as node numbers and hashes in turn, from an exemplar and its
+    votes (node, text, trees, length)."""
+    model = unpacked(tree)
+    have = {node: n for node, h, n, _ in rows if h == -1}
+    total = max(have.values(), default=0)
+    if total < 2:
+        return -1, []
+    constant, mass = [], [0] * len(model)
+    for node, h, n, size in rows:
+        if h != -1:
+            if n >= 2 and n >= CONSTANT * have[node]:
+                constant.append((node, h))
+            else:
+                mass[node] += n * size
+    parent = [-1] * len(model)
+    for f in model:
+        for c in f.children:
+            parent[c.number] = f.number
+    last = list(range(len(model)))  # the last node below each one
+    own = list(mass)
+    for k in range(len(model) - 1, 0, -1):
+        element = Node(model[k].name.split(".")[0], {"class": model[k].name.partition(".")[2].replace(".", " ")})
+        if boilerplate(element, False):
+            mass[k] = 0
+        mass[parent[k]] += mass[k]
+        last[parent[k]] = max(last[parent[k]], last[k])
+    at = 0
+    while mass[at] and model[at].name.split(".")[0] != "article":
+        heading = any(own[c.number] for c in model[at].children if c.name.split(".")[0] in HEADINGS)
+        best = max(model[at].children, key=lambda c: mass[c.number], default=None)
+        if heading or best is None or not best.children or mass[best.number] < MOST * mass[at]:
+            break
+        at = best.number
+    if not mass[at]:
+        return -1, []
+    inner = lambda node: at <= node <= last[at]
+    kept = [(k, h) for k, h in constant if not inner(k) or total >= SUPPORT and model[k].name.split(".")[0] not in HEADINGS]
+    return at, [x for pair in sorted(kept) for x in pair]
+
+
+def dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """rows with `deal`: 0, or for a hot host one of its numbers, by the page."""
+    return rows.join(F.broadcast(hot), "host", "left").withColumn("deal", F.pmod(F.xxhash64("id"), F.coalesce("deals", F.lit(1)))).drop("deals")
+
+
+def each_deal(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """A copy of rows for each `deal` of their host."""
+    return rows.join(F.broadcast(hot), "host", "left").withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("deals", F.lit(1)).cast("long") - 1))).drop("deals")
+
+
+def hot_hosts(pages: DataFrame) -> DataFrame:
+    """host, deals of hosts with more than HOT pages and more than a 2,000th of all: fewer than 2,000 rows."""
+    counts = written(pages.groupBy("host").agg(F.count(F.lit(1)).alias("n")))
+    most = max(HOT, (counts.agg(F.sum("n")).first()[0] or 0) // 2000)
+    return counts.where(F.col("n") > most).select("host", F.ceil(F.col("n") / most).alias("deals"))
+
+
+def induce(pages: DataFrame, hot: DataFrame) -> DataFrame:
+    """host, exemplar (its folded tree), slot and template of every host whose pages (id, host, html) have several trees."""
     import pyarrow as pa
 
     def skeletons(batches):
         for batch in blocks(batches, 2_000_000, "html"):
             rows = []
-            for i, host, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "host", "html"))):
+            for host, page in zip(*(batch.column(c).to_pylist() for c in ("host", "html"))):
                 nodes = fold(parse(page))
-                rows.append((i, host, len(nodes), packed(nodes)))
-            yield _arrow(rows, ["page_id", "host", "n", "tree"], [pa.int64(), pa.string(), pa.int32(), pa.string()])
+                rows.append((host, len(nodes), packed(nodes)))
+            yield _arrow(rows, ["host", "n", "tree"], [pa.string(), pa.int32(), pa.string()])
 
-    trees = written(spread(pages, "page_id").mapInArrow(skeletons, "page_id long, host string, n int, tree string"))
-    exemplar = trees.groupBy("host").agg(F.max_by("tree", F.struct("n", -F.col("page_id"), "tree")).alias("exemplar"))
+    # equal trees are one: a page's copies don't make its text constant
+    trees = pages.mapInArrow(skeletons, "host string, n int, tree string").withColumn("id", F.xxhash64("tree"))
+    trees = written(trees.groupBy("host", "id", F.xxhash64("tree", F.lit(1)).alias("id2")).agg(F.first("n").alias("n"), F.first("tree").alias("tree")))
+    exemplar = written(trees.groupBy("host").agg(F.max_by("tree", F.struct("n", "tree")).alias("exemplar"), F.count(F.lit(1)).alias("trees")).where("trees > 1"))
 
     def align(batches):
         held, last, model = {}, None, None
         for batch in batches:
             for host, tree, example in zip(*(batch.column(c).to_pylist() for c in ("host", "tree", "exemplar"))):
-                if tree == example:
-                    continue
                 if example != last:
                     last, model = example, unpacked(example)
-                counts = held.setdefault(host, {})
-                for x, y in matched(unpacked(tree)[0], model[0]):
-                    if y.hash:
-                        n = counts.setdefault(y.number, [0, 0])
-                        n[0] += 1
-                        n[1] += x.hash == y.hash
-            if len(held) > 20_000:
+                votes([tree], model, held.setdefault(host, {}))
+            if sum(map(len, held.values())) > 200_000:
                 yield from send(held)
                 held = {}
         yield from send(held)
 
     def send(held):
-        rows = [(host, k, n, same) for host, counts in held.items() for k, (n, same) in counts.items()]
-        yield _arrow(rows, ["host", "node", "n", "same"], [pa.string(), pa.int32(), pa.int64(), pa.int64()])
+        rows = [(host, k, h, n, size) for host, counts in held.items() for (k, h), (n, size) in counts.items()]
+        yield _arrow(rows, ["host", "node", "text", "n", "size"], [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()])
 
-    votes = trees.select("host", "tree").join(exemplar, "host").mapInArrow(align, "host string, node int, n long, same long")
-    template = votes.groupBy("host", "node").agg(F.sum("n").alias("n"), F.sum("same").alias("same")).where((F.col("n") >= SUPPORT) & (F.col("same") >= CONSTANT * F.col("n")))
-    nodes = template.groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("template"))  # at most the exemplar's nodes
-    return exemplar.join(nodes, "host")
+    def decide(batches):
+        for batch in batches:
+            rows = []
+            for host, tree, found in zip(*(batch.column(c).to_pylist() for c in ("host", "exemplar", "found"))):
+                slot, template = wrapper(tree, [(r["node"], r["text"], r["n"], r["size"]) for r in found])
+                rows.append((host, tree, slot, template))
+            yield _arrow(rows, ["host", "exemplar", "slot", "template"], [pa.string(), pa.string(), pa.int32(), pa.list_(pa.int64())])
+
+    pair = dealt(trees.select("host", "id", "tree"), hot).join(each_deal(exemplar.select("host", "exemplar"), hot), ["host", "deal"])
+    counted = pair.mapInArrow(align, "host string, node int, text long, n long, size long").groupBy("host", "node", "text").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
+    # what varies is gathered as one row for each node, what may be constant as it is: at most some texts for each node
+    have = counted.where("text = -1").select("host", "node", F.col("n").alias("have"))
+    told = counted.join(have, ["host", "node"]).withColumn("text", F.when((F.col("text") == -1) | (F.col("n") >= 2) & (F.col("n") >= CONSTANT * F.col("have")), F.col("text")))
+    few = told.groupBy("host", "node", "text").agg(F.sum(F.when(F.col("text").isNull(), F.col("n") * F.col("size")).otherwise(F.col("n"))).alias("n"), F.max("size").alias("size"))
+    row = F.struct("node", F.coalesce("text", F.lit(-2)).alias("text"), F.when(F.col("text").isNull(), F.lit(1)).otherwise(F.col("n")).alias("n"), F.when(F.col("text").isNull(), F.col("n")).otherwise(F.col("size")).alias("size"))
+    of_host = few.groupBy("host").agg(F.collect_list(row).alias("found"))
+    return exemplar.join(of_host, "host").select("host", "exemplar", "found").mapInArrow(decide, "host string, exemplar string, slot int, template array<long>").where("slot >= 0")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -323,28 +456,30 @@ def extract(pages: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[^:/?#]*:?//([^/?#:]*)", 1)), F.lit(""))
-    full = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("host", host)
-    wrappers = written(induce(full.select("page_id", "host", "html")))
+    full = spread(pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")), "page_id").withColumn("host", host)
+    hot = hot_hosts(full)
+    wrappers = written(induce(full.select("host", "html"), hot))
 
     def read(batches):
-        last, model = None, None
+        last, model, known = None, None, set()
         for batch in blocks(batches, 2_000_000, "html"):
             rows = []
-            for i, url, page, example, template in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "exemplar", "template"))):
-                root = parse(page)
-                fixed: set[int] = set()
-                if template:
-                    if example != last:
-                        last, model = example, unpacked(example)
-                    known = set(template)
+            for i, url, page, example, slot, template in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "exemplar", "slot", "template"))):
+                root, content, fixed = parse(page), None, set()
+                if example is not None:
+                    if (example, template) != last:
+                        last, model, known = (example, template), unpacked(example), set(zip(template[::2], template[1::2]))
                     for x, y in matched(fold(root)[0], model[0]):
-                        if y.number in known and x.hash == y.hash:
-                            fixed |= set(map(id, x.nodes))
-                text = text_of(root, fixed)
+                        if y.number == slot:
+                            content = x.nodes
+                        if known:
+                            fixed.update(id(n) for n in x.nodes if (y.number, text_hash(split(n)[0])) in known)
+                text = text_of(root, fixed, content)
                 rows.append((i, url, text, len(text)))
             yield _arrow(rows, ["page_id", "url", "text", "n_chars"], [pa.int64(), pa.string(), pa.string(), pa.int64()])
 
-    return spread(full, "page_id").join(wrappers, "host", "left").mapInArrow(read, "page_id long, url string, text string, n_chars long")
+    named = dealt(full.withColumn("id", F.coalesce("page_id", F.xxhash64("html"))), hot).drop("id")
+    return named.join(each_deal(wrappers, hot), ["host", "deal"], "left").mapInArrow(read, "page_id long, url string, text string, n_chars long")
 
 
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
