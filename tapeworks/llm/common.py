@@ -57,6 +57,26 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Rows of one key in a task, at least, before the key counts as hot.
+HOT = 4096
+
+
+def hot_keys(counts: DataFrame, key: str, hot: int = HOT) -> DataFrame:
+    """key, deals of the keys with more than `hot` rows and more than a 2,000th of all, from (key, n): fewer than 2,000 rows."""
+    most = max(hot, (counts.agg(F.sum("n")).first()[0] or 0) // 2000)
+    return counts.where(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("long").alias("deals"))
+
+
+def dealt(rows: DataFrame, hot: DataFrame, key: str, by) -> DataFrame:
+    """rows with `deal`: 0, or for a hot key one of its numbers, by the column `by`."""
+    return rows.join(F.broadcast(hot), key, "left").withColumn("deal", F.pmod(F.xxhash64(by), F.coalesce("deals", F.lit(1).cast("long")))).drop("deals")
+
+
+def each_deal(rows: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """A copy of rows for each `deal` of their key, to be joined with rows that are dealt."""
+    return rows.join(F.broadcast(hot), key, "left").withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("deals", F.lit(1).cast("long")) - 1))).drop("deals")
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, the text (null: empty) and `more`."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)

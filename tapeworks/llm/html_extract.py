@@ -32,11 +32,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tapeworks.llm.common import blocks, spread, table, written
+from tapeworks.llm.common import HOT, blocks, dealt, each_deal, hot_keys, spread, table, written
 
 SUPPORT, CONSTANT, MOST = 5, 0.7, 0.9
-#: Pages of one host in a task, at least; hosts of more than this and more than a 2,000th of all pages are dealt out.
-HOT = 4096
 #: Names of elements and of classes.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template svg iframe xmp".split())
@@ -382,23 +380,6 @@ def wrapper(tree: str, rows: list[tuple[int, int, int, int]]) -> tuple[int, list
     return at, [x for pair in sorted(kept) for x in pair]
 
 
-def dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """rows with `deal`: 0, or for a hot host one of its numbers, by the page."""
-    return rows.join(F.broadcast(hot), "host", "left").withColumn("deal", F.pmod(F.xxhash64("id"), F.coalesce("deals", F.lit(1)))).drop("deals")
-
-
-def each_deal(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """A copy of rows for each `deal` of their host."""
-    return rows.join(F.broadcast(hot), "host", "left").withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("deals", F.lit(1)).cast("long") - 1))).drop("deals")
-
-
-def hot_hosts(pages: DataFrame) -> DataFrame:
-    """host, deals of hosts with more than HOT pages and more than a 2,000th of all: fewer than 2,000 rows."""
-    counts = written(pages.groupBy("host").agg(F.count(F.lit(1)).alias("n")))
-    most = max(HOT, (counts.agg(F.sum("n")).first()[0] or 0) // 2000)
-    return counts.where(F.col("n") > most).select("host", F.ceil(F.col("n") / most).alias("deals"))
-
-
 def induce(pages: DataFrame, hot: DataFrame) -> DataFrame:
     """host, exemplar (its folded tree), slot and template of every host whose pages (id, host, html) have several trees."""
     import pyarrow as pa
@@ -440,7 +421,7 @@ def induce(pages: DataFrame, hot: DataFrame) -> DataFrame:
                 rows.append((host, tree, slot, template))
             yield _arrow(rows, ["host", "exemplar", "slot", "template"], [pa.string(), pa.string(), pa.int32(), pa.list_(pa.int64())])
 
-    pair = dealt(trees.select("host", "id", "tree"), hot).join(each_deal(exemplar.select("host", "exemplar"), hot), ["host", "deal"])
+    pair = dealt(trees.select("host", "id", "tree"), hot, "host", "id").join(each_deal(exemplar.select("host", "exemplar"), hot, "host"), ["host", "deal"])
     counted = pair.mapInArrow(align, "host string, node int, text long, n long, size long").groupBy("host", "node", "text").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
     # what varies is gathered as one row for each node, what may be constant as it is: at most some texts for each node
     have = counted.where("text = -1").select("host", "node", F.col("n").alias("have"))
@@ -457,7 +438,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[^:/?#]*:?//([^/?#:]*)", 1)), F.lit(""))
     full = spread(pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")), "page_id").withColumn("host", host)
-    hot = hot_hosts(full)
+    hot = written(hot_keys(written(full.groupBy("host").agg(F.count(F.lit(1)).alias("n"))), "host", HOT))
     wrappers = written(induce(full.select("host", "html"), hot))
 
     def read(batches):
@@ -478,8 +459,8 @@ def extract(pages: DataFrame) -> DataFrame:
                 rows.append((i, url, text, len(text)))
             yield _arrow(rows, ["page_id", "url", "text", "n_chars"], [pa.int64(), pa.string(), pa.string(), pa.int64()])
 
-    named = dealt(full.withColumn("id", F.coalesce("page_id", F.xxhash64("html"))), hot).drop("id")
-    return named.join(each_deal(wrappers, hot), ["host", "deal"], "left").mapInArrow(read, "page_id long, url string, text string, n_chars long")
+    named = dealt(full, hot, "host", F.coalesce("page_id", F.xxhash64("html")))
+    return named.join(each_deal(wrappers, hot, "host"), ["host", "deal"], "left").mapInArrow(read, "page_id long, url string, text string, n_chars long")
 
 
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

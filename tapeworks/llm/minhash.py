@@ -17,12 +17,14 @@
    `LEAST_AGREE` of the places, unless one component has both; these are compared on the full sets too.
 
 A pair at the threshold of 0.8 is missed with probability (1 - 0.8 ** ROWS) ** BANDS = 5e-8 in the bands; one left for step 5
-fails `LEAST_AGREE` with probability 8.7e-6 besides. No bucket is capped.
+fails `LEAST_AGREE` with probability 9e-9 besides. No bucket is capped; step 5 compares the signatures of all members of a bucket
+that are left, block by block over many tasks, so a large family that is alike but below the threshold costs its square.
+Hot buckets and hubs are dealt out over several tasks.
 
 Null and empty texts have an empty set and are linked with nothing (component_id is doc_id); a text of fewer words than a
-shingle has its whole sequence as the one shingle. Rows of equal doc_id count as one document for links. An empty table
-gives an empty table; other columns are ignored. Rows whose doc_id is null come out with n_shingles 0, a null component
-and kept true.
+shingle has its whole sequence as the one shingle. doc_id names a text: equal rows have equal results; where rows
+of one doc_id have different texts, each is counted and judged by its own, but links of all but one of them may be missed.
+An empty table gives an empty table; other columns are ignored. Rows whose doc_id is null take part in no link and come out with their set's size, a null component and kept true.
 """
 
 from __future__ import annotations
@@ -32,12 +34,12 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tapeworks.llm.common import Ids, blocks, mixed, spread, table, texts, written
+from tapeworks.llm.common import HOT, Ids, blocks, dealt, each_deal, hot_keys, mixed, spread, table, texts, written
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
-#: 0.8 less 4.5 standard deviations of the agreement of HASHES minima.
-LEAST_AGREE = 0.64
+#: 0.8 less 6.2 standard deviations of the agreement of HASHES minima.
+LEAST_AGREE = 0.58
 BLOCK = 1024
 #: Jaccard distance from the hub within which a member leaves its bucket, and rounds of hubs.
 NEAR, STARS = 0.3, 2
@@ -181,11 +183,14 @@ def through_hubs(related: DataFrame, found: DataFrame, percent: int) -> DataFram
     import pyarrow as pa
 
     comp = lambda node: found.select(F.col("node").alias(node), F.col("component").alias(f"c{node}"))
-    rows = related.select("a", "b", "size", "weight", "diff").join(comp("b"), "b", "left").join(comp("a"), "a", "left")
-    rows = rows.withColumns({"cb": F.coalesce("cb", "b"), "ca": F.coalesce("ca", "a")}).withColumn("seeks", F.col("ca") != F.col("cb"))
+    size = related.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    hot = written(hot_keys(written(size), "a", HOT))
+    hubs = size.select("a").join(comp("a"), "a", "left").withColumn("ca", F.coalesce("ca", "a"))
+    rows = dealt(related.select("a", "b", "size", "weight", "diff").join(comp("b"), "b", "left"), hot, "a", "b").join(each_deal(hubs, hot, "a"), ["a", "deal"])
+    rows = rows.withColumn("cb", F.coalesce("cb", "b")).withColumn("seeks", F.col("ca") != F.col("cb"))
     counts = rows.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.count_if("seeks").alias("u")).where("u > 0 and n > 1")
     blocks_of = {"mi": F.ceil(F.col("u") / SEEKERS).cast("int"), "mj": F.ceil(F.col("n") / HELD).cast("int")}
-    rows = rows.join(counts, "a").withColumns(blocks_of)
+    rows = rows.join(each_deal(counts, hot, "a"), ["a", "deal"]).withColumns(blocks_of)
     side = lambda many, n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(many)
     own = lambda one, n: F.pmod(F.xxhash64("b"), F.col(n)).cast("int").alias(one)
     keep = ["a", "b", "cb", "size", "weight", "diff"]
@@ -215,7 +220,8 @@ def through_hubs(related: DataFrame, found: DataFrame, percent: int) -> DataFram
         pairs = sorted(out)
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
-    return held.unionByName(seekers).groupBy("a", "i", "j").applyInArrow(match, "a long, b long")
+    # else Spark would keep the partitions by hub of the joins before
+    return held.unionByName(seekers).repartition("a", "i", "j").groupBy("a", "i", "j").applyInArrow(match, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -243,7 +249,7 @@ def cross_pairs(members: DataFrame) -> DataFrame:
     signatures agree well enough."""
     cut = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = cut.select("key", "id", "component", "sig", "block", other).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "component", "sig")
+    pairs = cut.select("key", "id", "component", "sig", "block", other).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "component", "sig")
 
     def compare(group):
         import pyarrow as pa
@@ -260,14 +266,16 @@ def cross_pairs(members: DataFrame) -> DataFrame:
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return dealt.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+    return pairs.repartition("key", "lo", "hi").groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
 
 
-def shared_buckets(pool: DataFrame) -> DataFrame:
-    """key, id, n of the buckets (key, id) that hold several members, one of those with the same members."""
-    several = pool.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("x"), F.max("id").alias("y"), F.sum(F.pmod(F.xxhash64("id"), F.lit(1 << 31))).alias("z")).where("n > 1")
+def shared_buckets(pool: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """key, id, n, deal of the buckets (key, id) that hold several members, one of those with the same members; and the hot
+    keys among them."""
+    several = written(pool.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("x"), F.max("id").alias("y"), F.sum(F.pmod(F.xxhash64("id"), F.lit(1 << 31))).alias("z")).where("n > 1"))
+    hot = written(hot_keys(several, "key", HOT))
     once = several.groupBy("n", "x", "y", "z").agg(F.min("key").alias("key")).select("key", "n")
-    return written(pool.join(once, "key"))
+    return written(dealt(pool, hot, "key", "id").join(each_deal(once, hot, "key"), ["key", "deal"])), hot
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -275,16 +283,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     signed = written(signatures(docs, shingle))
     full = signed.where("n_shingles > 0 and doc_id is not null")
     sets = written(full.groupBy("set_id").agg(F.min("doc_id").alias("id")))
-    unique = full.select(F.col("doc_id").alias("id"), "bands", "sig").join(sets.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    unique = full.select(F.col("doc_id").alias("id"), "set_id", "bands", "sig").join(sets, ["id", "set_id"], "left_semi").dropDuplicates(["id", "set_id"])
     pool = unique.select("id", F.explode("bands").alias("key"))
     bodies, related = None, None
     for _ in range(STARS):
-        members = shared_buckets(pool)
+        members, hot = shared_buckets(pool)
         if bodies is None:
-            bodies = written(texts(docs).join(members.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id").dropDuplicates(["doc_id"]))
+            bodies = written(texts(docs).join(members.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id").withColumn("same", F.xxhash64("text")).dropDuplicates(["doc_id", "same"]).drop("same"))
         weight = members.groupBy("id").agg(F.sum(F.col("n") - 1).alias("weight"))
         hubs = members.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("a"))
-        stars = written(members.join(hubs, "key").where("id != a").select("key", "a", F.col("id").alias("b")))
+        stars = written(members.join(each_deal(hubs, hot, "key"), ["key", "deal"]).where("id != a").select("key", "a", F.col("id").alias("b")))
         now = written(relations(stars.select("a", "b").distinct(), bodies, shingle, percent))
         related = now if related is None else related.unionByName(now)
         pool = written(stars.join(now.where("near").select("a", "b"), ["a", "b"], "left_anti").select("key", F.col("b").alias("id")))
@@ -296,7 +304,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     if not more.isEmpty():
         links = links.unionByName(more)
         found = components(links)
-    rest = shared_buckets(pool).join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    rest = shared_buckets(pool)[0].join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     pairs = written(cross_pairs(rest.join(unique.select("id", "sig"), "id")))
     more = written(confirm(pairs, bodies, shingle, percent))
     if not more.isEmpty():
