@@ -421,13 +421,18 @@ def induce(pages: DataFrame, hot: DataFrame) -> DataFrame:
                 rows.append((host, tree, slot, template))
             yield _arrow(rows, ["host", "exemplar", "slot", "template"], [pa.string(), pa.string(), pa.int32(), pa.list_(pa.int64())])
 
-    pair = dealt(trees.select("host", "id", "tree"), hot, "host", "id").join(each_deal(exemplar.select("host", "exemplar"), hot, "host"), ["host", "deal"])
+    pair = dealt(trees.select("host", "id", "tree"), hot, "host", "id").join(written(each_deal(exemplar.select("host", "exemplar"), hot, "host")), ["host", "deal"])
     counted = pair.mapInArrow(align, "host string, node int, text long, n long, size long").groupBy("host", "node", "text").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
-    # what varies is gathered as one row for each node, what may be constant as it is: at most some texts for each node
-    have = counted.where("text = -1").select("host", "node", F.col("n").alias("have"))
-    told = counted.join(have, ["host", "node"]).withColumn("text", F.when((F.col("text") == -1) | (F.col("n") >= 2) & (F.col("n") >= CONSTANT * F.col("have")), F.col("text")))
-    few = told.groupBy("host", "node", "text").agg(F.sum(F.when(F.col("text").isNull(), F.col("n") * F.col("size")).otherwise(F.col("n"))).alias("n"), F.max("size").alias("size"))
-    row = F.struct("node", F.coalesce("text", F.lit(-2)).alias("text"), F.when(F.col("text").isNull(), F.lit(1)).otherwise(F.col("n")).alias("n"), F.when(F.col("text").isNull(), F.col("n")).otherwise(F.col("size")).alias("size"))
+    # a text of one tree varies: these are added up first, as one row for each node
+    once = F.col("n") == 1
+    some = counted.groupBy("host", "node", F.when(~once | (F.col("text") == -1), F.col("text")).alias("text")).agg(F.sum("n").alias("n"), F.max("size").alias("size"), F.sum(F.col("n") * F.col("size")).alias("mass"))
+    some = written(some)
+    have = some.where("text = -1").select("host", "node", F.col("n").alias("have"))
+    told = dealt(some, hot, "host", F.coalesce("text", F.lit(0))).join(each_deal(have, hot, "host"), ["host", "node", "deal"])
+    told = told.withColumn("text", F.when((F.col("text") == -1) | (F.col("n") >= CONSTANT * F.col("have")), F.col("text")))
+    few = told.groupBy("host", "node", "text").agg(F.sum("n").alias("n"), F.max("size").alias("size"), F.sum("mass").alias("mass"))
+    varies = F.col("text").isNull()
+    row = F.struct("node", F.coalesce("text", F.lit(-2)).alias("text"), F.when(varies, 1).otherwise(F.col("n")).alias("n"), F.when(varies, F.col("mass")).otherwise(F.col("size")).alias("size"))
     of_host = few.groupBy("host").agg(F.collect_list(row).alias("found"))
     return exemplar.join(of_host, "host").select("host", "exemplar", "found").mapInArrow(decide, "host string, exemplar string, slot int, template array<long>").where("slot >= 0")
 
@@ -460,7 +465,7 @@ def extract(pages: DataFrame) -> DataFrame:
             yield _arrow(rows, ["page_id", "url", "text", "n_chars"], [pa.int64(), pa.string(), pa.string(), pa.int64()])
 
     named = dealt(full, hot, "host", F.coalesce("page_id", F.xxhash64("html")))
-    return named.join(each_deal(wrappers, hot, "host"), ["host", "deal"], "left").mapInArrow(read, "page_id long, url string, text string, n_chars long")
+    return named.join(written(each_deal(wrappers, hot, "host")), ["host", "deal"], "left").mapInArrow(read, "page_id long, url string, text string, n_chars long")
 
 
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
