@@ -15,6 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Paths handed out since `watch()`, for those who know when they are done with.
 _watched: list[str] | None = None
+#: All of them, for `clear()`.
+_paths: list[str] = []
 
 
 def watch() -> list[str]:
@@ -24,6 +26,12 @@ def watch() -> list[str]:
     return _watched
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete every scratch table of this process: results that read them can't be read any more."""
+    discard(spark, _paths)
+    _paths.clear()
+
+
 def discard(spark: SparkSession, paths: list[str]) -> None:
     """Delete scratch tables that nothing reads any more."""
     for p in paths:
@@ -32,12 +40,16 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path under spark.checkpoint.dir; where that is unset (tests), under a folder of this machine."""
+    """A new path under spark.checkpoint.dir. Where that is unset, a session on one machine (tests) gets a folder of it; on a
+    cluster that is an error, as executors don't share local folders."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-llm-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    _paths.append(path)
     if _watched is not None:
         _watched.append(path)
     return path
@@ -122,3 +134,17 @@ class Ids(dict):
     def __missing__(self, key):
         self[key] = n = len(self)
         return n
+
+
+def spark_hash(x: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of longs: XXH64 of eight bytes with seed 42, whose primes are fixed values."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turned(v, n):
+        return v << np.uint64(n) | v >> np.uint64(64 - n)
+
+    h = np.uint64(42 + 8) + p5 ^ turned(np.asarray(x, np.int64).view(np.uint64) * p2, 31) * p1
+    h = turned(h, 27) * p1 + p4
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    return (h ^ h >> np.uint64(32)).view(np.int64)

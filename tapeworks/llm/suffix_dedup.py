@@ -12,36 +12,44 @@ bucket of triggers sorts all windows of its entries as a suffix array (prefix do
 equal rank, taken in corpus order, give the other repeats. A trigger of more than `HOT` entries is not sorted in
 one bucket: its windows are dealt out by a 128-bit hash and compared by it.
 
+As every window lies in one phrase, windows of different phrases meet in the dictionary's suffix arrays alone: the parse
+only needs the corpus order of its entries' places, not a suffix array of its own.
+
 Corpus order is doc_id, then place. Blocks of documents compare within themselves first, so a bucket gets one row of an
-entry from each block at most. All decisions are taken on the input, never on what is left.
+entry from each block at most. All decisions are taken on the input, never on what is left. Buckets and groups of documents
+are as many as the input's bytes ask for, so what a task holds does not grow with the corpus.
 
-Null texts are empty; texts under LENGTH bytes are never touched; a row without doc_id is kept as it is. doc_id names a
-document: equal repeated rows give equal repeated results and don't count as copies of each other. Texts of any length
-are read whole. An empty table gives an empty table; other columns are ignored.
+Null texts are empty; texts under LENGTH bytes are never touched; a row without doc_id is kept as it is. Equal repeated rows are
+one document: they give equal repeated results and don't count as copies of each other. Rows of one doc_id with
+different texts are documents of their own, in the order of their texts' CRC. Texts of any length are read whole. An
+empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tapeworks.llm.common import blocks, mixed, table, texts, written
+from tapeworks.llm.common import blocks, mixed, spark_hash, table, texts, written
 
 LENGTH, GRAM = 100, 20
 SPAN = LENGTH - GRAM + 1
 HOT = 2000
 PIECE = 1 << 21
+#: Bytes of text for each bucket and for each group of documents.
+SHARE = 1 << 25
 PLACE_BITS = 24
 _PLACE = np.uint64((1 << PLACE_BITS) - 1)
 _rng = np.random.Generator(np.random.PCG64(7))
 BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASES = tuple(int(x) * 8 + 3 for x in _rng.integers(1 << 40, 1 << 60, 2))
-UNIT = np.dtype([("c1", "<u8"), ("c2", "<u4"), ("gram", "<u4"), ("doc", "<i8"), ("at", "<u4"), ("n", "u1")])
-RUN = np.dtype([("doc", "<i8"), ("at", "<u4"), ("n", "<u4")])
-ASK = np.dtype([("doc", "<i8"), ("at", "<u4"), ("n", "u1"), ("hot", "u1"), ("bucket", "<i4"), ("gram", "<u4")])
-PRINT = np.dtype([("f1", "<u8"), ("f2", "<u8"), ("doc", "<i8"), ("at", "<u4")])
+UNIT = np.dtype([("c1", "<u8"), ("c2", "<u4"), ("gram", "<u4"), ("doc", "<i8"), ("crc", "<u4"), ("at", "<u4"), ("n", "u1")])
+RUN = np.dtype([("doc", "<i8"), ("crc", "<u4"), ("at", "<u4"), ("n", "<u4")])
+ASK = np.dtype([("doc", "<i8"), ("crc", "<u4"), ("at", "<u4"), ("n", "u1"), ("hot", "u1"), ("bucket", "<i4"), ("gram", "<u4")])
+PRINT = np.dtype([("f1", "<u8"), ("f2", "<u8"), ("doc", "<i8"), ("crc", "<u4"), ("at", "<u4")])
 _powers: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -95,26 +103,27 @@ def triggers(buf: np.ndarray) -> np.ndarray:
 
 
 def pieces(doc_ids, raws):
-    """(buffer, doc ids, begins, ends, place of the buffer's text in its document) of at most about PIECE bytes; longer
+    """(doc ids, texts, CRCs of the whole texts, place of the texts in their documents) of at most about PIECE bytes; longer
     texts are cut with LENGTH - 1 bytes in common, so that each window lies in one piece."""
     hold, size = [], 0
     for i, raw in zip(doc_ids, raws):
         if i is None or len(raw) < LENGTH:
             continue
+        crc = zlib.crc32(raw)
         if len(raw) > PIECE:
             for at in range(0, len(raw) - LENGTH + 1, PIECE):
-                yield [i], [raw[at : at + PIECE + LENGTH - 1]], at
+                yield [i], [raw[at : at + PIECE + LENGTH - 1]], [crc], at
             continue
         if size + len(raw) > PIECE and hold:
-            yield [x for x, _ in hold], [x for _, x in hold], 0
+            yield *map(list, zip(*hold)), 0
             hold, size = [], 0
-        hold.append((i, raw))
+        hold.append((i, raw, crc))
         size += len(raw)
     if hold:
-        yield [x for x, _ in hold], [x for _, x in hold], 0
+        yield *map(list, zip(*hold)), 0
 
 
-def parse(ids: list[int], raws: list[bytes], shift: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def parse(ids: list[int], raws: list[bytes], crcs: list[int], shift: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The phrases of one piece and the buckets of their triggers."""
     buf = np.frombuffer(b"".join(raws), np.uint8)
     length = np.array([len(r) for r in raws])
@@ -131,31 +140,31 @@ def parse(ids: list[int], raws: list[bytes], shift: int, buckets: int) -> tuple[
     out = np.zeros(len(first), UNIT)
     h1, h2 = (Hashes(buf, b)(first, last + LENGTH) for b in BASES)
     out["c1"], out["c2"], out["gram"] = h1, (h2 >> np.uint64(32)).astype(np.uint32), (gram >> np.uint64(32)).astype(np.uint32)
-    out["doc"], out["at"], out["n"] = np.array(ids, np.int64)[d], first - (end - length)[d] + shift, last - first + 1
+    out["doc"], out["crc"], out["at"], out["n"] = np.array(ids, np.int64)[d], np.array(crcs, np.uint32)[d], first - (end - length)[d] + shift, last - first + 1
     return out, ((gram & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
 
 
-def repeats(keys: tuple[np.ndarray, ...], doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def repeats(keys: tuple[np.ndarray, ...], doc: np.ndarray, crc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows sorted by keys and corpus order, and which of them are not the first place of their key."""
-    order = np.lexsort((at, doc, *reversed(keys)))
+    order = np.lexsort((at, crc, doc, *reversed(keys)))
     same = np.ones(max(0, len(order) - 1), bool)
     for k in keys:
         same &= k[order][1:] == k[order][:-1]
     begin = np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(order)), 0)) if len(order) else order
     head = order[begin]
-    return order, (doc[order] != doc[head]) | (at[order] != at[head])
+    return order, (doc[order] != doc[head]) | (crc[order] != crc[head]) | (at[order] != at[head])
 
 
-def runs(doc: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+def runs(doc: np.ndarray, crc: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Runs of window starts, joined where they touch."""
-    order = np.lexsort((at, doc))
-    doc, at, stop = doc[order], at[order].astype(np.int64), (at[order].astype(np.int64) + n[order])
+    order = np.lexsort((at, crc, doc))
+    doc, crc, at, stop = doc[order], crc[order], at[order].astype(np.int64), (at[order].astype(np.int64) + n[order])
     out = np.zeros(0, RUN)
     if len(doc):
-        new = np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] > stop[:-1])]
+        new = np.r_[True, (doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1]) | (at[1:] > stop[:-1])]
         first = np.flatnonzero(new)
         out = np.zeros(len(first), RUN)
-        out["doc"], out["at"], out["n"] = doc[first], at[first], np.maximum.reduceat(stop, first) - at[first]
+        out["doc"], out["crc"], out["at"], out["n"] = doc[first], crc[first], at[first], np.maximum.reduceat(stop, first) - at[first]
     return out
 
 
@@ -171,7 +180,8 @@ def dealt(kind: str, rows: np.ndarray, groups: int):
 
 
 def group_of(doc: np.ndarray, groups: int) -> np.ndarray:
-    return (np.mod(doc, 1_000_003) % groups).astype(np.int64)
+    """As Spark deals them: pmod(xxhash64(doc_id), groups)."""
+    return np.mod(spark_hash(doc), groups)
 
 
 def joined(col, kind: np.dtype) -> np.ndarray:
@@ -205,21 +215,22 @@ def removed_runs(docs: DataFrame, buckets: int, groups: int) -> tuple[DataFrame,
     """Runs of repeated windows as (kind, grp, rows), and docs with their group."""
     import pyarrow as pa
 
-    grouped = docs.select("doc_id", "text", F.pmod(F.pmod("doc_id", F.lit(1_000_003)), F.lit(groups)).cast("int").alias("grp"))
+    by = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64(F.col("doc_id").cast("long")))
+    grouped = docs.select("doc_id", "text", F.pmod(by, F.lit(groups)).cast("int").alias("grp"))
 
     def cut(batches):
         for batch in blocks(batches, 4 * PIECE):
             rows, places = [], []
-            for ids, raws, shift in pieces(batch.column("doc_id").to_pylist(), batch.column("text").cast("binary").to_pylist()):
-                u, b = parse(ids, raws, shift, buckets)
+            for *piece, shift in pieces(batch.column("doc_id").to_pylist(), batch.column("text").cast("binary").to_pylist()):
+                u, b = parse(*piece, shift, buckets)
                 rows.append(u)
                 places.append(b)
             if not rows:
                 continue
             u, b = np.concatenate(rows), np.concatenate(places)
-            order, again = repeats((u["c1"], u["c2"]), u["doc"], u["at"])
+            order, again = repeats((u["c1"], u["c2"]), u["doc"], u["crc"], u["at"])
             found = u[order[again]]
-            out = [(buckets + g, x) for _, g, x in dealt("R", runs(found["doc"], found["at"], found["n"]), groups)]
+            out = [(buckets + g, x) for _, g, x in dealt("R", runs(found["doc"], found["crc"], found["at"], found["n"]), groups)]
             u, b = u[order[~again]], b[order[~again]]
             order = np.argsort(b, kind="stable")
             cuts = np.flatnonzero(np.r_[True, np.diff(b[order]) != 0])
@@ -229,16 +240,16 @@ def removed_runs(docs: DataFrame, buckets: int, groups: int) -> tuple[DataFrame,
     def look_up(key, part):
         bucket = key[0].as_py()
         if bucket >= buckets:
-            out = list(dealt("R", runs(*(joined(part.column("rows"), RUN)[c] for c in ("doc", "at", "n"))), groups))
+            out = list(dealt("R", runs(*(joined(part.column("rows"), RUN)[c] for c in ("doc", "crc", "at", "n"))), groups))
         else:
             u = joined(part.column("rows"), UNIT)
-            order, again = repeats((u["c1"], u["c2"]), u["doc"], u["at"])
+            order, again = repeats((u["c1"], u["c2"]), u["doc"], u["crc"], u["at"])
             found, u = u[order[again]], u[order[~again]]
-            out = list(dealt("R", runs(found["doc"], found["at"], found["n"]), groups))
+            out = list(dealt("R", runs(found["doc"], found["crc"], found["at"], found["n"]), groups))
             _, of, n = np.unique(u["gram"], return_inverse=True, return_counts=True)
             some = n[of] > 1
             ask = np.zeros(int(some.sum()), ASK)
-            for c in ("doc", "at", "n", "gram"):
+            for c in ("doc", "crc", "at", "n", "gram"):
                 ask[c] = u[c][some]
             ask["hot"], ask["bucket"] = n[of][some] > HOT, bucket
             out += dealt("Q", ask, groups)
@@ -247,23 +258,23 @@ def removed_runs(docs: DataFrame, buckets: int, groups: int) -> tuple[DataFrame,
     def fetch(key, part, asked):
         out = []
         ask = joined(asked.column("rows"), ASK)
-        texts_of = dict(zip(part.column("doc_id").to_pylist(), part.column("text").cast("binary").to_pylist()))
-        heads, bodies, prints = {}, {}, []
-        ask = ask[np.lexsort((ask["at"], ask["doc"]))]
+        asked_for = set(ask["doc"].tolist())
+        texts_of = {(i, zlib.crc32(x)): x for i, x in zip(part.column("doc_id").to_pylist(), part.column("text").cast("binary").to_pylist()) if i in asked_for}
+        prints = []
+        ask = ask[np.lexsort((ask["at"], ask["crc"], ask["doc"]))]
         hot = ask[ask["hot"] > 0]
         ask = ask[ask["hot"] == 0]
         order = np.argsort(ask["bucket"], kind="stable")
         for b, rows in _by(ask[order], "bucket"):
-            body = b"".join(texts_of[d][a : a + n - 1 + LENGTH] for d, a, n in zip(rows["doc"].tolist(), rows["at"].tolist(), rows["n"].tolist()))
+            body = b"".join(texts_of[d, c][a : a + n - 1 + LENGTH] for d, c, a, n in zip(*(rows[x].tolist() for x in ("doc", "crc", "at", "n"))))
             out.append((b, rows.tobytes(), body))
-        for d, rows in _by(hot, "doc"):
-            for a, n in zip(rows["at"].tolist(), rows["n"].tolist()):
-                buf = np.frombuffer(texts_of[d][a : a + n - 1 + LENGTH], np.uint8)
-                at = np.arange(n)
-                p = np.zeros(n, PRINT)
-                p["f1"], p["f2"] = (Hashes(buf, x)(at, at + LENGTH) for x in BASES)
-                p["doc"], p["at"] = d, a + at
-                prints.append(p)
+        for d, c, a, n in zip(*(hot[x].tolist() for x in ("doc", "crc", "at", "n"))):
+            buf = np.frombuffer(texts_of[d, c][a : a + n - 1 + LENGTH], np.uint8)
+            at = np.arange(n)
+            p = np.zeros(n, PRINT)
+            p["f1"], p["f2"] = (Hashes(buf, x)(at, at + LENGTH) for x in BASES)
+            p["doc"], p["crc"], p["at"] = d, c, a + at
+            prints.append(p)
         if prints:
             p = np.concatenate(prints)
             b = (p["f1"] % np.uint64(buckets)).astype(np.int64)
@@ -275,8 +286,8 @@ def removed_runs(docs: DataFrame, buckets: int, groups: int) -> tuple[DataFrame,
     def combine(key, part):
         if key[0].as_py() >= buckets:
             p = joined(part.column("rows"), PRINT)
-            order, again = repeats((p["f1"], p["f2"]), p["doc"], p["at"])
-            doc, at = p["doc"][order[again]], p["at"][order[again]]
+            order, again = repeats((p["f1"], p["f2"]), p["doc"], p["crc"], p["at"])
+            doc, crc, at = (p[x][order[again]] for x in ("doc", "crc", "at"))
         else:
             rows = joined(part.column("rows"), ASK)
             rank = suffix_ranks(np.frombuffer(b"".join(part.column("body").to_pylist()), np.uint8))
@@ -284,10 +295,10 @@ def removed_runs(docs: DataFrame, buckets: int, groups: int) -> tuple[DataFrame,
             begin = np.cumsum(n - 1 + LENGTH) - (n - 1 + LENGTH)
             inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             rank = rank[np.repeat(begin, n) + inner]
-            doc, at = np.repeat(rows["doc"], n), np.repeat(rows["at"].astype(np.int64), n) + inner
-            order, again = repeats((rank,), doc, at)
-            doc, at = doc[order[again]], at[order[again]]
-        return _out(list(dealt("R", runs(doc, at, np.ones(len(doc), np.int64)), groups)), ["kind", "grp", "rows"], [pa.string(), pa.int32(), pa.binary()])
+            doc, crc, at = np.repeat(rows["doc"], n), np.repeat(rows["crc"], n), np.repeat(rows["at"].astype(np.int64), n) + inner
+            order, again = repeats((rank,), doc, crc, at)
+            doc, crc, at = doc[order[again]], crc[order[again]], at[order[again]]
+        return _out(list(dealt("R", runs(doc, crc, at, np.ones(len(doc), np.int64)), groups)), ["kind", "grp", "rows"], [pa.string(), pa.int32(), pa.binary()])
 
     found = written(docs.mapInArrow(cut, "bucket int, rows binary").groupBy("bucket").applyInArrow(look_up, "kind string, grp int, rows binary"))
     asked = found.where("kind = 'Q'")
@@ -302,40 +313,42 @@ def _by(rows: np.ndarray, column: str):
         yield int(rows[column][a]), rows[a:b]
 
 
-def spans_of(rows: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+def spans_of(rows: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int]]]:
     """Bytes to remove of each document, as maximal runs."""
-    r = runs(rows["doc"], rows["at"], rows["n"].astype(np.int64) + LENGTH - 1)
-    out: dict[int, list[tuple[int, int]]] = {}
-    for d, a, n in zip(r["doc"].tolist(), r["at"].tolist(), r["n"].tolist()):
-        out.setdefault(d, []).append((a, a + n))
+    r = runs(rows["doc"], rows["crc"], rows["at"], rows["n"].astype(np.int64) + LENGTH - 1)
+    out: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for d, c, a, n in zip(*(r[x].tolist() for x in ("doc", "crc", "at", "n"))):
+        out.setdefault((d, c), []).append((a, a + n))
     return out
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with `with_text`, kept_text: the bytes that are left,
-    without the parts of characters that a removed run has cut through."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with `with_text`, text_crc (crc32 of the whole text) and kept_text:
+    the bytes that are left, without the parts of characters that a removed run has cut through."""
     import pyarrow as pa
 
     spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = groups = partitions
-    found, grouped = removed_runs(texts(docs), buckets, groups)
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.string()] * with_text
+    full = texts(docs)
+    size = full.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARE))
+    found, grouped = removed_runs(full, buckets, groups)
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text_crc", "kept_text"] * with_text
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.int64(), pa.string()] * with_text
 
     def drop(key, part, repeated):
         spans = spans_of(joined(repeated.column("rows"), RUN))
         out = []
         for i, raw in zip(part.column("doc_id").to_pylist(), part.column("text").cast("binary").to_pylist()):
-            cut = spans.get(i, [])
+            crc = zlib.crc32(raw)
+            cut = spans.get((i, crc), [])
             edges = [0, *(x for ab in cut for x in ab), len(raw)]
             left = [raw[a:b] for a, b in zip(edges[::2], edges[1::2])]
             kept = b"".join(left)
             row = (i, len(raw), len(raw) - len(kept), len(cut), hashlib.sha256(kept).hexdigest())
-            out.append((*row, "".join(x.decode(errors="ignore") for x in left)) if with_text else row)
+            out.append((*row, crc, "".join(x.decode(errors="ignore") for x in left)) if with_text else row)
         return _out(out, names, types)
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text_crc long, kept_text string" * with_text
     return grouped.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(drop, schema)
 
 

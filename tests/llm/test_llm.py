@@ -328,3 +328,29 @@ def test_decontaminate_large_benchmark(spark):
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
     by_length = collections.Counter((len(items[i].split()) // 10 * 10, (d, i) in got) for d, i in brute)
     assert len(brute) >= 3 * len(real) and brute <= got, sorted(by_length.items())
+
+
+def test_spark_hash(spark):
+    from tapeworks.llm.common import spark_hash
+
+    got = spark.range(-50, 50).selectExpr("id * 1234567890123 AS v").selectExpr("v", "xxhash64(v) AS h").collect()
+    assert spark_hash(np.array([r.v for r in got])).tolist() == [r.h for r in got]
+
+
+def test_suffix_dedup_of_one_id_and_of_none(spark, monkeypatch):
+    """Different texts of one doc_id are documents of their own, by CRC; rows without an id stay whole and count for none."""
+    monkeypatch.setattr(suffix_dedup, "SHARE", 500)
+    rng = random.Random(14)
+    shared = prose(rng, 40)
+    texts = [shared + prose(rng, 30), prose(rng, 10) + shared, prose(rng, 20) + shared, shared, shared]
+    ids = [2, 2, 1, None, None]
+    got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.remove_repeats(frame_of(spark, ids, texts)).collect())
+    order = sorted(range(3), key=lambda k: (ids[k], zlib.crc32(texts[k].encode())))
+    want = [(ids[k], n, gone, sha) for k, (n, gone, _, sha) in zip(order, brute_repeats([texts[k] for k in order]))]
+    want += [(None, len(shared), 0, hashlib.sha256(shared.encode()).hexdigest())] * 2
+    assert got == collections.Counter(want)
+    assert sum(r[2] > 100 for r in want) == 2
+
+
+def frame_of(spark, ids, texts):
+    return spark.createDataFrame([(i, t, "en", "s", 0) for i, t in zip(ids, texts)], DOCS)
