@@ -48,10 +48,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of strings of 100 bytes that also start earlier; what is cut through of a character goes
     with them. n_chars follows the text; documents stay, even those left without a text."""
-    cut = suffix_dedup.remove_repeats(docs).where("n_removed > 0").select("doc_id", F.col("kept_text").alias("_text")).dropDuplicates(["doc_id"])
+    cut = suffix_dedup.remove_repeats(docs).where("n_removed > 0").select("doc_id", F.col("text_crc").alias("_crc"), F.col("kept_text").alias("_text")).dropDuplicates(["doc_id", "_crc"])
     text = F.coalesce("_text", "text")
     changed = {"text": text} | ({"n_chars": F.when(F.col("_text").isNull(), F.col("n_chars")).otherwise(F.length("_text").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
-    return docs.join(cut, "doc_id", "left").withColumns(changed).select(*docs.columns)
+    return docs.withColumn("_crc", F.crc32(F.coalesce("text", F.lit("")))).join(cut, ["doc_id", "_crc"], "left").withColumns(changed).select(*docs.columns)
 
 
 @staged
@@ -78,9 +78,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written and read again before the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over `documents`, each written and read again before the next; what a stage has read goes when it is written."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for n, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
-        docs = written(docs) if n < len(STAGES) else docs
+        if n < len(STAGES):
+            kept = common.watch()
+            docs = written(docs)
+            common._watched = None
+            common.discard(spark, before)
+            before = kept
     return docs
