@@ -2,7 +2,7 @@
 
 Learned from labelled texts: for each language the log frequency of its words' character 1-, 2- and 3-grams, hashed into
 `SLOTS` slots, and the scripts that its letters belong to. A word (what stands between white space) is scored under each
-language by its grams' mean log frequency times its length, at most `MOST` apart; a language none of whose texts use the
+language by its grams' mean log frequency times its letters, at most `MOST` apart; a language none of whose texts use the
 word's script is no candidate. The best path over a text's words pays `PENALTY` for each change of language. The text's
 language is the one with most letters on the path (ties: the first by name), the score its share of the letters, and
 `spans` gives the path as runs of words.
@@ -27,10 +27,20 @@ PENALTY, MOST, NEVER = 12.0, 8.0, -40.0
 MOST_WORDS = 400_000
 #: Where a script's letters begin, by code point; each range ends where the next begins.
 SCRIPTS = (
-    (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"), (0x0700, "Other"),
-    (0x0900, "Devanagari"), (0x0980, "Bengali"), (0x0A00, "Other"), (0x0B80, "Tamil"), (0x0C00, "Other"), (0x0E00, "Thai"), (0x0E80, "Other"),
-    (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Other"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, "Other"), (0x2C60, "Latin"), (0x2C80, "Other"),
-    (0x3040, "Kana"), (0x3100, "Other"), (0x3400, "Han"), (0xA000, "Other"), (0xA720, "Latin"), (0xA800, "Other"), (0xAC00, "Hangul"), (0xD800, "Other"), (0xF900, "Han"), (0xFB00, "Latin"), (0xFB13, "Other"), (0x20000, "Han"),
+    (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"), (0x0700, "Syriac"),
+    (0x0750, "Arabic"), (0x0780, "Thaana"), (0x07C0, "Nko"), (0x0800, "Other"), (0x08A0, "Arabic"), (0x0900, "Devanagari"), (0x0980, "Bengali"),
+    (0x0A00, "Gurmukhi"), (0x0A80, "Gujarati"), (0x0B00, "Oriya"), (0x0B80, "Tamil"), (0x0C00, "Telugu"), (0x0C80, "Kannada"), (0x0D00, "Malayalam"),
+    (0x0D80, "Sinhala"), (0x0E00, "Thai"), (0x0E80, "Lao"), (0x0F00, "Tibetan"), (0x1000, "Myanmar"), (0x10A0, "Georgian"), (0x1100, "Hangul"),
+    (0x1200, "Ethiopic"), (0x13A0, "Cherokee"), (0x1400, "Canadian"), (0x1680, "Other"), (0x1780, "Khmer"), (0x1800, "Mongolian"), (0x18B0, "Canadian"),
+    (0x1900, "Other"), (0x1B00, "Balinese"), (0x1B80, "Sundanese"), (0x1BC0, "Other"), (0x1C80, "Cyrillic"), (0x1C90, "Georgian"), (0x1CC0, "Other"),
+    (0x1D00, "Latin"), (0x1F00, "Greek"), (0x2000, "Other"), (0x2C00, "Glagolitic"), (0x2C60, "Latin"), (0x2C80, "Coptic"), (0x2D00, "Georgian"),
+    (0x2D30, "Tifinagh"), (0x2D80, "Ethiopic"), (0x2DE0, "Cyrillic"), (0x2E00, "Other"), (0x2E80, "Han"), (0x2FE0, "Other"), (0x3005, "Han"),
+    (0x3008, "Other"), (0x3040, "Kana"), (0x3100, "Bopomofo"), (0x3130, "Hangul"), (0x3190, "Other"), (0x31A0, "Bopomofo"), (0x31C0, "Other"),
+    (0x31F0, "Kana"), (0x3200, "Other"), (0x3400, "Han"), (0x4DC0, "Other"), (0x4E00, "Han"), (0xA000, "Yi"), (0xA4D0, "Lisu"), (0xA500, "Vai"),
+    (0xA640, "Cyrillic"), (0xA6A0, "Other"), (0xA720, "Latin"), (0xA800, "Other"), (0xA980, "Javanese"), (0xA9E0, "Other"), (0xAB30, "Latin"),
+    (0xAB70, "Cherokee"), (0xABC0, "Other"), (0xAC00, "Hangul"), (0xD800, "Other"), (0xF900, "Han"), (0xFB00, "Latin"), (0xFB13, "Armenian"),
+    (0xFB1D, "Hebrew"), (0xFB50, "Arabic"), (0xFE00, "Other"), (0xFE70, "Arabic"), (0xFF00, "Latin"), (0xFF66, "Kana"), (0xFFA0, "Hangul"),
+    (0xFFE0, "Other"), (0x1B000, "Kana"), (0x1B170, "Other"), (0x20000, "Han"), (0x323B0, "Other"),
 )
 STARTS = [a for a, _ in SCRIPTS]
 NAMES = sorted({n for _, n in SCRIPTS})
@@ -131,7 +141,7 @@ class Scorer:
             begin = (np.cumsum(n) - n)[some]
             sums = np.add.reduceat(self.model["rate"][slot], begin, axis=0)
             count = np.fromiter(map(letters, words), np.int64, len(words))
-            total[some] = sums / n[some][:, None] * np.minimum(count[some], 24)[:, None]
+            total[some] = sums / n[some][:, None] * count[some][:, None]
             total[some] -= total[some].max(1, keepdims=True)
             total = np.maximum(total, -MOST)
             kind = np.fromiter(map(script, words), np.int64, len(words))
@@ -145,7 +155,7 @@ class Scorer:
         self.score, self.letters = np.concatenate([self.score, total]), np.concatenate([self.letters, count])
 
     def number(self, many: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.ids) > MOST_WORDS:
+        if len(self.ids) * max(4, len(self.model["langs"])) > 4 * MOST_WORDS:
             self.new()
         known = len(self.ids)
         get, rows = self.ids.__getitem__, []
@@ -165,7 +175,7 @@ def best_paths(score: np.ndarray, word: np.ndarray, bounds: np.ndarray, penalty:
     order = np.argsort(-length, kind="stable")
     begin, length = bounds[:-1][order], length[order]
     k = score.shape[1]
-    stays, best = np.zeros((len(word), k), bool), np.zeros(len(word), np.int8)
+    stays, best = np.zeros((len(word), k), bool), np.zeros(len(word), np.int32)
     live = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), side="left")  # texts longer than t
     v = np.zeros((len(length), k), np.float32)
     for t, n in enumerate(live.tolist()):
@@ -179,8 +189,8 @@ def best_paths(score: np.ndarray, word: np.ndarray, bounds: np.ndarray, penalty:
             x = np.maximum(x, change)
         v[:n] = x + score[word[at]]
         v[:n] -= v[:n].max(1, keepdims=True)  # the path does not change; sums stay small
-    path = np.zeros(len(word), np.int8)
-    now = v.argmax(1).astype(np.int8)
+    path = np.zeros(len(word), np.int32)
+    now = v.argmax(1).astype(np.int32)
     for t in range(len(live) - 1, -1, -1):
         n = live[t]
         at = begin[:n] + t
@@ -201,13 +211,13 @@ def label(docs: DataFrame, model: dict, with_spans: bool = True) -> DataFrame:
 
         langs = sent.value["langs"]
         scorer = Scorer(sent.value)
-        for batch in blocks(batches, 16_000_000):
+        for batch in blocks(batches, 64_000_000 // max(4, len(langs))):
             many = batch.column("text").to_pylist()
             word, bounds = scorer.number(many)
             del many
             n = len(bounds) - 1
             share = np.zeros((n, max(1, len(langs))))
-            path = np.zeros(len(word), np.int8)
+            path = np.zeros(len(word), np.int32)
             if langs and len(word):
                 path = best_paths(scorer.score, word, bounds)
                 of = np.repeat(np.arange(n), np.diff(bounds))
