@@ -1,9 +1,10 @@
 """Quality rules: word and line counts, then compression bands.
 
-Compression bands: zstandard's ratio (bytes before / bytes after) of the whole document and of each full chunk of
-`CHUNK` bytes. Text far above its length's band says the same thing again and again; text below it is random. A document
-is kept if its base rules pass, its whole ratio lies in the band of its length, and at most `MOST_BAD` of its full chunks
-lie outside the band of a chunk. Bands get wider for short texts, where the ratio says little.
+Compression bands: zstandard's ratio (bytes before / bytes after) of the whole document and, where it has `CHUNK` bytes or
+more, of each chunk of `CHUNK` bytes, the last one being what is left. Text far above its length's band says the same thing again and
+again; text below it is random. A document is kept if its base rules pass, its whole ratio lies in the band of its length,
+and at most `MOST_BAD` of its chunks lie outside the band of a chunk (for the last one, that of its length). Bands get wider
+for short texts, where the ratio says little.
 
 A null text counts as the empty text, has no words and fails the base rules. Texts of any length are read whole; repeated
 rows give repeated results; an empty table gives an empty table; other columns are ignored.
@@ -67,19 +68,24 @@ def base_rules(raw: bytes) -> tuple[int, int, int, int, int, bool]:
 
 
 def compression(raw: bytes, squeeze) -> tuple[float, int, int, bool]:
-    """Ratio of the whole text, full chunks, those outside their band, and the verdict."""
+    """Ratio of the whole text, chunks, those outside their band, and the verdict."""
     if not raw:
         return 0.0, 0, 0, False
     ratio = len(raw) / len(squeeze(raw))
-    low, high = next((lo, hi) for upto, lo, hi in BANDS if len(raw) <= upto)
-    n = len(raw) // CHUNK
+    low, high = band(len(raw))
+    n = -(-len(raw) // CHUNK) if len(raw) >= CHUNK else 0
     bad = 0
-    for k in range(n if n > 1 else 0):
-        r = CHUNK / len(squeeze(raw[k * CHUNK : (k + 1) * CHUNK]))
-        bad += not CHUNK_BAND[0] <= r <= CHUNK_BAND[1]
+    for k in range(n):
+        part = raw[k * CHUNK : (k + 1) * CHUNK]
+        least, most = CHUNK_BAND if len(part) == CHUNK else band(len(part))
+        bad += not least <= len(part) / len(squeeze(part)) <= most
     return ratio, n, bad, low <= ratio <= high and bad <= MOST_BAD * n
 
 
+def band(size: int) -> tuple[float, float]:
+    return next((low, high) for upto, low, high in BANDS if size <= upto)
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text), as SCHEMA says."""
 
