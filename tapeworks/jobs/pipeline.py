@@ -7,15 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from tapeworks.functions.durable import durable
 from tapeworks.operators import bars as B, checks, clean, cost, summary
 from tapeworks.operators.features import features
+from tapeworks.operators.series import CHUNK
 from tapeworks.operators.winsor import winsorize
 from tapeworks.schema import BAR_COLUMNS, FEATURES
 from tapeworks.sources import trades as S
 
 
-def feature_matrix(trades: DataFrame, width_s: int = 1, by: list[str] | None = None, chunk: int | None = 100_000) -> tuple[DataFrame, DataFrame]:
-    """(bounds, the clipped 44-column matrix with idx) of typed trades. Features are written once and read for bounds and
-    clipping."""
-    return winsorize(durable(features(B.bars(trades, width_s, by), width_s, by, chunk)))
+def feature_matrix(trades: DataFrame, width_s: int = 1, by: list[str] | None = None, chunk: int | None = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """(bounds, the clipped 44-column matrix with idx) of typed trades. Bars and features are written once each and read for
+    running sums, bounds and clipping."""
+    return winsorize(durable(features(durable(B.bars(trades, width_s, by)), width_s, by, chunk)))
 
 
 def run_pipeline(spark: SparkSession, source: str, target: str, width_s: int = 1, by: list[str] | None = None) -> dict[str, DataFrame]:

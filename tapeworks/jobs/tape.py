@@ -47,7 +47,7 @@ def bars(spark: SparkSession, sf_dir: str, by: list[str] | None = None) -> DataF
 
 
 def unclipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(bars(spark, sf_dir), WIDTH, chunk=1000)
+    return features(durable(bars(spark, sf_dir)), WIDTH, chunk=1000)
 
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:

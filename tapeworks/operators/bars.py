@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tapeworks.functions.durable import durable
 from tapeworks.functions.numbers import rounded, utc_text
-from tapeworks.operators.series import CHUNK, prefix, time_bucket
+from tapeworks.operators.series import BUCKET, prefix, time_bucket
 from tapeworks.schema import BAR_COLUMNS
 
 
@@ -50,10 +51,11 @@ def finished(grouped: DataFrame) -> DataFrame:
     ).drop("_buy", "_sell", "_pv", "_v")
 
 
-def bars(trades: DataFrame, width_s: int = 1, by: list[str] | None = None, bucket: int = CHUNK) -> DataFrame:
+def bars(trades: DataFrame, width_s: int = 1, by: list[str] | None = None, bucket: int = BUCKET) -> DataFrame:
     """One row for each bar that has a trade, and its place `idx` in its series. Shuffles: bars by (series, second) after a
-    partial aggregate of the trades, then bars by time bucket."""
+    partial aggregate of the trades, then bars by time bucket. The trades are read once: bars are written before their
+    running sum, which reads them twice."""
     by = by or []
     grouped = trades.groupBy(*by, bar_key(width_s).alias("timestamp_s")).agg(*aggregates())
-    b = prefix(finished(grouped), time_bucket(width_s, bucket), ["timestamp_s"], by, {"_cvd": F.col("_net")})
+    b = prefix(durable(finished(grouped)), time_bucket(width_s, bucket), ["timestamp_s"], by, {"_cvd": F.col("_net")})
     return b.withColumn("cvd_cumulative", rounded(F.col("_cvd"), 6)).select(*by, *BAR_COLUMNS, "idx")

@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-CHUNK, HALO = 100_000, 301
+#: Bars in a bucket of running sums, and in a chunk of windows.
+BUCKET, CHUNK, HALO = 100_000, 10_000, 301
 
 
 def prefix(df: DataFrame, bucket: Column, order: list[str], by: list[str] | None = None, sums: dict[str, Column] | None = None, index: str | None = "idx", maxima: dict[str, Column] | None = None) -> DataFrame:
     """df with the dense 0-based place of each row, running sums and running maxima up to it, by series.
 
     bucket grows with the order; a bucket's rows are handled by one task, and so are the totals of one series, a row
-    for each bucket."""
+    for each bucket. df is read twice, for totals and for rows: what is dear to compute is written before."""
     by, sums, maxima = by or [], sums or {}, maxima or {}
     key = [*by, "_bucket"]
     local = Window.partitionBy(*key).orderBy(*order)
@@ -44,7 +45,7 @@ def prefix(df: DataFrame, bucket: Column, order: list[str], by: list[str] | None
     return joined.select(*keep, *[c.alias(k) for k, c in out.items()])
 
 
-def time_bucket(width_s: int, rows: int = CHUNK) -> Column:
+def time_bucket(width_s: int, rows: int = BUCKET) -> Column:
     """Buckets of the time that `rows` bars take, so none holds more than `rows` bars."""
     return F.floor(F.col("timestamp_s") / F.lit(width_s * rows)).cast("long")
 
