@@ -354,3 +354,29 @@ def test_suffix_dedup_of_one_id_and_of_none(spark, monkeypatch):
 
 def frame_of(spark, ids, texts):
     return spark.createDataFrame([(i, t, "en", "s", 0) for i, t in zip(ids, texts)], DOCS)
+
+
+def test_token_look_ups(spark):
+    rng = random.Random(15)
+    texts = [prose(rng, rng.randrange(0, 60)) for _ in range(150)]
+    wavelet.write_shards(frame(spark, texts), path := scratch(spark), shard=400)
+    assert spark.read.parquet(path).count() > 5
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_path())
+    docs = [[*e.ids, 2] for e in t.encode_batch(texts, add_special_tokens=False)]
+    flat = [(x, d, at) for d, ids in enumerate(docs) for at, x in enumerate(ids)]
+    common = collections.Counter(x for x, _, _ in flat).most_common(40)
+    ids = [2, common[0][0], common[20][0], common[-1][0], 48_000, 70_000]
+    assert {r.id: r.n for r in wavelet.count_ids(spark, path, ids).collect()} == {x: sum(x == y for y, _, _ in flat) for x in ids}
+    want = sorted((x, k, d, at) for k, (x, d, at) in enumerate(flat) if x in ids)
+    assert sorted(tuple(r) for r in wavelet.locate_ids(spark, path, ids).collect()) == want
+    places = [0, 1, 777, len(flat) - 1, len(flat), 10**12]
+    assert {r.place: r.id for r in wavelet.access(spark, path, places).collect()} == {p: flat[p][0] for p in places if p < len(flat)}
+
+
+def test_planes_are_inflated_when_asked_for():
+    m = wavelet.WaveletMatrix.of(np.arange(1000) % 100 + 1000)
+    packed = wavelet.WaveletMatrix.from_bytes(m.to_bytes(), m.planes)
+    assert packed.count(3) == 0 and isinstance(packed._bits[-1], memoryview)
+    assert packed.select(1007, 3) == 307 and packed.locate(1007) == list(range(7, 1000, 100))
