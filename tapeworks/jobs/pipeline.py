@@ -32,15 +32,29 @@ def run_pipeline(spark: SparkSession, source: str, target: str, width_s: int = 1
     return {"summary": summary.dataset_summary(made), "report": clean.clean_report(raw)}
 
 
-def run_validation(matrix: DataFrame) -> dict[str, DataFrame]:
+def run_validation(matrix: DataFrame, by: list[str] | None = None) -> dict[str, DataFrame]:
     """All checks of a feature matrix (with idx), by name."""
     m = durable(matrix)
+    c = checks.numeric_columns(m, by)
     return {
-        "report": checks.validation_report(m), "moments": checks.moments(m), "drift": checks.drift(m), "missing": checks.check_missing(m, checks.numeric_columns(m)),
-        "constant": checks.check_constant(m), "pairs": checks.ranked(checks.correlated_pairs(m)), "returns": checks.returns_sanity(m), "costs": cost.cost_metrics(m),
+        "report": checks.validation_report(m, by), "columns": checks.columns_report(m), "moments": checks.moments(m, c), "drift": checks.drift(m, c, by=by),
+        "missing": checks.check_missing(m, c), "constant": checks.check_constant(m, c), "pairs": checks.ranked(checks.correlated_pairs(m, c)),
+        "returns": checks.returns_sanity(m), "costs": cost.cost_metrics(m),
     }
 
 
+def validate(matrix: DataFrame, target: str, by: list[str] | None = None) -> bool:
+    """Run all checks, write each table and the report as text under target; whether the tape passes."""
+    spark, found = matrix.sparkSession, {}
+    for name, df in run_validation(matrix, by).items():
+        df.write.mode("overwrite").parquet(f"{target}/validation/{name}")
+        found[name] = spark.read.parquet(f"{target}/validation/{name}")
+    text = checks.full_report(found)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{target}/validation/report_md")
+    print(text)
+    return bool(found["report"].where("section = 'overall' and value = 'true'").count())
+
+
 def main() -> None:
     import argparse
 
@@ -52,11 +66,7 @@ def main() -> None:
     a = p.parse_args()
     spark = SparkSession.builder.appName("tape-pipeline").getOrCreate()
     run_pipeline(spark, a.source, a.target, a.width, a.by)
-    found = run_validation(spark.read.parquet(f"{a.target}/features"))
-    report = durable(found["report"])
-    report.write.mode("overwrite").parquet(f"{a.target}/report")
-    print(checks.markdown(report))
-    raise SystemExit(0 if report.where("section = 'overall' and value = 'true'").count() else 1)
+    raise SystemExit(0 if validate(spark.read.parquet(f"{a.target}/features"), a.target, a.by) else 1)
 
 
 if __name__ == "__main__":

@@ -89,13 +89,13 @@ def write_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Cleaning
 
 
-def _reason(name: str, *details: str):
-    QUERIES[name] = lambda spark, sf_dir: clean.removed(tape.raw(spark, sf_dir)).where(F.col("reason").isin(*details)).select(F.col("trade_id").cast("long").alias("trade_id"), "reason")
+def _reason(name: str, *details: str, source=tape.raw):
+    QUERIES[name] = lambda spark, sf_dir: clean.removed(source(spark, sf_dir)).where(F.col("reason").isin(*details)).select(F.col("trade_id").cast("long").alias("trade_id"), "reason")
 
 
-_reason("clean_missing", "missing_field", "invalid_timestamp")
+_reason("clean_missing", "missing_field", "invalid_timestamp", source=tape.spoiled)
 _reason("clean_quantity", "invalid_quantity", "zero_qty")
-_reason("clean_price", "invalid_price", "zero_price")
+_reason("clean_price", "invalid_price", "zero_price", source=tape.spoiled)
 _reason("clean_side", "invalid_side")
 _reason("clean_removed", *clean.COUNTED)
 
@@ -107,7 +107,7 @@ def clean_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def clean_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.clean_report(tape.raw(spark, sf_dir))
+    return clean.clean_report(tape.spoiled(spark, sf_dir))
 
 
 # Bars
@@ -184,12 +184,12 @@ def check_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def check_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.check_missing(tape.raw(spark, sf_dir))
+    return checks.check_missing(tape.spoiled(spark, sf_dir))
 
 
 @query
 def check_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.check_constant(tape.matrix(spark, sf_dir))
+    return checks.check_constant(tape.matrix(spark, sf_dir).withColumn("fixed", F.lit(2.5)))
 
 
 @query
@@ -227,6 +227,17 @@ def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.validation_report(tape.matrix(spark, sf_dir))
 
 
+@query
+def validation_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report on one tape for each user."""
+    return checks.validation_report(tape.matrix(spark, sf_dir, ["user_id"]), ["user_id"])
+
+
+@query
+def columns_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.columns_report(tape.spoiled(spark, sf_dir)).select("feature", "missing", "pct")
+
+
 @query
 def leakage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of the first half of the bars, by themselves and within the whole."""
@@ -288,35 +299,32 @@ def has_cvd(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams
 
 
-def _collected(spark: SparkSession, sf_dir: str):
+def _collected(spark: SparkSession, sf_dir: str, flush_rows: int | None = None) -> str:
     path = scratch(spark)
-    q = live.write_trades(tape.messages(tape.events_stream(spark, sf_dir)), f"{path}/out", f"{path}/log", f"{path}/dead")
+    q = live.write_trades(tape.messages(tape.events_stream(spark, sf_dir)), f"{path}/out", f"{path}/log", f"{path}/dead", f"{path}/beats", flush_rows=flush_rows)
     for x in q:
         x.awaitTermination()
-    return path, q
+    return path
 
 
 @query
 def stream_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, _ = _collected(spark, sf_dir)
-    return typed(S.read_trades(spark, f"{path}/out"))
+    return typed(S.read_trades(spark, f"{_collected(spark, sf_dir)}/out"))
 
 
 @query
 def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, q = _collected(spark, sf_dir)
-    rows = [p.observedMetrics["heartbeat"].rows for p in q[0].recentProgress if "heartbeat" in p.observedMetrics]
-    return spark.createDataFrame([(sum(rows),)], "n long")
+    """Rows of each batch."""
+    return live.heartbeats(spark, f"{_collected(spark, sf_dir)}/beats").select("batch", "rows")
 
 
 @query
 def stream_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of each flush of a drained stream, a file at a time."""
-    path = scratch(spark)
-    stream = tape.messages(tape.events_stream(spark, sf_dir))
-    q = stream.writeStream.foreachBatch(lambda df, n: df.select(F.lit(n).cast("long").alias("flush")).write.mode("overwrite").parquet(f"{path}/out/{n}")).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{path}/out/*").groupBy("flush").agg(F.count(F.lit(1)).alias("n"))
+    """Of each slice of the stream, its rows, and the files of 50 rows at most that they have been flushed to."""
+    files = S.read_trades(spark, f"{_collected(spark, sf_dir, 50)}/out").select(F.col("trade_id").cast("long").alias("event_id"), F.input_file_name().alias("file"))
+    rows = files.join(tape.sliced(spark.read.parquet(f"{sf_dir}/events.parquet")).select("event_id", "slice"), "event_id")
+    each = rows.groupBy("slice", "file").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("slice").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("files"), F.max("n").alias("most"))
 
 
 @query
@@ -332,11 +340,12 @@ def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars that the stream gives by itself: those whose end its last watermark has passed."""
     path = scratch(spark)
     stream = clean.typed(clean.clean_trades(tape.as_raw(tape.events_stream(spark, sf_dir))))
     q = live.stream_bars(stream, tape.WIDTH).writeStream.format("parquet").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start(f"{path}/out")
     q.awaitTermination()
-    return live.with_tail(spark.read.parquet(f"{path}/out"), tape.trades(spark, sf_dir), tape.WIDTH)
+    return spark.read.parquet(f"{path}/out")
 
 
 @query

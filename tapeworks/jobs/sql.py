@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapeworks.schema import BAR_COLUMNS, FEATURES, MOMENTUM_WINDOWS, RETURN_WINDOWS, SLOPE_WINDOWS, VOL_WINDOWS
+from tapeworks.schema import BAR_COLUMNS, FEATURES, MOMENTUM_WINDOWS, RAW_COLUMNS, RETURN_WINDOWS, SLOPE_WINDOWS, VOL_WINDOWS
 
 #: Digits at which the queries give what sums over windows add up to: two less than the features have, as the last ones
 #: hang on the order in which an engine adds. A small part of a digit keeps them off ties, which engines round differently.
@@ -19,6 +19,12 @@ judged AS (
               WHEN price <= 0 THEN 'zero_price' WHEN side NOT IN ('BUY', 'SELL') THEN 'invalid_side' END AS reason
   FROM raw),
 trades AS (SELECT * FROM judged WHERE reason IS NULL)"""
+#: As `tape.spoiled` has it.
+SPOILED = RAW.replace("value AS price", "CASE WHEN event_id % 97 = 5 THEN NULL WHEN event_id % 89 = 7 THEN 0.0 ELSE value END AS price").replace(
+    "TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS quantity", "CASE WHEN event_id % 83 = 11 THEN NULL ELSE TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS quantity"
+)
+#: As `tape.sliced` has it.
+SLICED = "sliced AS (SELECT event_id, CAST(floor((epoch_us(ts) // 1000 - (SELECT min(epoch_us(ts) // 1000) FROM events)) * 10 / (SELECT max(epoch_us(ts) // 1000) - min(epoch_us(ts) // 1000) + 1 FROM events)) AS INTEGER) AS slice FROM events)"
 TRADE = "timestamp_ms, price, quantity, is_buyer_maker, side, trade_id"
 
 
@@ -143,8 +149,21 @@ def _decimal(x: str) -> str:
     return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 20)), 4) AS DOUBLE) + 0.0"
 
 
-def _reasons(*details: str) -> str:
-    return f"{RAW}\nSELECT trade_id, reason FROM judged WHERE reason IN ({', '.join(map(repr, details))})"
+def _reasons(*details: str, raw: str = RAW) -> str:
+    return f"{raw}\nSELECT trade_id, reason FROM judged WHERE reason IN ({', '.join(map(repr, details))})"
+
+
+def _report_sql() -> str:
+    return " UNION ALL ".join(f"SELECT '{s}' AS section, '{n}' AS name, CAST({v} AS VARCHAR) AS value" for (s, n), v in _REPORT.items())
+
+
+def _by_user(sql: str) -> str:
+    """The same with a series for each user: in bars and windows, and where rows are joined or dealt to runs."""
+    sql = sql.replace(BARS, _bars("user_id, ")).replace("(ORDER BY idx", "(PARTITION BY user_id ORDER BY idx")
+    sql = sql.replace(f"SELECT {', '.join(BAR_COLUMNS)}, idx,", f"SELECT user_id, {', '.join(BAR_COLUMNS)}, idx,").replace("(SELECT idx, ", "(SELECT user_id, idx, ").replace("USING (idx)", "USING (user_id, idx)")
+    return sql.replace("least(idx // (SELECT count(*) // 5 FROM matrix), 4)", "least(idx // size, 4)").replace(
+        "FROM mlong GROUP BY ALL) c", "FROM mlong JOIN (SELECT user_id, count(*) // 5 AS size FROM matrix GROUP BY user_id) z USING (user_id) WHERE size >= 2 GROUP BY ALL) c"
+    )
 
 
 _MOMENTS = """
@@ -166,13 +185,13 @@ SQL: dict[str, str] = {
     "parse_agg_trades": f"{RAW}\nSELECT count(*) FILTER (quantity IS NOT NULL AND price IS NOT NULL) AS n, false AS dead FROM judged UNION ALL SELECT count(*) FILTER (quantity IS NULL OR price IS NULL), true FROM judged",
     "latest_input": "SELECT 'events.parquet' AS name, count(*) AS n FROM events",
     "write_bounds": f"{BOUNDS}\nSELECT * FROM bounds",
-    "clean_missing": _reasons("missing_field"),
+    "clean_missing": _reasons("missing_field", raw=SPOILED),
     "clean_quantity": _reasons("zero_qty"),
-    "clean_price": _reasons("zero_price"),
+    "clean_price": _reasons("zero_price", raw=SPOILED),
     "clean_side": _reasons("invalid_side"),
     "clean_removed": f"{RAW}\nSELECT trade_id, reason FROM judged WHERE reason IS NOT NULL",
     "clean_trades": f"{RAW}\nSELECT {TRADE} FROM trades",
-    "clean_report": f"{RAW}\nSELECT count(*) AS input_rows, count(*) FILTER (reason IS NULL) AS output_rows, count(reason) AS removed, "
+    "clean_report": f"{SPOILED}\nSELECT count(*) AS input_rows, count(*) FILTER (reason IS NULL) AS output_rows, count(reason) AS removed, "
     + ", ".join(f"count(*) FILTER (reason = '{r}') AS {r}" for r in ("missing_field", "zero_qty", "zero_price", "invalid_side"))
     + " FROM judged",
     "bar_key": f"{RAW}\nSELECT trade_id, CAST(floor(timestamp_ms / 900000.0) * 900 AS BIGINT) AS timestamp_s FROM trades",
@@ -201,15 +220,18 @@ SQL: dict[str, str] = {
     "apply_bounds": f"{MATRIX}\nSELECT timestamp_s, returns, vroc_30s, intensity_30s FROM matrix",
     "check_order": f"{RAW}, v AS (SELECT timestamp_ms < lag(timestamp_ms) OVER (ORDER BY trade_id) AS bad FROM judged)\nSELECT count(*) FILTER (bad) AS violations, least(count(*) FILTER (bad), 6) AS counted, count(*) FILTER (bad) = 0 AS passed FROM v",
     "check_duplicates": f"{RAW}, d AS (SELECT timestamp_ms FROM trades GROUP BY 1 HAVING count(*) > 1)\nSELECT count(*) AS duplicates, count(*) = 0 AS passed FROM d",
-    "check_missing": f"{RAW}\nSELECT * FROM (SELECT 'quantity' AS feature, count(*) FILTER (quantity IS NULL) AS missing, round(count(*) FILTER (quantity IS NULL) / count(*) * 100, 4) + 0.0 AS pct FROM judged UNION ALL SELECT 'price', count(*) FILTER (price IS NULL), round(count(*) FILTER (price IS NULL) / count(*) * 100, 4) + 0.0 FROM judged) WHERE missing > 0",
-    "check_constant": f"{LONG}\nSELECT feature FROM stats WHERE n >= 2 AND spread < 1e-15",
+    "check_missing": f"{SPOILED}\nSELECT * FROM (SELECT 'quantity' AS feature, count(*) FILTER (quantity IS NULL) AS missing, round(count(*) FILTER (quantity IS NULL) / count(*) * 100, 4) + 0.0 AS pct FROM judged UNION ALL SELECT 'price', count(*) FILTER (price IS NULL), round(count(*) FILTER (price IS NULL) / count(*) * 100, 4) + 0.0 FROM judged) WHERE missing > 0",
+    "check_constant": f"{LONG}\nSELECT feature FROM stats WHERE n >= 2 AND spread < 1e-15 UNION ALL SELECT 'fixed' FROM matrix HAVING count(*) >= 2",
     "moments": f"{LONG}{_MOMENTS}",
     "drift": f"{LONG}\nSELECT feature, round(drift_ratio, 6) + 0.0 AS drift_ratio, drift_ratio < 2 AS stable FROM drifts",
     "correlated_pairs": f"{LONG}\nSELECT a, b, r FROM pairs",
     "redundant_ranked": "",
     "baseline_summary": f"{LONG}\nSELECT " + ", ".join(f"CAST({v} AS BIGINT) AS {n}" for (s, n), v in _REPORT.items() if s == "baseline"),
     "returns_sanity": f"{MATRIX}\nSELECT count(*) AS n, round(avg(returns), 8) + 0.0 AS mean, round(min(returns), 8) + 0.0 AS min, round(max(returns), 8) + 0.0 AS max, coalesce(abs(avg(returns)) < 0.01, false) AS passed FROM matrix WHERE returns <> 0",
-    "validation_report": f"{LONG}\n" + " UNION ALL ".join(f"SELECT '{s}' AS section, '{n}' AS name, CAST({v} AS VARCHAR) AS value" for (s, n), v in _REPORT.items()),
+    "validation_report": f"{LONG}\n" + _report_sql(),
+    "validation_by_series": f"{_by_user(LONG)}\n" + _report_sql(),
+    "columns_report": f"{SPOILED}\nSELECT feature, missing, round(missing / n * 100, 4) + 0.0 AS pct FROM (SELECT count(*) AS n, count(*) FILTER (price IS NULL) AS p, count(*) FILTER (quantity IS NULL) AS q FROM judged), "
+    + f"LATERAL (SELECT unnest({RAW_COLUMNS!r}) AS feature) f, LATERAL (SELECT CASE feature WHEN 'price' THEN p WHEN 'quantity' THEN q ELSE 0 END AS missing) m",
     "leakage_check": f"{BARS}\nSELECT unnest({FEATURES!r}) AS feature, count(*) // 2 AS compared, CAST(0 AS BIGINT) AS different FROM bars",
     "numeric_columns": f"{BARS}\nSELECT unnest({NUMERIC!r}) AS feature, count(*) AS n FROM bars",
     "trade_fee": f"{RAW}\nSELECT trade_id, {_decimal('price * quantity * 0.0004::DOUBLE')} AS fee FROM trades",
@@ -221,10 +243,10 @@ SQL: dict[str, str] = {
     "feature_preview": f"{MATRIX}\nSELECT idx AS x, price_close AS price, returns, cvd, realized_vol_30s AS vol_30, vol_imbalance, vol_imbalance >= 0 AS buy_heavy, trade_intensity_zscore AS zscore, 2.0::DOUBLE AS band_high, -2.0::DOUBLE AS band_low, abs(trade_intensity_zscore) > 2 AS beyond FROM matrix",
     "has_cvd": f"{BARS}\nSELECT coalesce(bool_or(cvd_cumulative <> 0), false) AS has_cvd FROM bars",
     "stream_trades": f"{RAW}\nSELECT timestamp_ms, price, quantity, is_buyer_maker, CASE WHEN side = 'SELL' THEN 'SELL' ELSE 'BUY' END AS side, trade_id FROM judged WHERE price IS NOT NULL AND quantity IS NOT NULL",
-    "stream_metrics": f"{RAW}\nSELECT count(*) AS n FROM judged WHERE price IS NOT NULL AND quantity IS NOT NULL",
-    "stream_flush": "SELECT CAST(0 AS BIGINT) AS flush, count(*) AS n FROM events",
+    "stream_metrics": f"{RAW}, {SLICED}\nSELECT CAST(slice AS BIGINT) AS batch, count(*) AS rows FROM judged JOIN sliced ON event_id = trade_id WHERE price IS NOT NULL AND quantity IS NOT NULL GROUP BY slice",
+    "stream_flush": f"{RAW}, {SLICED}\nSELECT slice, count(*) AS n, CAST(ceil(count(*) / 50.0) AS BIGINT) AS files, least(count(*), 50) AS most FROM judged JOIN sliced ON event_id = trade_id WHERE price IS NOT NULL AND quantity IS NOT NULL GROUP BY slice",
     "stream_resume": f"{RAW}\nSELECT trade_id, timestamp_ms, price, quantity, CASE WHEN side = 'SELL' THEN 'SELL' ELSE 'BUY' END AS side FROM judged WHERE price IS NOT NULL AND quantity IS NOT NULL",
-    "stream_bars": f"{BARS}\nSELECT * EXCLUDE (cvd_cumulative, idx) FROM bars",
+    "stream_bars": f"{BARS}\nSELECT * EXCLUDE (cvd_cumulative, idx) FROM bars WHERE (timestamp_s + 900) * 1000 <= (SELECT max(timestamp_ms) FROM trades) - 10000",
     "stream_cvd": f"""{_bars('user_id, ')},
 s AS (SELECT user_id, timestamp_s, total_trades, round(sum(net_delta) OVER o, 8) + 0.0 AS cvd, CAST(sum(total_trades) OVER o AS DOUBLE) / (idx + 1) AS mean, CAST(sum(total_trades * total_trades) OVER o AS DOUBLE) / (idx + 1) AS square FROM bars WINDOW o AS (PARTITION BY user_id ORDER BY timestamp_s ROWS UNBOUNDED PRECEDING))
 SELECT user_id, timestamp_s, cvd, round((total_trades - mean) / CASE WHEN square - mean * mean > 1e-15 THEN sqrt(abs(square - mean * mean)) ELSE 1.0 END, 6) + 0.0 AS trade_intensity_zscore FROM s""",

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tapeworks.functions.durable import durable
+from tapeworks.functions.durable import durable, scratch
 from tapeworks.functions.numbers import utc_text
 from tapeworks.jobs.pipeline import feature_matrix
 from tapeworks.operators import bars as B, clean
@@ -50,9 +53,16 @@ def unclipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(durable(bars(spark, sf_dir)), WIDTH, chunk=1000)
 
 
-def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spoiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw tape with cells emptied or set to nothing here and there, by trade_id, as the given events have no such cells."""
+    i = F.col("trade_id").cast("long")
+    price = F.when(i % 97 == 5, F.lit(None)).when(i % 89 == 7, F.lit("0.0")).otherwise(F.col("price"))
+    return raw(spark, sf_dir).withColumns({"price": price, "quantity": F.when(i % 83 == 11, F.lit(None)).otherwise(F.col("quantity"))})
+
+
+def matrix(spark: SparkSession, sf_dir: str, by: list[str] | None = None) -> DataFrame:
     """The clipped matrix, written once: checks read it several times."""
-    return durable(feature_matrix(trades(spark, sf_dir), WIDTH, chunk=1000)[1])
+    return durable(feature_matrix(trades(spark, sf_dir, by), WIDTH, by, chunk=1000)[1])
 
 
 def rest_pages(spark: SparkSession, sf_dir: str, size: int = 1000) -> DataFrame:
@@ -70,6 +80,26 @@ def messages(events: DataFrame) -> DataFrame:
     return t.select(F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()])).alias("value"))
 
 
+SLICES = 10
+
+
+def sliced(events: DataFrame) -> DataFrame:
+    """Events with `slice`, the tenth of the table's time that they lie in."""
+    first, last = events.agg(F.min(millis(F.col("ts"))), F.max(millis(F.col("ts")))).first()
+    place = (millis(F.col("ts")) - F.lit(first or 0)) * SLICES / F.lit((last or 0) - (first or 0) + 1)
+    return events.withColumn("slice", F.coalesce(F.floor(place), F.lit(0)).cast("int"))
+
+
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The events as a stream of SLICES files in the order of time, one for each batch."""
+    events = sliced(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    path = scratch(spark)
+    events.repartition("slice").write.partitionBy("slice").parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files, now = fs.listFiles(hadoop.Path(path), True), int(time.time() * 1000)
+    while files.hasNext():  # a stream takes files in the order of their times: a file for each slice
+        file = files.next().getPath()
+        if found := re.search(r"/slice=(\d+)/", str(file.toString())):
+            fs.setTimes(file, now - (SLICES - int(found[1])) * 1000, -1)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)

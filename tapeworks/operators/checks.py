@@ -12,27 +12,28 @@ NUMERIC = ("double", "float", "bigint", "int", "smallint", "tinyint")
 BATCH = 60
 
 
-def numeric_columns(df: DataFrame) -> list[str]:
-    """Feature columns: numeric, and none of the names that are never features."""
-    return [c for c, t in df.dtypes if t in NUMERIC and c not in NOT_FEATURES and c != "idx"]
+def numeric_columns(df: DataFrame, by: list[str] | None = None) -> list[str]:
+    """Feature columns: numeric, and none of the names that are never features, nor a key of the series."""
+    return [c for c, t in df.dtypes if t in NUMERIC and c not in NOT_FEATURES and c != "idx" and c not in (by or [])]
 
 
-def check_order(df: DataFrame, ts: str, seq: str, bucket_rows: int = 1_000_000) -> DataFrame:
-    """violations (ts less than in the row before, in the order of seq), counted (at most 6), passed. Rows are compared
-    within buckets of seq; each bucket's first row with the last one of the bucket before."""
-    d = df.select(F.col(ts).alias("t"), F.col(seq).alias("q")).withColumn("b", F.floor(F.col("q") / bucket_rows))
-    o = Window.partitionBy("b").orderBy("q")
+def check_order(df: DataFrame, ts: str, seq: str, bucket_rows: int = 1_000_000, by: list[str] | None = None) -> DataFrame:
+    """violations (ts less than in the row before of the series, in the order of seq), counted (at most 6), passed. Rows are
+    compared within buckets of seq; each bucket's first row with the last one of the bucket before."""
+    by = by or []
+    d = df.select(*by, F.col(ts).alias("t"), F.col(seq).alias("q")).withColumn("b", F.floor(F.col("q") / bucket_rows))
+    o = Window.partitionBy(*by, "b").orderBy("q")
     inner = d.withColumn("p", F.lag("t").over(o)).agg(F.count_if(F.col("t") < F.col("p")).alias("n"))
-    ends = d.groupBy("b").agg(F.min_by("t", "q").alias("first"), F.max_by("t", "q").alias("last"))
-    outer = ends.withColumn("p", F.lag("last").over(Window.orderBy("b"))).agg(F.count_if(F.col("first") < F.col("p")).alias("n"))  # a row for each bucket
+    ends = d.groupBy(*by, "b").agg(F.min_by("t", "q").alias("first"), F.max_by("t", "q").alias("last"))
+    outer = ends.withColumn("p", F.lag("last").over(Window.partitionBy(*by).orderBy("b"))).agg(F.count_if(F.col("first") < F.col("p")).alias("n"))  # a row for each bucket
     total = inner.unionByName(outer).agg(F.sum("n").alias("violations"))
     return total.select("violations", F.least("violations", F.lit(6)).cast("long").alias("counted"), (F.col("violations") == 0).alias("passed"))
 
 
-def check_duplicates(df: DataFrame, ts: str | None = None) -> DataFrame:
-    """duplicates: distinct timestamps that occur more than once."""
+def check_duplicates(df: DataFrame, ts: str | None = None, by: list[str] | None = None) -> DataFrame:
+    """duplicates: distinct timestamps that occur more than once in a series."""
     ts = ts or ("timestamp_s" if "timestamp_s" in df.columns else "timestamp_ms")
-    n = df.groupBy(ts).count().where("count > 1").agg(F.count(F.lit(1)).alias("duplicates"))
+    n = df.groupBy(*(by or []), ts).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").agg(F.count(F.lit(1)).alias("duplicates"))
     return n.withColumn("passed", F.col("duplicates") == 0)
 
 
@@ -85,16 +86,16 @@ def moments(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     )
 
 
-def drift(df: DataFrame, columns: list[str] | None = None, chunks: int = 5) -> DataFrame:
+def drift(df: DataFrame, columns: list[str] | None = None, chunks: int = 5, by: list[str] | None = None) -> DataFrame:
     """feature, drift_ratio, stable: the spread of the means of `chunks` runs of rows (by idx) over the standard deviation.
-    The mean of a run under four rows counts as 0; no row if a run had less than two."""
-    columns = columns or numeric_columns(df)
-    n = df.count()
-    size = n // chunks
-    if size < 2:
-        return df.sparkSession.createDataFrame([], "feature string, drift_ratio double, stable boolean")
-    chunk = F.least(F.floor(F.col("idx") / size), F.lit(chunks - 1))
-    means = df.groupBy(chunk.alias("chunk")).agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col(c).cast("double")).alias(c) for c in columns])
+    The mean of a run under four rows counts as 0; no row if a run had less than two. With several series the first run is
+    that of all series together, and so on; series whose runs had less than two rows are left out."""
+    by = by or []
+    columns = columns or numeric_columns(df, by)
+    size = df.groupBy(*by).agg(F.floor(F.count(F.lit(1)) / chunks).alias("_size")).where("_size >= 2")
+    sized = df.join(size, by) if by else df.crossJoin(F.broadcast(size))  # one row
+    run = F.least(F.floor(F.col("idx") / F.col("_size")), F.lit(chunks - 1))
+    means = sized.groupBy(run.alias("_run")).agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col(c).cast("double")).alias(c) for c in columns])
     long = means.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("m")) for c in columns])).alias("x")).select("n", "x.*")
     spread = long.withColumn("m", F.when(F.col("n") < 4, F.lit(0.0)).otherwise(F.col("m"))).groupBy("feature").agg((F.max("m") - F.min("m")).alias("spread"))
     std = F.when(F.col("std") > TINY, F.col("std")).otherwise(F.lit(1.0))
@@ -142,12 +143,12 @@ def ranked(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(Window.orderBy(F.abs("r").desc(), "a", "b")))  # columns**2 / 2 rows at most
 
 
-def baseline_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    columns = columns or numeric_columns(df)
+def baseline_summary(df: DataFrame, columns: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+    columns = columns or numeric_columns(df, by)
     one = [
         (check_missing(df, columns), "missing_issues"),
         (check_constant(df, columns), "constant_features"),
-        (drift(df, columns).where(~F.col("stable")), "unstable_features"),
+        (drift(df, columns, by=by).where(~F.col("stable")), "unstable_features"),
         (correlated_pairs(df, columns), "redundant_pairs"),
     ]
     rows = df.sparkSession.range(1).select(F.lit("features_analyzed").alias("k"), F.lit(len(columns)).cast("long").alias("n"))
@@ -162,9 +163,10 @@ def returns_sanity(df: DataFrame) -> DataFrame:
     return df.where(r != 0).agg(F.count(r).alias("n"), F.avg(r).alias("mean"), F.min(r).alias("min"), F.max(r).alias("max"), F.coalesce(F.abs(F.avg(r)) < 0.01, F.lit(False)).alias("passed"))
 
 
-def validation_report(df: DataFrame) -> DataFrame:
-    """section, name, value (text) of all that a report holds; statistics don't fail it, order and duplicates do."""
-    order, twice, base = check_order(df, "timestamp_s", "idx"), check_duplicates(df), baseline_summary(df)
+def validation_report(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """section, name, value (text) of all that a report holds; statistics don't fail it, order and duplicates (within a
+    series) do."""
+    order, twice, base = check_order(df, "timestamp_s", "idx", by=by), check_duplicates(df, by=by), baseline_summary(df, by=by)
     out = df.agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.lit("data").alias("section"), F.lit("row_count").alias("name"), "value")
 
     def add(d: DataFrame, section: str, names: list[str]):
@@ -172,7 +174,7 @@ def validation_report(df: DataFrame) -> DataFrame:
         pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("string").alias("value")) for n in names]))
         out = out.unionByName(d.select(pairs.alias("x")).select(F.lit(section).alias("section"), "x.*"))
 
-    add(df.sparkSession.range(1).select(F.lit(len([c for c in df.columns if c != "idx"])).alias("columns")), "data", ["columns"])
+    add(df.sparkSession.range(1).select(F.lit(len([c for c in df.columns if c != "idx" and c not in (by or [])])).alias("columns")), "data", ["columns"])
     add(order, "ordering", ["violations", "passed"])
     add(twice, "duplicates", ["duplicates", "passed"])
     add(base, "baseline", ["features_analyzed", "missing_issues", "constant_features", "unstable_features", "redundant_pairs"])
@@ -181,10 +183,40 @@ def validation_report(df: DataFrame) -> DataFrame:
     return out
 
 
+def columns_report(df: DataFrame) -> DataFrame:
+    """feature (every column of the table), type, missing, pct."""
+    types = df.sparkSession.createDataFrame([(i, c, t) for i, (c, t) in enumerate(df.dtypes)], "place int, feature string, type string")
+    per = {c: [F.count_if(absent(df, c)), F.count(F.lit(1))] for c in df.columns}
+    pct = F.when(F.col("n") > 0, rounded(F.col("missing") / F.col("n") * 100, 4)).otherwise(F.lit(0.0))
+    return types.join(melted(df, per, ["missing", "n"]), "feature").select("place", "feature", "type", "missing", pct.alias("pct"))
+
+
+def table_text(df: DataFrame) -> str:
+    """A small table (a row for each column, or pair of columns) as Markdown."""
+    cell = lambda x: "" if x is None else f"{x:.6g}" if isinstance(x, float) else str(x)
+    rows = [" | ".join(map(cell, r)) for r in df.collect()]
+    return "\n".join([f"| {' | '.join(df.columns)} |", "|" + "---|" * len(df.columns), *(f"| {r} |" for r in rows)]) if rows else "None."
+
+
+#: What no check of values can show: how each group of features is built, from no later row than its own.
+LEAKAGE = """Window features (sums, volatility, slopes, momentum, rate of change, efficiency) end one bar before their own.
+Returns, distances and imbalance take their own bar and the one before it. Running sums end at their own bar.
+Bounds of clipping come from the whole table: fit them on a training part before a model is tested on the rest."""
+
+
 def markdown(report: DataFrame) -> str:
-    """The report (a few rows) as a Markdown table."""
-    rows = sorted((r.section, r.name, r.value) for r in report.select("section", F.col("name"), "value").collect())
-    return "\n".join(["| section | name | value |", "|---|---|---|", *(f"| {a} | {b} | {c} |" for a, b, c in rows)])
+    """validation_report() as a Markdown table."""
+    return table_text(report.select("section", "name", "value").orderBy("section", "name"))
+
+
+def full_report(found: dict[str, DataFrame]) -> str:
+    """All tables of a validation as one Markdown text."""
+    order = {"report": ["section", "name"], "columns": ["place"], "pairs": ["rank"]}
+    out = ["# Validation"]
+    for name, df in found.items():
+        keys = [c for c in order.get(name, ["feature"]) if c in df.columns]
+        out += [f"## {name}", table_text(df.orderBy(*keys) if keys else df)]
+    return "\n\n".join([*out, "## leakage", LEAKAGE]) + "\n"
 
 
 def leakage(on_all: DataFrame, on_prefix: DataFrame, columns: list[str]) -> DataFrame:

@@ -112,7 +112,7 @@ def features(bars: DataFrame, width_s: int = 1, by: list[str] | None = None, chu
         above = F.lit(w) * r.sum("moment", w) - r.sum("cvd", w) * r.sum("places", w)
         slope = above.cast("double") / F.lit(1e8) / F.lit(w * w * (w * w - 1) / 12)
         new[f"cvd_slope_{w}s"] = rounded(warm(w, nothing(r.finite("cvd", slope, w))), 10)
-    ahead = F.signum(F.col("cvd") - back(30, "cvd")) - F.signum(close - back(30, "price_close"))
+    ahead = F.nanvl(F.signum(F.col("cvd") - back(30, "cvd")), F.lit(0.0)) - F.nanvl(F.signum(close - back(30, "price_close")), F.lit(0.0))
     new["cvd_price_divergence_30s"] = warm(30, ahead).cast("int")
     count = (F.col("idx") + 1).cast("double")
     mean = F.col("_n") / count

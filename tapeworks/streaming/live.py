@@ -4,23 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tapeworks.operators.bars import aggregates, bar_key, bars, finished
+from tapeworks.operators.bars import aggregates, finished
 from tapeworks.sources.trades import parse_agg_trades
 
 
-def write_trades(messages: DataFrame, path: str, checkpoint: str, dead: str | None = None, flush_s: int | None = None, kind: str = "csv", metrics: str = "heartbeat"):
-    """Append the raw rows of a message stream (column value) to files at `path`, and messages that can't be read to `dead`.
-    flush_s: seconds between flushes; None drains what is there and ends. Rows of a flush are observed as `metrics`."""
+def write_trades(messages: DataFrame, path: str, checkpoint: str, dead: str | None = None, beats: str | None = None, flush_s: int | None = None, flush_rows: int | None = None, kind: str = "csv"):
+    """Append the raw rows of a message stream (column value) to files at `path`, messages that can't be read to `dead`, and
+    a row for each batch to `beats` (see heartbeats()). flush_s: seconds between flushes; None drains what is there and ends.
+    flush_rows: rows of a file at most, so that a busy flush becomes several files."""
     good, bad = parse_agg_trades(messages)
 
-    def start(df, to, log, fmt):
-        w = df.writeStream.outputMode("append").format(fmt).option("header", True).option("checkpointLocation", log)
-        return (w.trigger(availableNow=True) if flush_s is None else w.trigger(processingTime=f"{flush_s} seconds")).start(to)
+    def begun(writer, log):
+        w = writer.option("checkpointLocation", f"{checkpoint}/{log}")
+        return w.trigger(availableNow=True) if flush_s is None else w.trigger(processingTime=f"{flush_s} seconds")
 
-    out = [start(good.observe(metrics, F.count(F.lit(1)).alias("rows")), path, f"{checkpoint}/trades", kind)]
-    return out + ([start(bad, dead, f"{checkpoint}/dead", "parquet")] if dead else [])
+    def beat(df: DataFrame, n: int) -> None:  # a batch that runs again takes its row's place
+        df.agg(F.count(F.lit(1)).alias("rows")).withColumn("at", F.current_timestamp()).write.mode("overwrite").parquet(f"{beats}/batch={n}")
+
+    files = good.writeStream.outputMode("append").format(kind).option("header", True)
+    if flush_rows:
+        files = files.option("maxRecordsPerFile", flush_rows)
+    out = [begun(files, "trades").start(path)]
+    if dead:
+        out.append(begun(bad.writeStream.outputMode("append").format("parquet"), "dead").start(dead))
+    if beats:
+        out.append(begun(good.writeStream.foreachBatch(beat), "beats").start())
+    return out
+
+
+def heartbeats(spark: SparkSession, beats: str) -> DataFrame:
+    """batch, rows, at, rows_per_s since the batch before of the same day."""
+    o = Window.partitionBy(F.to_date("at")).orderBy("batch")  # a row for each flush
+    seconds = F.col("at").cast("double") - F.lag("at").over(o).cast("double")
+    return spark.read.schema("rows long, at timestamp, batch long").parquet(beats).select("batch", "rows", "at", F.when(seconds > 0, F.col("rows") / F.when(seconds > 0, seconds)).alias("rows_per_s"))
 
 
 def without_replays(trades: DataFrame, delay: str = "10 seconds") -> DataFrame:
@@ -30,20 +48,14 @@ def without_replays(trades: DataFrame, delay: str = "10 seconds") -> DataFrame:
 
 
 def stream_bars(trades: DataFrame, width_s: int = 1, by: list[str] | None = None, delay: str = "10 seconds") -> DataFrame:
-    """Bars (all columns but the running sum) of a stream of typed trades, each once its watermark has passed."""
+    """Bars (all columns but the running sum) of a stream of typed trades, each once its watermark has passed. A finished stream
+    keeps its last bars, those that end after the last trade less the delay; batch bars() of the stored trades have them."""
     by = by or []
     timed = trades.withColumn("ts", F.timestamp_millis("timestamp_ms")).withWatermark("ts", delay)
     grouped = timed.groupBy(*by, F.window("ts", f"{width_s} seconds").alias("w")).agg(*aggregates())
     return finished(grouped.withColumn("timestamp_s", F.unix_seconds(F.col("w.start")))).drop("w", "_net")
 
 
-def with_tail(streamed: DataFrame, trades: DataFrame, width_s: int = 1, by: list[str] | None = None) -> DataFrame:
-    """Bars that a finished stream has given, and those whose watermark never passed, from the stored trades."""
-    by = by or []
-    missing = trades.withColumn("timestamp_s", bar_key(width_s)).join(streamed.select(*by, "timestamp_s"), [*by, "timestamp_s"], "left_anti").drop("timestamp_s")
-    return streamed.unionByName(bars(missing, width_s, by).select(*streamed.columns))
-
-
 RUNNING = "n long, cvd double, s long, ss long"
 
 

@@ -6,7 +6,7 @@ import random
 import statistics
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tapeworks.functions.durable import scratch
 from tapeworks.functions.numbers import number, utc_text
@@ -185,6 +185,44 @@ def test_leakage(made):
     assert len(got) == 29 and all(r.compared == 350 and r.different == 0 for r in got)
 
 
+def test_leakage_finds_a_planted_leak(made):
+    """Features that look one bar ahead differ where the prefix ends; those clipped by the whole table's bounds differ too."""
+    _, b = made
+    ahead = lambda df: df.withColumn("ahead", F.lead("price_close").over(Window.partitionBy(F.lit(1)).orderBy("idx")))
+    got = {r.feature: r.different for r in checks.leakage(ahead(b), ahead(b.where("idx < 350")), ["ahead", "price_close"]).collect()}
+    assert got == {"ahead": 1, "price_close": 0}
+    mean = lambda df: df.crossJoin(df.agg(F.avg("total_volume").alias("m"))).withColumn("centred", F.col("total_volume") - F.col("m"))
+    assert checks.leakage(mean(b), mean(b.where("idx < 350")), ["centred"]).first().different == 350
+
+
+def test_numbers_that_are_not_finite_stay_in_their_windows(spark):
+    rows = [(i * 1000, 100.0 + i % 7, "nan" if i == 200 else "inf" if i == 300 else 1.0 + i % 3, "BUY", i) for i in range(700)]
+    b = B.bars(clean.typed(clean.clean_trades(raw(spark, rows))))
+    got = {r.idx: r for r in feats.features(b, chunk=400).collect()}
+    assert math.isnan(got[205].volume_5s) and math.isnan(got[230].volume_30s) and got[231].volume_30s == got[198].volume_30s == 60.0
+    assert got[301].volume_5s == math.inf and got[331].volume_30s < 100
+    assert math.isnan(got[699].cvd_slope_10s) and got[100].cvd_slope_10s > 0 and got[400].realized_vol_300s > 0
+
+
+def test_validation_by_series(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(s, *r) for s in ("x", "y", "z") for r in tape(rng, 500)]
+    cells = [(s, str(ms), "u", str(p), str(q), str(side == "SELL"), side, str(i)) for s, ms, p, q, side, i in rows]
+    t = clean.typed(clean.clean_trades(spark.createDataFrame(cells, ["series", *RAW_COLUMNS])))
+    _, m = pipeline.feature_matrix(t, 1, ["series"])
+    assert pipeline.validate(m, f"file://{tmp_path}", ["series"])
+    report = {(r.section, r["name"]): r.value for r in spark.read.parquet(f"file://{tmp_path}/validation/report").collect()}
+    assert report["ordering", "violations"] == report["duplicates", "duplicates"] == "0" and report["data", "columns"] == "44"
+    text = "\n".join(r.value for r in spark.read.text(f"file://{tmp_path}/validation/report_md").collect())
+    assert all(f"## {x}" in text for x in ("report", "columns", "moments", "drift", "pairs", "returns", "costs", "leakage"))
+    twice = m.unionByName(m.where("idx = 3"))
+    assert checks.check_duplicates(twice, by=["series"]).first().duplicates == 3
+    late = m.withColumn("timestamp_s", F.when((F.col("idx") == 5) & (F.col("series") == "y"), 0).otherwise(F.col("timestamp_s")))
+    for size in (3, 1000):
+        assert checks.check_order(late, "timestamp_s", "idx", size, ["series"]).first().violations == 1
+    assert not pipeline.validate(late, f"file://{tmp_path}/late", ["series"])
+
+
 def test_costs(spark):
     m = cost.cost_metrics(spark.createDataFrame([(0.01,), (0.0,), (0.03,)], "returns double")).first()
     assert (m.mean_return_per_period, m.total_return, m.daily_cost_pct, m.daily_cost_usd, m.annual_cost_pct) == (0.02, 0.04, 0.04, 400.0, 10.08)
@@ -233,7 +271,7 @@ def test_latest_input(spark, tmp_path):
     assert S.latest_input(spark, f"file://{tmp_path}/*.csv").first().path.endswith("/b.csv")
 
 
-@pytest.mark.parametrize("name", ["stream_bars", "stream_cvd", "stream_resume", "stream_trades", "check_order", "bars"])
+@pytest.mark.parametrize("name", ["stream_bars", "stream_cvd", "stream_resume", "stream_trades", "check_order", "bars", "stream_flush", "stream_metrics", "validation_by_series", "clean_price", "columns_report"])
 def test_queries_equal_sql(spark, name):
     import duckdb
 
