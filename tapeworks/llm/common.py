@@ -73,19 +73,25 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 HOT = 4096
 
 
-def hot_keys(counts: DataFrame, key: str, hot: int = HOT) -> DataFrame:
-    """key, deals of the keys with more than `hot` rows and more than a 2,000th of all, from (key, n): fewer than 2,000 rows."""
-    most = max(hot, (counts.agg(F.sum("n")).first()[0] or 0) // 2000)
-    return counts.where(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("long").alias("deals"))
+def hot_keys(counts: DataFrame, key: str, hot: int = HOT) -> DataFrame | None:
+    """key, deals of the keys with more than `hot` rows and more than a 2,000th of all, from (key, n): fewer than 2,000 rows,
+    written. None if there are none."""
+    total, top = counts.agg(F.sum("n"), F.max("n")).first()
+    most = max(hot, (total or 0) // 2000)
+    return written(counts.where(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("long").alias("deals"))) if (top or 0) > most else None
 
 
-def dealt(rows: DataFrame, hot: DataFrame, key: str, by) -> DataFrame:
+def dealt(rows: DataFrame, hot: DataFrame | None, key: str, by) -> DataFrame:
     """rows with `deal`: 0, or for a hot key one of its numbers, by the column `by`."""
+    if hot is None:
+        return rows.withColumn("deal", F.lit(0).cast("long"))
     return rows.join(F.broadcast(hot), key, "left").withColumn("deal", F.pmod(F.xxhash64(by), F.coalesce("deals", F.lit(1).cast("long")))).drop("deals")
 
 
-def each_deal(rows: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+def each_deal(rows: DataFrame, hot: DataFrame | None, key: str) -> DataFrame:
     """A copy of rows for each `deal` of their key, to be joined with rows that are dealt."""
+    if hot is None:
+        return rows.withColumn("deal", F.lit(0).cast("long"))
     return rows.join(F.broadcast(hot), key, "left").withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("deals", F.lit(1).cast("long")) - 1))).drop("deals")
 
 

@@ -380,7 +380,7 @@ def wrapper(tree: str, rows: list[tuple[int, int, int, int]]) -> tuple[int, list
     return at, [x for pair in sorted(kept) for x in pair]
 
 
-def induce(pages: DataFrame, hot: DataFrame) -> DataFrame:
+def induce(pages: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """host, exemplar (its folded tree), slot and template of every host whose pages (id, host, html) have several trees."""
     import pyarrow as pa
 
@@ -443,7 +443,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[^:/?#]*:?//([^/?#:]*)", 1)), F.lit(""))
     full = spread(pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")), "page_id").withColumn("host", host)
-    hot = written(hot_keys(written(full.groupBy("host").agg(F.count(F.lit(1)).alias("n"))), "host", HOT))
+    hot = hot_keys(written(full.groupBy("host").agg(F.count(F.lit(1)).alias("n"))), "host", HOT)
     wrappers = written(induce(full.select("host", "html"), hot))
 
     def read(batches):

@@ -184,7 +184,7 @@ def through_hubs(related: DataFrame, found: DataFrame, percent: int) -> DataFram
 
     comp = lambda node: found.select(F.col("node").alias(node), F.col("component").alias(f"c{node}"))
     size = related.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    hot = written(hot_keys(written(size), "a", HOT))
+    hot = hot_keys(written(size), "a", HOT)
     hubs = size.select("a").join(comp("a"), "a", "left").withColumn("ca", F.coalesce("ca", "a"))
     rows = dealt(related.select("a", "b", "size", "weight", "diff").join(comp("b"), "b", "left"), hot, "a", "b").join(each_deal(hubs, hot, "a"), ["a", "deal"])
     rows = rows.withColumn("cb", F.coalesce("cb", "b")).withColumn("seeks", F.col("ca") != F.col("cb"))
@@ -269,11 +269,11 @@ def cross_pairs(members: DataFrame) -> DataFrame:
     return pairs.repartition("key", "lo", "hi").groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
 
 
-def shared_buckets(pool: DataFrame) -> tuple[DataFrame, DataFrame]:
+def shared_buckets(pool: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """key, id, n, deal of the buckets (key, id) that hold several members, one of those with the same members; and the hot
     keys among them."""
     several = written(pool.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("x"), F.max("id").alias("y"), F.sum(F.pmod(F.xxhash64("id"), F.lit(1 << 31))).alias("z")).where("n > 1"))
-    hot = written(hot_keys(several, "key", HOT))
+    hot = hot_keys(several, "key", HOT)
     once = several.groupBy("n", "x", "y", "z").agg(F.min("key").alias("key")).select("key", "n")
     return written(dealt(pool, hot, "key", "id").join(each_deal(once, hot, "key"), ["key", "deal"])), hot
 

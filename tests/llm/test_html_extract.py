@@ -104,6 +104,6 @@ def test_wrapper_alone_gives_the_given_pages(spark, monkeypatch):
     root = H.wrapper
     for name in ("DROP_TAGS", "DROP_NAMES", "DROP_ROLES"):
         monkeypatch.setattr(H, name, set())
-    slots = H.induce(pages.withColumn("host", F.regexp_extract("url", "//([^/]*)", 1)).select("host", "html"), spark.createDataFrame([], "host string, deals long"))
+    slots = H.induce(pages.withColumn("host", F.regexp_extract("url", "//([^/]*)", 1)).select("host", "html"))
     assert root and slots.count() > 0
     assert {r.page_id: r.text for r in H.extract(pages).collect()} == ruled

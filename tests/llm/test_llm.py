@@ -166,6 +166,24 @@ def test_minhash_components(spark, monkeypatch):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+def test_minhash_hot_keys(spark, monkeypatch):
+    """One group of near copies that holds most rows, dealt out over several tasks."""
+    monkeypatch.setattr(minhash, "HOT", 3)
+    monkeypatch.setattr(minhash, "SEEKERS", 8)
+    rng = random.Random(16)
+    base = prose(rng, 80).split()
+    texts = []
+    for _ in range(90):
+        w = list(base)
+        for _ in range(rng.randrange(0, 12)):
+            w[rng.randrange(len(w))] = rng.choice(WORDS)
+        texts.append(" ".join(w))
+    texts += [prose(rng, 60) for _ in range(10)]
+    comp, _ = brute_components(texts, 2, 80)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, texts), 2, 80).collect()}
+    assert [got[i] for i in range(len(texts))] == comp
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (5, 4), (9, 9), (7, 3), (10, 11), (11, 12), (12, 13), (13, 14), (14, 10)]
     got = {r.node: r.component for r in minhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
