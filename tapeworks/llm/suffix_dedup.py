@@ -38,7 +38,9 @@ from tapeworks.llm.common import blocks, mixed, spark_hash, table, texts, writte
 LENGTH, GRAM = 100, 20
 SPAN = LENGTH - GRAM + 1
 HOT = 2000
-PIECE = 1 << 21
+PIECE = 1 << 20
+#: Bytes of text within which phrases are compared before they are dealt out.
+TOGETHER = 1 << 23
 #: Bytes of text for each bucket and for each group of documents.
 SHARE = 1 << 25
 PLACE_BITS = 24
@@ -219,7 +221,7 @@ def removed_runs(docs: DataFrame, buckets: int, groups: int) -> tuple[DataFrame,
     grouped = docs.select("doc_id", "text", F.pmod(by, F.lit(groups)).cast("int").alias("grp"))
 
     def cut(batches):
-        for batch in blocks(batches, 4 * PIECE):
+        for batch in blocks(batches, TOGETHER):
             rows, places = [], []
             for *piece, shift in pieces(batch.column("doc_id").to_pylist(), batch.column("text").cast("binary").to_pylist()):
                 u, b = parse(*piece, shift, buckets)
