@@ -92,8 +92,10 @@ def drift(df: DataFrame, columns: list[str] | None = None, chunks: int = 5, by:
     that of all series together, and so on; series whose runs had less than two rows are left out."""
     by = by or []
     columns = columns or numeric_columns(df, by)
-    size = df.groupBy(*by).agg(F.floor(F.count(F.lit(1)) / chunks).alias("_size")).where("_size >= 2")
-    sized = df.join(size, by) if by else df.crossJoin(F.broadcast(size))  # one row
+    if by:
+        sized = df.join(df.groupBy(*by).agg(F.floor(F.count(F.lit(1)) / chunks).alias("_size")).where("_size >= 2"), by)
+    else:
+        sized = df.withColumn("_size", F.lit(df.count() // chunks)).where("_size >= 2")
     run = F.least(F.floor(F.col("idx") / F.col("_size")), F.lit(chunks - 1))
     means = sized.groupBy(run.alias("_run")).agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col(c).cast("double")).alias(c) for c in columns])
     long = means.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("m")) for c in columns])).alias("x")).select("n", "x.*")
