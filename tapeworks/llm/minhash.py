@@ -186,11 +186,14 @@ def through_hubs(related: DataFrame, found: DataFrame, percent: int) -> DataFram
     size = related.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     hot = hot_keys(written(size), "a", HOT)
     hubs = size.select("a").join(comp("a"), "a", "left").withColumn("ca", F.coalesce("ca", "a"))
-    rows = dealt(related.select("a", "b", "size", "weight", "diff").join(comp("b"), "b", "left"), hot, "a", "b").join(each_deal(hubs, hot, "a"), ["a", "deal"])
-    rows = rows.withColumn("cb", F.coalesce("cb", "b")).withColumn("seeks", F.col("ca") != F.col("cb"))
-    counts = rows.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.count_if("seeks").alias("u")).where("u > 0 and n > 1")
+    # who seeks is settled on ids alone; differences, the bulk, are shuffled once, for the hubs that need them
+    flags = dealt(related.select("a", "b").distinct().join(comp("b"), "b", "left"), hot, "a", "b").join(each_deal(hubs, hot, "a"), ["a", "deal"])
+    flags = flags.withColumn("cb", F.coalesce("cb", "b")).withColumn("seeks", F.col("ca") != F.col("cb"))
+    counts = flags.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.count_if("seeks").alias("u")).where("u > 0 and n > 1")
+    flags = written(flags.join(each_deal(counts, hot, "a"), ["a", "deal"]).select("a", "b", "cb", "seeks", "n", "u"))
+    rows = related.select("a", "b", "size", "weight", "diff").join(flags, ["a", "b"])
     blocks_of = {"mi": F.ceil(F.col("u") / SEEKERS).cast("int"), "mj": F.ceil(F.col("n") / HELD).cast("int")}
-    rows = rows.join(each_deal(counts, hot, "a"), ["a", "deal"]).withColumns(blocks_of)
+    rows = rows.withColumns(blocks_of)
     side = lambda many, n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(many)
     own = lambda one, n: F.pmod(F.xxhash64("b"), F.col(n)).cast("int").alias(one)
     keep = ["a", "b", "cb", "size", "weight", "diff"]
