@@ -2,8 +2,11 @@
 
 from tapeworks.llm.bpe import op1_bpe
 from tapeworks.llm.decontaminate import op2_decontaminate
+from tapeworks.llm.exact_dedup import OP11_SQL, op11_exact_dedup
+from tapeworks.llm.fill_in_middle import OP12_SQL, op12_fill_in_middle
 from tapeworks.llm.html_extract import op8_html_extract
 from tapeworks.llm.language_id import op3_language_id
+from tapeworks.llm.merkle import OP13_SQL, op13_merkle
 from tapeworks.llm.minhash import op9_minhash_near_dedup
 from tapeworks.llm.quality_classifier import op10_quality_classifier
 from tapeworks.llm.quality_rules import op6_quality_rules
@@ -22,5 +25,8 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_merkle": op13_merkle,
 }
-SQL: dict[str, str] = {"op4_warc": OP4_SQL}
+SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op11_exact_dedup": OP11_SQL, "op12_fill_in_middle": OP12_SQL, "op13_merkle": OP13_SQL}
