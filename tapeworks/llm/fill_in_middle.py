@@ -1,15 +1,15 @@
 r"""Fill-in-the-middle by relations: units as rows, running sums of their lengths, cuts joined by unit ordinal.
 
 1. A text is cut into units, `[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+`, left to right. Four numbers drawn from
-   SHA-256 of the seed and doc_id give the form (plain, psm or spm) and the two cuts, as counts of units. This is written once,
-   with a number for each row.
-2. The texts that are to be cut become a row for each unit (`posexplode` of the matches) with its length in code points; a window
+   SHA-256 of the seed and doc_id give the form (plain, psm or spm) and the two cuts, as counts of units. The texts that are to
+   be cut are written once, with a number for each row.
+2. These texts become a row for each unit (`posexplode` of the matches) with its length in code points; a window
    over each text's units runs the lengths up.
-3. The cut requests, two rows for each text, are joined with the units by (row, unit ordinal); a request for a cut before the first
-   unit meets none and stands at 0. Offsets are added up for each text, and the text is cut there by `substr`.
+3. The cut requests, two ordinals for each text, are joined with the units by row and unit ordinal; a request for a cut before the
+   first unit meets none and stands at 0. Offsets are put together for each text, and the text is cut there by `substr`.
 
-Texts are dealt out by row number, units and requests alike, so no join after that shuffles. Only texts that are cut
-are exploded or shuffled. Every step is a DataFrame expression; a text's units are rows of one task, which can spill.
+Texts are dealt out by row number, units and requests alike, so no join after that shuffles; units and whole texts come from one
+shuffle. Only texts that are cut are written, shuffled and exploded. Every step is a DataFrame expression; a text's units are rows of one task, which can spill.
 
 A null text counts as empty. Empty texts, and texts that hold a marker, stay plain. A null doc_id is drawn for as if it were
 the empty text. Equal rows give equal results, each row its own; an empty table gives an empty table; other columns are
@@ -49,24 +49,26 @@ def planned(docs: DataFrame, seed: str = SEED, cut: int = CUT_PERCENT, spm: int
     return d.select("row", "doc_id", "text", "n", "form", F.least(*cuts).alias("a"), F.greatest(*cuts).alias("b"))
 
 
-def offsets(texts: DataFrame) -> DataFrame:
-    """row, prefix_chars, cut_chars (code points before the first and the second cut) of planned texts."""
-    matches = texts.select("row", "text").repartition("row").select("row", F.posexplode(units(F.col("text"))).alias("ordinal", "unit"))
+def offsets(dealt: DataFrame, texts: DataFrame) -> DataFrame:
+    """row, prefix_chars, cut_chars (code points before the first and the second cut) of planned texts, null for none."""
+    matches = dealt.select("row", F.posexplode(units(F.col("text"))).alias("ordinal", "unit"))
     upto = Window.partitionBy("row").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
     ends = matches.select("row", "ordinal", F.length("unit").alias("chars")).select("row", F.col("ordinal").cast("long").alias("ordinal"), F.sum("chars").over(upto).alias("end"))
-    both = F.array(*[F.struct(F.lit(first).alias("first"), (F.col(c) - 1).alias("ordinal")) for first, c in ((True, "a"), (False, "b"))])
-    requests = texts.select("row", "a", "b").repartition("row").select("row", F.explode(both).alias("r")).select("row", "r.first", "r.ordinal")
-    found = requests.join(ends, ["row", "ordinal"], "left").select("row", "first", F.coalesce("end", F.lit(0).cast("long")).alias("end"))
-    return found.groupBy("row").agg(F.max(F.when(F.col("first"), F.col("end"))).alias("prefix_chars"), F.max(F.when(~F.col("first"), F.col("end"))).alias("cut_chars"))
+    requests = texts.select(F.col("row").alias("of"), (F.col("a") - 1).alias("first"), (F.col("b") - 1).alias("second")).repartition("of")
+    asked = (F.col("row") == F.col("of")) & F.array_contains(F.array("first", "second"), F.col("ordinal"))  # by row alone, units would be shuffled again otherwise
+    at = [F.max(F.when(F.col("ordinal") == F.col(c), F.col("end"))).alias(k) for c, k in (("first", "prefix_chars"), ("second", "cut_chars"))]
+    return ends.join(requests, asked).groupBy("row").agg(*at)
 
 
 def fill_in_middle(docs: DataFrame, seed: str = SEED, cut: int = CUT_PERCENT, spm: int = SPM_PERCENT) -> DataFrame:
     """doc_id, n, form, prefix_chars, middle_chars (null if plain) and the output text of each row of docs (doc_id, text)."""
-    plan = written(planned(docs, seed, cut, spm))
+    plan = planned(docs, seed, cut, spm)
     none = F.lit(None).cast("long")
     plain = plan.where("form = 'plain'").select("doc_id", "n", "form", none.alias("prefix_chars"), none.alias("middle_chars"), F.col("text").alias("output"))
-    texts = plan.where("form <> 'plain'")
-    whole = texts.select("row", "doc_id", "text", "n", "form").repartition("row").join(offsets(texts), "row")
+    texts = written(plan.where("form <> 'plain'"))
+    dealt = texts.select("row", "text").repartition("row")  # units and whole texts read the same shuffle
+    info = texts.select("row", "doc_id", "n", "form").repartition("row")
+    whole = dealt.join(info, "row").join(offsets(dealt, texts), "row", "left").na.fill(0, ["prefix_chars", "cut_chars"])
     p, c, t = F.col("prefix_chars").cast("int"), F.col("cut_chars").cast("int"), F.col("text")
     prefix, middle, suffix = F.substr(t, F.lit(1), p), F.substr(t, p + 1, c - p), F.substr(t, c + 1, F.length(t) - c)
     psm = F.concat(F.lit(PREFIX), prefix, F.lit(SUFFIX), suffix, F.lit(MIDDLE), middle)
