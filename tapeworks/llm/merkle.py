@@ -88,14 +88,22 @@ def tops(levels: list[DataFrame]) -> DataFrame:
 PATH = "array<struct<before:binary,after:binary>>"
 
 
+def in_run(left: DataFrame, right: DataFrame, how: str, a: str, b: str) -> DataFrame:
+    """A join of rows that are dealt out by (tree, run) already, column a of left being column b of right. Were a and b keys of the
+    join, both sides would be shuffled anew by them, path and all; so they are compared within the run, of FAN nodes."""
+    right = right.withColumnsRenamed({"tree": "_tree", "run": "_run"})
+    keys = (F.col("tree") == F.col("_tree")) & (F.col("run") == F.col("_run"))
+    return left.join(right, keys & (F.col(a) - F.col(b) == 0), how).drop("_tree", "_run")
+
+
 def siblings(level: DataFrame, k: int) -> DataFrame:
     """tree, run, idx and the step (digests before and after) of each node that has a parent."""
     nodes = level.where(size_at(k) > 1).withColumn("run", F.shiftright("idx", SHIFT))
     first = F.col("run") * FAN
     others = F.filter(F.sequence(first, F.least(first + (FAN - 1), size_at(k) - 1)), lambda x: x != F.col("idx"))
     wanted = nodes.select("tree", "run", "n", "idx").repartition("tree", "run").select("tree", "run", "idx", F.explode_outer(others).alias("sibling"))
-    there = nodes.select("tree", "run", F.col("idx").alias("sibling"), "hash").repartition("tree", "run")
-    got = wanted.join(there, ["tree", "run", "sibling"], "left")
+    there = nodes.select("tree", "run", F.col("idx").alias("at"), "hash").repartition("tree", "run")
+    got = in_run(wanted, there, "left", "sibling", "at")
     run = got.groupBy("tree", "run", "idx").agg(F.array_sort(F.collect_list(F.when(F.col("sibling").isNotNull(), F.struct("sibling", "hash")))).alias("s"))
 
     def joined(keep) -> Column:
@@ -105,16 +113,20 @@ def siblings(level: DataFrame, k: int) -> DataFrame:
     return run.select("tree", "run", "idx", step.alias("step"))
 
 
-def paths(levels: list[DataFrame], start: DataFrame) -> DataFrame:
-    """tree, idx, top, path of each leaf: its steps up to its tree's top, and then what `start` (tree, n, top, path) has."""
+def steps(levels: list[DataFrame], k: int, above: DataFrame) -> DataFrame:
+    """tree, run, idx, top, path of the nodes of a level that have a parent, from the paths of the level above."""
+    parents = above.select("tree", F.col("idx").alias("run"), "top", "path").repartition("tree", "run")
+    found = siblings(levels[k], k).join(parents, ["tree", "run"])
+    return found.select("tree", "run", "idx", "top", F.concat(F.array("step"), F.col("path")).cast(PATH).alias("path"))
+
+
+def paths(levels: list[DataFrame], start: DataFrame, down_to: int) -> DataFrame | None:
+    """tree, idx, top, path of each node of a level: its steps up to its tree's top, and then what `start` (tree, n, top, path)
+    has. None above the highest level."""
     above = None
-    for k in range(len(levels) - 1, -1, -1):
-        ends = start.where((size_at(k) == 1) & ((size_at(k - 1) > 1) if k else F.lit(True))).select("tree", F.lit(0).cast("long").alias("idx"), "top", "path")
-        if above is not None:
-            parents = above.select("tree", F.col("idx").alias("run"), "top", "path").repartition("tree", "run")
-            steps = siblings(levels[k], k).join(parents, ["tree", "run"])
-            ends = ends.unionByName(steps.select("tree", "idx", "top", F.concat(F.array("step"), F.col("path")).cast(PATH).alias("path")))
-        above = written(ends) if k else ends
+    for k in range(len(levels) - 1, down_to - 1, -1):
+        own = start.where((size_at(k) == 1) & ((size_at(k - 1) > 1) if k else F.lit(True))).select("tree", F.lit(0).cast("long").alias("idx"), "top", "path")
+        above = written(own if above is None else own.unionByName(steps(levels, k, above).drop("run")))
     return above
 
 
@@ -145,11 +157,14 @@ def manifest(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, tree: str = "s
 def proofs(m: Manifest) -> DataFrame:
     """Each leaf's row with top (its tree's digest) and path: for each level up to the root, the digests before and after."""
     last = tops(m.over).select("tree", "n", F.col("hash").alias("top"), F.array().cast(PATH).alias("path"))
-    of = paths(m.over, last).select("idx", "path")
+    of = paths(m.over, last, 0).select("idx", "path")
     start = written(m.names.join(of, "idx").select(F.col("name").alias("tree"), F.col("leaves").alias("n"), F.col("hash").alias("top"), "path"))
-    run = F.shiftright("idx", SHIFT)
-    found = paths(m.levels, start).withColumn("run", run)
-    return m.leaves.withColumn("run", run).repartition("tree", "run").join(found, ["tree", "run", "idx"]).drop("run", "row")
+    out = m.leaves.where("n = 1").drop("row", "idx").join(start.where("n = 1").drop("n"), "tree")
+    above = paths(m.levels, start, 1)
+    if above is None:
+        return out
+    leaves = m.leaves.where("n > 1").withColumn("run", F.shiftright("idx", SHIFT)).withColumnRenamed("idx", "place").drop("row").repartition("tree", "run")
+    return in_run(leaves, steps(m.levels, 0, above), "inner", "place", "idx").drop("run", "place", "idx").unionByName(out)
 
 
 def fold(start: Column, path: Column) -> Column:

@@ -149,6 +149,8 @@ def test_merkle(spark, tmp_path):
     rng = random.Random(9)
     rows, _ = awkward(spark)
     rows = rows + [(2000 + i, rng.choice(["Text", "text", None]), None, "hot", i) for i in range(600)] + [(5000, "Alone", None, "lone", 1)] + [(6000 + i, "T", None, f"z{i}", 1) for i in range(20)]
+    for k, n in enumerate((2, 16, 17, 257)):  # runs of one node at the end of a level
+        rows += [(10_000 * (k + 1) + i, "Ab", None, f"of {n}", 1) for i in range(n)]
     clash = {c: F.lit("x") for c in ("tree", "n", "idx", "hash", "row", "part", "run", "path", "top", "name", "key")}
     spark.createDataFrame(rows, DOCS).withColumns(clash).repartition(3).write.parquet(f"file://{tmp_path}/documents.parquet")
     got = collections.Counter(map(tuple, merkle.op13_merkle(spark, f"file://{tmp_path}").collect()))
