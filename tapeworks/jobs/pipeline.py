@@ -14,21 +14,21 @@ from tapeworks.sources import trades as S
 
 
 def feature_matrix(trades: DataFrame, width_s: int = 1, by: list[str] | None = None, chunk: int | None = CHUNK) -> tuple[DataFrame, DataFrame]:
-    """(bounds, the clipped 44-column matrix with idx) of typed trades. Bars and features are written once each and read for
-    running sums, bounds and clipping."""
-    return winsorize(durable(features(durable(B.bars(trades, width_s, by)), width_s, by, chunk)))
+    """(bounds, the clipped 44-column matrix with idx) of typed trades, each series clipped by its own bounds. Bars and features
+    are written once each and read for running sums, bounds and clipping."""
+    return winsorize(durable(features(durable(B.bars(trades, width_s, by)), width_s, by, chunk)), by=by)
 
 
 def run_pipeline(spark: SparkSession, source: str, target: str, width_s: int = 1, by: list[str] | None = None) -> dict[str, DataFrame]:
     """Raw trade files to bars, features, bounds and removed rows under target."""
     raw = S.read_trades(spark, source, by)
     made = durable(B.bars(clean.typed(clean.clean_trades(raw)), width_s, by))
-    bounds, matrix = winsorize(durable(features(made, width_s, by)))
+    bounds, matrix = winsorize(durable(features(made, width_s, by)), by=by)
     by = by or []
     S.write_table(made, f"{target}/bars", [*by, *BAR_COLUMNS], "parquet", by)
     S.write_table(matrix, f"{target}/features", [*by, *BAR_COLUMNS, *FEATURES, "idx"], "parquet", by)
     S.write_table(clean.removed(raw), f"{target}/removed", kind="parquet")
-    S.write_bounds(bounds, f"{target}/bounds")
+    S.write_bounds(bounds, f"{target}/bounds", by)
     return {"summary": summary.dataset_summary(made), "report": clean.clean_report(raw)}
 
 

@@ -161,6 +161,18 @@ def q_winsor_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 of("winsorize", tape.matrix, "timestamp_s", *FEATURES)
 
 
+@query
+def bounds_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds of each user's own tape, written as JSON and read again."""
+    by = ["user_id"]
+    f = durable(tape.unclipped(spark, sf_dir, by))
+    S.write_bounds(winsor_bounds(f, by=by), path := scratch(spark), by)
+    return S.read_bounds(spark, path, f.select(*by).schema)
+
+
+QUERIES["winsor_by_series"] = lambda spark, sf_dir: shown(tape.matrix(spark, sf_dir, ["user_id"])).select("user_id", "timestamp_s", *FEATURES)
+
+
 @query
 def apply_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounds saved from the tape clip it as new data."""

@@ -161,6 +161,8 @@ def _by_user(sql: str) -> str:
     """The same with a series for each user: in bars and windows, and where rows are joined or dealt to runs."""
     sql = sql.replace(BARS, _bars("user_id, ")).replace("(ORDER BY idx", "(PARTITION BY user_id ORDER BY idx")
     sql = sql.replace(f"SELECT {', '.join(BAR_COLUMNS)}, idx,", f"SELECT user_id, {', '.join(BAR_COLUMNS)}, idx,").replace("(SELECT idx, ", "(SELECT user_id, idx, ").replace("USING (idx)", "USING (user_id, idx)")
+    sql = sql.replace(f"SELECT {_AS_DOUBLE} FROM feats", f"SELECT user_id, {_AS_DOUBLE} FROM feats").replace("SELECT feature, v, row_number() OVER (PARTITION BY feature ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY feature) AS n", "SELECT user_id, feature, v, row_number() OVER (PARTITION BY user_id, feature ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY user_id, feature) AS n")
+    sql = sql.replace("SELECT feature, max(v) FILTER (k = greatest", "SELECT user_id, feature, max(v) FILTER (k = greatest").replace("FROM placed GROUP BY feature)", "FROM placed GROUP BY user_id, feature)").replace("FROM bounds WHERE feature", "FROM bounds WHERE bounds.user_id = feats.user_id AND feature")
     return sql.replace("least(idx // (SELECT count(*) // 5 FROM matrix), 4)", "least(idx // size, 4)").replace(
         "FROM mlong GROUP BY ALL) c", "FROM mlong JOIN (SELECT user_id, count(*) // 5 AS size FROM matrix GROUP BY user_id) z USING (user_id) WHERE size >= 2 GROUP BY ALL) c"
     )
@@ -251,4 +253,6 @@ SQL: dict[str, str] = {
 s AS (SELECT user_id, timestamp_s, total_trades, round(sum(net_delta) OVER o, 8) + 0.0 AS cvd, CAST(sum(total_trades) OVER o AS DOUBLE) / (idx + 1) AS mean, CAST(sum(total_trades * total_trades) OVER o AS DOUBLE) / (idx + 1) AS square FROM bars WINDOW o AS (PARTITION BY user_id ORDER BY timestamp_s ROWS UNBOUNDED PRECEDING))
 SELECT user_id, timestamp_s, cvd, round((total_trades - mean) / CASE WHEN square - mean * mean > 1e-15 THEN sqrt(abs(square - mean * mean)) ELSE 1.0 END, 6) + 0.0 AS trade_intensity_zscore FROM s""",
 }
+SQL["bounds_by_series"] = f"{_by_user(BOUNDS)}\nSELECT * FROM bounds"
+SQL["winsor_by_series"] = f"{_by_user(MATRIX)}\nSELECT user_id, timestamp_s, {', '.join(map(_shown, FEATURES))} FROM matrix"
 SQL["redundant_ranked"] = f"{LONG}\nSELECT a, b, r, CAST(row_number() OVER (ORDER BY abs(r) DESC, a, b) AS INTEGER) AS rank FROM pairs"

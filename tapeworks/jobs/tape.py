@@ -49,8 +49,8 @@ def bars(spark: SparkSession, sf_dir: str, by: list[str] | None = None) -> DataF
     return B.bars(trades(spark, sf_dir, by), WIDTH, by)
 
 
-def unclipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(durable(bars(spark, sf_dir)), WIDTH, chunk=1000)
+def unclipped(spark: SparkSession, sf_dir: str, by: list[str] | None = None) -> DataFrame:
+    return features(durable(bars(spark, sf_dir, by)), WIDTH, by, chunk=1000)
 
 
 def spoiled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,15 +69,26 @@ def latest_input(spark: SparkSession, pattern: str, without: str = "merged") ->
     return files.where(~F.contains(name, F.lit(without))).agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path")).where("path is not null")
 
 
-def write_bounds(bounds: DataFrame, path: str) -> None:
-    """Bounds (a row for each feature) as one JSON object: {feature: {lower, upper}}."""
-    one = bounds.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("lower", "upper")))).alias("m"))
-    one.select(F.to_json("m").alias("value")).coalesce(1).write.mode("overwrite").text(path)
-
-
-def read_bounds(spark: SparkSession, path: str) -> DataFrame:
-    m = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,struct<lower:double,upper:double>>")).alias("feature", "b"))
-    return m.select("feature", "b.lower", "b.upper")
+def write_bounds(bounds: DataFrame, path: str, by: list[str] | None = None) -> None:
+    """Bounds (a row for each series and feature) as JSON: one object {feature: {lower, upper}}; with series, a line for each of
+    them, {"series": {key: value}, "bounds": {feature: {lower, upper}}}."""
+    one = bounds.groupBy(*(by or [])).agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("lower", "upper")))).alias("bounds"))
+    if by:
+        one.select(F.to_json(F.struct(F.struct(*by).alias("series"), "bounds")).alias("value")).write.mode("overwrite").text(path)
+    else:
+        one.select(F.to_json("bounds").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+BOUNDS = "map<string,struct<lower:double,upper:double>>"
+
+
+def read_bounds(spark: SparkSession, path: str, by: T.StructType | None = None) -> DataFrame:
+    """What write_bounds() wrote; by: the series' columns with their types."""
+    if by is None:
+        m = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", BOUNDS)).alias("feature", "b"))
+        return m.select("feature", "b.lower", "b.upper")
+    m = spark.read.text(path).select(F.from_json("value", f"struct<series:{by.simpleString()},bounds:{BOUNDS}>").alias("x"))
+    return m.select("x.series.*", F.explode("x.bounds").alias("feature", "b")).select(*by.names, "feature", "b.lower", "b.upper")
 
 
 def synth_trades(spark: SparkSession, n: int, seed: int = 0, start_ms: int = 1775351900000, base: float = 67000.0, bucket: int = 100_000) -> DataFrame:

@@ -154,6 +154,31 @@ def test_winsor(spark):
     assert S.read_bounds(spark, path).collect() == bounds.collect()
 
 
+@pytest.mark.parametrize("short", [20_000, 300])
+def test_winsor_by_series(spark, monkeypatch, short):
+    """Each series by its own bounds, short and long ones, ties at a bracket's edge, a null key; as that series alone has them."""
+    monkeypatch.setattr(winsor, "SHORT", short)
+    rng = random.Random(12)
+    sizes = {"a": 1, "b": 99, "c": 150, "big": 2500, "ties": 2500, None: 700}
+    draw = {"big": lambda: rng.gauss(5, 2), "ties": lambda: rng.choice([0.0] * 20 + [1.0, 2.0, -1.0])}
+    rows = [(s, float(draw.get(s, lambda: rng.gauss(0, 1))()), rng.randrange(9)) for s, n in sizes.items() for _ in range(n)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "s string, x double, k int").repartition(5)
+    bounds, cut = winsor.winsorize(df, ["x", "k"], by=["s"])
+    got = {(r.s, r.feature): (r.lower, r.upper) for r in bounds.collect()}
+    for s, n in sizes.items():
+        for j, f in ((1, "x"), (2, "k")):
+            v = sorted(r[j] for r in rows if r[0] == s)
+            assert got.pop((s, f)) == (v[max(0, int(n * 0.01))], v[min(n - 1, int(n * 0.99))])
+        alone = df.where(F.col("s").eqNullSafe(F.lit(s)))
+        own = winsor.winsorize(alone.drop("s"), ["x", "k"])[1]
+        assert cut.where(F.col("s").eqNullSafe(F.lit(s))).drop("s").exceptAll(own).count() == 0 and own.count() == n
+    assert not got and cut.count() == len(rows) and cut.dtypes == df.dtypes
+    S.write_bounds(bounds, path := scratch(spark), ["s"])
+    assert S.read_bounds(spark, path, df.select("s").schema).exceptAll(bounds.withColumn("s", F.col("s"))).count() == 0
+    assert winsor.winsor_bounds(df.where("x > 1e9"), ["x"], by=["s"]).count() == 0
+
+
 def test_moments_and_checks(spark):
     df = spark.createDataFrame([(i, float(x), 5.0, None if i else 1.0) for i, x in enumerate([1, 2, 3, 4, 10])], "idx long, a double, c double, m double")
     m = {r.feature: r for r in checks.moments(df, ["a", "c", "m"]).collect()}
@@ -271,7 +296,7 @@ def test_latest_input(spark, tmp_path):
     assert S.latest_input(spark, f"file://{tmp_path}/*.csv").first().path.endswith("/b.csv")
 
 
-@pytest.mark.parametrize("name", ["stream_bars", "stream_cvd", "stream_resume", "stream_trades", "check_order", "bars", "stream_flush", "stream_metrics", "validation_by_series", "clean_price", "columns_report"])
+@pytest.mark.parametrize("name", ["stream_bars", "stream_cvd", "stream_resume", "stream_trades", "check_order", "bars", "stream_flush", "stream_metrics", "validation_by_series", "clean_price", "columns_report", "bounds_by_series", "winsor_by_series"])
 def test_queries_equal_sql(spark, name):
     import duckdb
 
