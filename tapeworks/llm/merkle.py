@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from tapeworks.llm.common import table, written
 
 FAN, SHIFT = 16, 4
+#: Rows of a range partition, about, while there are fewer of these than twice the shuffle partitions.
+PART = 20_000
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -51,8 +53,8 @@ def size_at(level: int) -> Column:
 
 
 def placed(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows with idx, their place in their tree, and n, the rows of that tree; written. rows are small: no texts."""
-    partitions = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """rows with idx, their place in their tree, and n, the rows of that tree; written. rows are small (no texts) and read twice."""
+    partitions = max(1, min(2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // PART))
     ranged = written(rows.repartitionByRange(partitions, "tree", *order).withColumn("part", F.spark_partition_id()))
     of = Window.partitionBy("tree")  # a row for each part that the tree has rows in
     before = of.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -148,7 +150,7 @@ def manifest(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, tree: str = "s
     rows = written(docs.select(name.alias("tree"), leaf([F.col(c) for c in columns]).alias("hash"), *[c.alias(k) for k, c in more.items()], F.monotonically_increasing_id().alias("row")))
     leaves = placed(rows, ["doc_id", "hash", "row"])
     levels = grown(leaves.select("tree", "n", "idx", "hash"))
-    names = placed(tops(levels).select(F.lit("").alias("tree"), F.col("tree").alias("name"), F.col("n").alias("leaves"), "hash"), ["name"])
+    names = placed(written(tops(levels).select(F.lit("").alias("tree"), F.col("tree").alias("name"), F.col("n").alias("leaves"), "hash")), ["name"])
     over = grown(names.select("tree", "n", "idx", "hash"))
     root = tops(over).select(hexed(F.col("hash"))).first()
     return Manifest(leaves, levels, names, over, root[0] if root else None)
