@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tapeworks.functions.durable import durable
+from tapeworks.functions.durable import durable, scratch
 from tapeworks.operators import bars as B, checks, clean, cost, summary
 from tapeworks.operators.features import features
+from tapeworks.operators.profile import profile
 from tapeworks.operators.series import CHUNK
 from tapeworks.operators.winsor import winsorize
 from tapeworks.schema import BAR_COLUMNS, FEATURES
@@ -20,39 +21,42 @@ def feature_matrix(trades: DataFrame, width_s: int = 1, by: list[str] | None = N
 
 
 def run_pipeline(spark: SparkSession, source: str, target: str, width_s: int = 1, by: list[str] | None = None) -> dict[str, DataFrame]:
-    """Raw trade files to bars, features, bounds and removed rows under target."""
-    raw = S.read_trades(spark, source, by)
-    made = durable(B.bars(clean.typed(clean.clean_trades(raw)), width_s, by))
+    """Raw trade files, read once, to bars, features, bounds and removed rows under target."""
+    kept, gone, report = clean.clean_to(S.read_trades(spark, source, by), scratch(spark))
+    made = durable(B.bars(clean.typed(kept), width_s, by))
     bounds, matrix = winsorize(durable(features(made, width_s, by)), by=by)
     by = by or []
     S.write_table(made, f"{target}/bars", [*by, *BAR_COLUMNS], "parquet", by)
     S.write_table(matrix, f"{target}/features", [*by, *BAR_COLUMNS, *FEATURES, "idx"], "parquet", by)
-    S.write_table(clean.removed(raw), f"{target}/removed", kind="parquet")
+    S.write_table(gone, f"{target}/removed", kind="parquet")
     S.write_bounds(bounds, f"{target}/bounds", by)
-    return {"summary": summary.dataset_summary(made), "report": clean.clean_report(raw)}
+    return {"summary": summary.dataset_summary(made), "report": report}
 
 
-def run_validation(matrix: DataFrame, by: list[str] | None = None) -> dict[str, DataFrame]:
-    """All checks of a feature matrix (with idx), by name."""
+def run_validation(matrix: DataFrame, by: list[str] | None = None, seq: str = "idx") -> dict[str, DataFrame]:
+    """All checks of a feature matrix, by name, in the order of its rows' place `seq`; with series, each by itself. Statistics come
+    from one pass."""
     m = durable(matrix)
-    c = checks.numeric_columns(m, by)
+    c = checks.numeric_columns(m, [*(by or []), seq])
+    found = profile(m, c, by, seq=seq)
     return {
-        "report": checks.validation_report(m, by), "columns": checks.columns_report(m), "moments": checks.moments(m, c), "drift": checks.drift(m, c, by=by),
-        "missing": checks.check_missing(m, c), "constant": checks.check_constant(m, c), "pairs": checks.ranked(checks.correlated_pairs(m, c)),
+        "report": checks.validation_report(m, by, seq, found=found), "columns": checks.columns_report(m), "moments": checks.moments_of(found, by), "drift": checks.drift_of(found, by),
+        "missing": checks.missing_of(found, by), "constant": checks.constant_of(found, by), "pairs": checks.ranked(checks.pairs_of(found, by), by),
         "returns": checks.returns_sanity(m), "costs": cost.cost_metrics(m),
     }
 
 
-def validate(matrix: DataFrame, target: str, by: list[str] | None = None) -> bool:
-    """Run all checks, write each table and the report as text under target; whether the tape passes."""
+def validate(matrix: DataFrame, target: str, by: list[str] | None = None, seq: str = "idx") -> bool:
+    """Run all checks, write each table and the report as text under target; whether the tape, or every series of it, passes."""
     spark, found = matrix.sparkSession, {}
-    for name, df in run_validation(matrix, by).items():
+    for name, df in run_validation(matrix, by, seq).items():
         df.write.mode("overwrite").parquet(f"{target}/validation/{name}")
         found[name] = spark.read.parquet(f"{target}/validation/{name}")
     text = checks.full_report(found)
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{target}/validation/report_md")
     print(text)
-    return bool(found["report"].where("section = 'overall' and value = 'true'").count())
+    verdicts = found["report"].where("section = 'overall'").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") == "true").alias("good")).first()
+    return verdicts.n > 0 and verdicts.n == verdicts.good
 
 
 def main() -> None:

@@ -10,6 +10,7 @@ from tapeworks.jobs import tape
 from tapeworks.jobs.sql import SHOWN, SQL  # noqa: F401
 from tapeworks.operators import checks, clean, cost, summary
 from tapeworks.operators.features import features
+from tapeworks.operators.profile import profile
 from tapeworks.operators.winsor import clip, winsor_bounds
 from tapeworks.schema import FEATURES, RETURN_WINDOWS, SLOPE_WINDOWS, VOL_WINDOWS
 from tapeworks.sources import trades as S
@@ -110,6 +111,14 @@ def clean_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.clean_report(tape.spoiled(spark, sf_dir))
 
 
+@query
+def clean_on_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report that comes with the write of the kept rows, and what was written."""
+    kept, gone, report = clean.clean_to(tape.spoiled(spark, sf_dir), scratch(spark))
+    counts = kept.select(F.lit(1).alias("kept_rows"), F.lit(0).alias("removed_rows")).unionByName(gone.select(F.lit(0).alias("kept_rows"), F.lit(1).alias("removed_rows")))
+    return report.join(counts.agg(F.sum("kept_rows").alias("kept_rows"), F.sum("removed_rows").alias("removed_rows")), F.col("output_rows") == F.col("kept_rows"), "left")
+
+
 # Bars
 
 
@@ -189,6 +198,25 @@ def check_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.check_order(tape.raw(spark, sf_dir).select(F.col("timestamp_ms").cast("long").alias("t"), F.col("trade_id").cast("long").alias("q")), "t", "q")
 
 
+@query
+def check_file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order of the tape as it stands in three files, whose rows were shuffled before."""
+    i = F.col("trade_id").cast("long")
+    mixed = tape.raw(spark, sf_dir).withColumns({"file": i % 3, "key": i * 7919 % 10_007})
+    mixed.repartition("file").sortWithinPartitions("file", "key", i).drop("key").write.partitionBy("file").option("header", True).csv(path := scratch(spark))
+    placed = S.in_file_order(S.read_trades(spark, f"{path}/*/"))
+    return checks.check_order(placed.select(F.col("timestamp_ms").cast("long").alias("t"), "seq"), "t", "seq")
+
+
+@query
+def validation_of_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report on a feature file whose rows are out of order, in the file's own order."""
+    step = F.floor(F.col("timestamp_s") / tape.WIDTH) % 7
+    m = tape.matrix(spark, sf_dir).withColumn("file", step).drop("idx")
+    m.repartition("file").sortWithinPartitions("file", "timestamp_s").write.partitionBy("file").option("header", True).csv(path := scratch(spark))
+    return checks.validation_report(durable(S.read_numeric(spark, f"{path}/*/", ordered=True)), seq="seq")
+
+
 @query
 def check_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.check_duplicates(tape.trades(spark, sf_dir))
@@ -241,10 +269,25 @@ def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def validation_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report on one tape for each user."""
+    """A report for each user's tape."""
     return checks.validation_report(tape.matrix(spark, sf_dir, ["user_id"]), ["user_id"])
 
 
+@query
+def profile_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and drift of each column of each user's tape."""
+    m = tape.matrix(spark, sf_dir, ["user_id"])
+    found = profile(m, checks.numeric_columns(m, ["user_id"]), ["user_id"]).where("b is null")
+    values = [rounded(F.col(c) + F.lit(1.7e-6), 3).alias(c) for c in ("low", "high", "mean", "std", "skewness", "kurtosis", "drift_ratio")]  # off ties
+    return found.select("user_id", F.col("a").alias("feature"), "n", *values)
+
+
+@query
+def pairs_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlated columns of each user's tape."""
+    return digits(checks.correlated_pairs(tape.matrix(spark, sf_dir, ["user_id"]), by=["user_id"]), 3, "r")
+
+
 @query
 def columns_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.columns_report(tape.spoiled(spark, sf_dir)).select("feature", "missing", "pct")
@@ -311,17 +354,19 @@ def has_cvd(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams
 
 
-def _collected(spark: SparkSession, sf_dir: str, flush_rows: int | None = None) -> str:
+#: Rows of a flush in the registered queries, so that a run is some twenty batches at sf0.01; a live tape flushes at live.FLUSH_ROWS.
+FLUSH = 500
+
+
+def _collected(spark: SparkSession, sf_dir: str, rows: int | None = None) -> str:
     path = scratch(spark)
-    q = live.write_trades(tape.messages(tape.events_stream(spark, sf_dir)), f"{path}/out", f"{path}/log", f"{path}/dead", f"{path}/beats", flush_rows=flush_rows)
-    for x in q:
-        x.awaitTermination()
-    return path
+    live.collect_trades(tape.messages(tape.events_stream(spark, sf_dir, rows)), f"{path}/out", f"{path}/log").awaitTermination()
+    return f"{path}/out"
 
 
 @query
 def stream_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return typed(S.read_trades(spark, f"{_collected(spark, sf_dir)}/out"))
+    return typed(S.read_trades(spark, f"{_collected(spark, sf_dir)}/trades"))
 
 
 @query
@@ -332,11 +377,11 @@ def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each slice of the stream, its rows, and the files of 50 rows at most that they have been flushed to."""
-    files = S.read_trades(spark, f"{_collected(spark, sf_dir, 50)}/out").select(F.col("trade_id").cast("long").alias("event_id"), F.input_file_name().alias("file"))
-    rows = files.join(tape.sliced(spark.read.parquet(f"{sf_dir}/events.parquet")).select("event_id", "slice"), "event_id")
-    each = rows.groupBy("slice", "file").agg(F.count(F.lit(1)).alias("n"))
-    return each.groupBy("slice").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("files"), F.max("n").alias("most"))
+    """Flushes of at most FLUSH rows: of each its stored rows, the rows and dead letters that its heartbeat has, and its files."""
+    path = _collected(spark, sf_dir, FLUSH)
+    files = S.read_trades(spark, f"{path}/trades").select("batch", F.input_file_name().alias("file"))
+    stored = files.groupBy("batch").agg(F.count(F.lit(1)).alias("stored"), F.count_distinct("file").alias("files"))
+    return live.heartbeats(spark, f"{path}/beats").select("batch", "rows", "dead").join(stored.select(F.col("batch").cast("long").alias("batch"), "stored", "files"), "batch", "left")
 
 
 @query
@@ -352,20 +397,30 @@ def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bars that the stream gives by itself: those whose end its last watermark has passed."""
+    """All bars of the stream: a closing record moves the watermark past the last ones."""
     path = scratch(spark)
-    stream = clean.typed(clean.clean_trades(tape.as_raw(tape.events_stream(spark, sf_dir))))
-    q = live.stream_bars(stream, tape.WIDTH).writeStream.format("parquet").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start(f"{path}/out")
+    events = tape.events_stream(spark, sf_dir, close_ms=tape.WIDTH * 1000 + 10_000)
+    q = live.stream_bars(live.clean_stream(tape.as_raw(events, closing=True)), tape.WIDTH).writeStream.format("parquet").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start(f"{path}/out")
     q.awaitTermination()
     return spark.read.parquet(f"{path}/out")
 
 
 @query
 def stream_cvd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark)
-    b = tape.bars(spark, sf_dir, ["user_id"]).select("user_id", "timestamp_s", "net_delta", "total_trades")
-    b.write.parquet(f"{path}/in")
-    stream = spark.readStream.schema(b.schema).parquet(f"{path}/in")
-    q = live.stream_cvd(stream, ["user_id"]).writeStream.format("parquet").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start(f"{path}/out")
+    """Running sums of each user's bars, which come out of order: each up to six hours late, in ten batches, then a closing record."""
+    path, late = scratch(spark), 6 * 3600
+    b = durable(tape.bars(spark, sf_dir, ["user_id"]).select("user_id", "timestamp_s", "net_delta", "total_trades"))
+    arrival = F.col("timestamp_s") + F.pmod(F.xxhash64("user_id", "timestamp_s"), F.lit(late))
+    first, last = b.agg(F.min("timestamp_s"), F.max("timestamp_s")).first()
+    slices = b.withColumn("slice", F.floor((arrival - F.lit(first or 0)) * 10 / F.lit((last or 0) - (first or 0) + late)).cast("int"))
+    end = spark.range(1).select(F.lit((last or 0) + 3 * late).cast("long").alias("timestamp_s"), F.lit(10).alias("slice"))
+    stream = tape.spool(slices.unionByName(end, allowMissingColumns=True), f"{path}/in")
+    session = stream.sparkSession
+    store, session_store = "spark.sql.streaming.stateStore.providerClass", session.conf.get("spark.sql.streaming.stateStore.providerClass")
+    session.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = live.stream_cvd(stream, ["user_id"], f"{late} seconds").writeStream.format("parquet").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start(f"{path}/out")
+    finally:
+        session.conf.set(store, session_store)
     q.awaitTermination()
     return spark.read.parquet(f"{path}/out")

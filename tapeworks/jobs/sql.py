@@ -153,8 +153,8 @@ def _reasons(*details: str, raw: str = RAW) -> str:
     return f"{raw}\nSELECT trade_id, reason FROM judged WHERE reason IN ({', '.join(map(repr, details))})"
 
 
-def _report_sql() -> str:
-    return " UNION ALL ".join(f"SELECT '{s}' AS section, '{n}' AS name, CAST({v} AS VARCHAR) AS value" for (s, n), v in _REPORT.items())
+def _report_sql(other: dict | None = None) -> str:
+    return " UNION ALL ".join(f"SELECT '{s}' AS section, '{n}' AS name, CAST({v} AS VARCHAR) AS value" for (s, n), v in (_REPORT | (other or {})).items())
 
 
 def _by_user(sql: str) -> str:
@@ -163,9 +163,24 @@ def _by_user(sql: str) -> str:
     sql = sql.replace(f"SELECT {', '.join(BAR_COLUMNS)}, idx,", f"SELECT user_id, {', '.join(BAR_COLUMNS)}, idx,").replace("(SELECT idx, ", "(SELECT user_id, idx, ").replace("USING (idx)", "USING (user_id, idx)")
     sql = sql.replace(f"SELECT {_AS_DOUBLE} FROM feats", f"SELECT user_id, {_AS_DOUBLE} FROM feats").replace("SELECT feature, v, row_number() OVER (PARTITION BY feature ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY feature) AS n", "SELECT user_id, feature, v, row_number() OVER (PARTITION BY user_id, feature ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY user_id, feature) AS n")
     sql = sql.replace("SELECT feature, max(v) FILTER (k = greatest", "SELECT user_id, feature, max(v) FILTER (k = greatest").replace("FROM placed GROUP BY feature)", "FROM placed GROUP BY user_id, feature)").replace("FROM bounds WHERE feature", "FROM bounds WHERE bounds.user_id = feats.user_id AND feature")
-    return sql.replace("least(idx // (SELECT count(*) // 5 FROM matrix), 4)", "least(idx // size, 4)").replace(
+    sql = sql.replace("least(idx // (SELECT count(*) // 5 FROM matrix), 4)", "least(idx // size, 4)").replace(
         "FROM mlong GROUP BY ALL) c", "FROM mlong JOIN (SELECT user_id, count(*) // 5 AS size FROM matrix GROUP BY user_id) z USING (user_id) WHERE size >= 2 GROUP BY ALL) c"
     )
+    # statistics of each user's rows
+    sql = sql.replace("stats AS MATERIALIZED (SELECT feature,", "stats AS MATERIALIZED (SELECT user_id, feature,").replace("AS spread FROM mlong GROUP BY feature)", "AS spread FROM mlong GROUP BY user_id, feature)")
+    sql = sql.replace("SELECT c.feature, (max(c.m)", "SELECT c.user_id, c.feature, (max(c.m)").replace("FROM (SELECT feature, least(idx", "FROM (SELECT user_id, feature, least(idx").replace("JOIN stats s USING (feature) GROUP BY c.feature)", "JOIN stats s USING (user_id, feature) GROUP BY c.user_id, c.feature)")
+    sql = sql.replace("SELECT x.feature AS a, y.feature AS b,", "SELECT x.user_id, x.feature AS a, y.feature AS b,")
+    return sql.replace("JOIN stats sx ON sx.feature = x.feature JOIN stats sy ON sy.feature = y.feature", "JOIN stats sx ON sx.feature = x.feature AND sx.user_id = x.user_id JOIN stats sy ON sy.feature = y.feature AND sy.user_id = x.user_id")
+
+
+def _report_by_user() -> str:
+    of = {
+        ("data", "row_count"): "(SELECT count(*) FROM matrix m WHERE m.user_id = u.user_id)",
+        ("baseline", "constant_features"): "(SELECT count(*) FROM stats t WHERE t.user_id = u.user_id AND n >= 2 AND spread < 1e-15)",
+        ("baseline", "unstable_features"): "(SELECT count(*) FROM drifts d WHERE d.user_id = u.user_id AND NOT drift_ratio < 2)",
+        ("baseline", "redundant_pairs"): "(SELECT count(*) FROM pairs p WHERE p.user_id = u.user_id)",
+    }
+    return " UNION ALL ".join(f"SELECT user_id, '{s}' AS section, '{n}' AS name, CAST({of.get((s, n), v)} AS VARCHAR) AS value FROM (SELECT DISTINCT user_id FROM matrix) u" for (s, n), v in _REPORT.items())
 
 
 _MOMENTS = """
@@ -231,7 +246,16 @@ SQL: dict[str, str] = {
     "baseline_summary": f"{LONG}\nSELECT " + ", ".join(f"CAST({v} AS BIGINT) AS {n}" for (s, n), v in _REPORT.items() if s == "baseline"),
     "returns_sanity": f"{MATRIX}\nSELECT count(*) AS n, round(avg(returns), 8) + 0.0 AS mean, round(min(returns), 8) + 0.0 AS min, round(max(returns), 8) + 0.0 AS max, coalesce(abs(avg(returns)) < 0.01, false) AS passed FROM matrix WHERE returns <> 0",
     "validation_report": f"{LONG}\n" + _report_sql(),
-    "validation_by_series": f"{_by_user(LONG)}\n" + _report_sql(),
+    "validation_by_series": f"{_by_user(LONG)}\n" + _report_by_user(),
+    "profile_by_series": f"""{_by_user(LONG)},
+p AS (SELECT user_id, feature, any_value(n) AS n, min(v) AS low, max(v) AS high, any_value(m) AS mean, any_value(sd) < 1e-15 AS flat, any_value(sd) AS sd, avg((v - m) ** 3) / any_value(sd) ** 3 AS skew, avg((v - m) ** 4) / any_value(sd) ** 4 - 3 AS kurt, any_value(drift_ratio) AS drift
+      FROM mlong JOIN stats USING (user_id, feature) LEFT JOIN drifts USING (user_id, feature) GROUP BY user_id, feature)
+SELECT user_id, feature, n, """
+    + ", ".join(f"round({x} + 1.7e-6::DOUBLE, 3) + 0.0 AS {k}" for k, x in {"low": "low", "high": "high", "mean": "mean", "drift_ratio": "drift"}.items())
+    + ", "
+    + ", ".join(f"round(CASE WHEN flat THEN 0.0 ELSE {x} END + 1.7e-6::DOUBLE, 3) + 0.0 AS {k}" for k, x in {"std": "sd", "skewness": "skew", "kurtosis": "kurt"}.items())
+    + " FROM p",
+    "pairs_by_series": f"{_by_user(LONG)}\nSELECT user_id, a, b, round(r, 3) + 0.0 AS r FROM pairs",
     "columns_report": f"{SPOILED}\nSELECT feature, missing, round(missing / n * 100, 4) + 0.0 AS pct FROM (SELECT count(*) AS n, count(*) FILTER (price IS NULL) AS p, count(*) FILTER (quantity IS NULL) AS q FROM judged), "
     + f"LATERAL (SELECT unnest({RAW_COLUMNS!r}) AS feature) f, LATERAL (SELECT CASE feature WHEN 'price' THEN p WHEN 'quantity' THEN q ELSE 0 END AS missing) m",
     "leakage_check": f"{BARS}\nSELECT unnest({FEATURES!r}) AS feature, count(*) // 2 AS compared, CAST(0 AS BIGINT) AS different FROM bars",
@@ -246,13 +270,21 @@ SQL: dict[str, str] = {
     "has_cvd": f"{BARS}\nSELECT coalesce(bool_or(cvd_cumulative <> 0), false) AS has_cvd FROM bars",
     "stream_trades": f"{RAW}\nSELECT timestamp_ms, price, quantity, is_buyer_maker, CASE WHEN side = 'SELL' THEN 'SELL' ELSE 'BUY' END AS side, trade_id FROM judged WHERE price IS NOT NULL AND quantity IS NOT NULL",
     "stream_metrics": f"{RAW}, {SLICED}\nSELECT CAST(slice AS BIGINT) AS batch, count(*) AS rows FROM judged JOIN sliced ON event_id = trade_id WHERE price IS NOT NULL AND quantity IS NOT NULL GROUP BY slice",
-    "stream_flush": f"{RAW}, {SLICED}\nSELECT slice, count(*) AS n, CAST(ceil(count(*) / 50.0) AS BIGINT) AS files, least(count(*), 50) AS most FROM judged JOIN sliced ON event_id = trade_id WHERE price IS NOT NULL AND quantity IS NOT NULL GROUP BY slice",
+    "stream_flush": f"""{RAW}, n AS (SELECT *, (row_number() OVER (ORDER BY trade_id) - 1) // 500 AS batch, price IS NOT NULL AND quantity IS NOT NULL AS good FROM judged)
+SELECT batch, count(*) FILTER (good) AS rows, count(*) FILTER (NOT good) AS dead, nullif(count(*) FILTER (good), 0) AS stored, CASE WHEN count(*) FILTER (good) > 0 THEN CAST(1 AS BIGINT) END AS files FROM n GROUP BY batch""",
     "stream_resume": f"{RAW}\nSELECT trade_id, timestamp_ms, price, quantity, CASE WHEN side = 'SELL' THEN 'SELL' ELSE 'BUY' END AS side FROM judged WHERE price IS NOT NULL AND quantity IS NOT NULL",
-    "stream_bars": f"{BARS}\nSELECT * EXCLUDE (cvd_cumulative, idx) FROM bars WHERE (timestamp_s + 900) * 1000 <= (SELECT max(timestamp_ms) FROM trades) - 10000",
+    "stream_bars": f"{BARS}\nSELECT * EXCLUDE (cvd_cumulative, idx) FROM bars",
     "stream_cvd": f"""{_bars('user_id, ')},
 s AS (SELECT user_id, timestamp_s, total_trades, round(sum(net_delta) OVER o, 8) + 0.0 AS cvd, CAST(sum(total_trades) OVER o AS DOUBLE) / (idx + 1) AS mean, CAST(sum(total_trades * total_trades) OVER o AS DOUBLE) / (idx + 1) AS square FROM bars WINDOW o AS (PARTITION BY user_id ORDER BY timestamp_s ROWS UNBOUNDED PRECEDING))
 SELECT user_id, timestamp_s, cvd, round((total_trades - mean) / CASE WHEN square - mean * mean > 1e-15 THEN sqrt(abs(square - mean * mean)) ELSE 1.0 END, 6) + 0.0 AS trade_intensity_zscore FROM s""",
 }
+_VIOLATIONS = "count(*) FILTER (bad)"
+SQL["check_file_order"] = f"{RAW}, v AS (SELECT timestamp_ms < lag(timestamp_ms) OVER (ORDER BY trade_id % 3, trade_id * 7919 % 10007, trade_id) AS bad FROM judged)\nSELECT {_VIOLATIONS} AS violations, least({_VIOLATIONS}, 6) AS counted, {_VIOLATIONS} = 0 AS passed FROM v"
+#: The matrix in the order of seven files, each of which has every seventh bar.
+_MIXED = LONG.replace("matrix AS MATERIALIZED", "matrix0 AS MATERIALIZED", 1).replace("mlong AS", "matrix AS MATERIALIZED (SELECT * REPLACE (row_number() OVER (ORDER BY timestamp_s // 900 % 7, timestamp_s) - 1 AS idx) FROM matrix0),\nmlong AS", 1)
+_BAD = "(SELECT count(*) FILTER (bad) FROM (SELECT timestamp_s < lag(timestamp_s) OVER (ORDER BY idx) AS bad FROM matrix))"
+SQL["validation_of_file"] = f"{_MIXED}\n" + _report_sql({("ordering", "violations"): _BAD, ("ordering", "passed"): f"{_BAD} = 0", ("overall", "overall_passed"): f"{_BAD} = 0"})
+SQL["clean_on_write"] = SQL["clean_report"].replace(" FROM judged", ", count(*) FILTER (reason IS NULL) AS kept_rows, count(reason) AS removed_rows FROM judged")
 SQL["bounds_by_series"] = f"{_by_user(BOUNDS)}\nSELECT * FROM bounds"
 SQL["winsor_by_series"] = f"{_by_user(MATRIX)}\nSELECT user_id, timestamp_s, {', '.join(map(_shown, FEATURES))} FROM matrix"
 SQL["redundant_ranked"] = f"{LONG}\nSELECT a, b, r, CAST(row_number() OVER (ORDER BY abs(r) DESC, a, b) AS INTEGER) AS rank FROM pairs"

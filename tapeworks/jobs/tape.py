@@ -12,6 +12,7 @@ from tapeworks.functions.numbers import utc_text
 from tapeworks.jobs.pipeline import feature_matrix
 from tapeworks.operators import bars as B, clean
 from tapeworks.operators.features import features
+from tapeworks.operators.series import prefix
 from tapeworks.schema import RAW_COLUMNS
 
 WIDTH = 900
@@ -21,8 +22,13 @@ def millis(ts: Column) -> Column:
     return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
 
 
-def as_raw(events: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Events as raw trades, all cells text: value is the price, props.k the quantity, and the kind of event the side."""
+#: The kind of an event that is a closing record.
+CLOSE = "close"
+
+
+def as_raw(events: DataFrame, by: list[str] | None = None, closing: bool = False) -> DataFrame:
+    """Events as raw trades, all cells text: value is the price, props.k the quantity, and the kind of event the side. closing:
+    with a column that says whether the event is a closing record."""
     side = F.when(F.col("event_type").isin("purchase", "signup"), "BUY").when(F.col("event_type") == "error", "ERR").otherwise("SELL")
     ms = millis(F.col("ts"))
     cells = {
@@ -34,7 +40,7 @@ def as_raw(events: DataFrame, by: list[str] | None = None) -> DataFrame:
         "agggressor_side": side,
         "trade_id": F.col("event_id").cast("string"),
     }
-    return events.select(*(by or []), *[cells[c].alias(c) for c in RAW_COLUMNS])
+    return events.select(*(by or []), *[cells[c].alias(c) for c in RAW_COLUMNS], *([(F.col("event_type") == CLOSE).alias("closing")] if closing else []))
 
 
 def raw(spark: SparkSession, sf_dir: str, by: list[str] | None = None) -> DataFrame:
@@ -75,8 +81,8 @@ def rest_pages(spark: SparkSession, sf_dir: str, size: int = 1000) -> DataFrame:
 
 def messages(events: DataFrame) -> DataFrame:
     """Events as stream messages, a JSON object each (column value)."""
-    t = as_raw(events)
-    fields = {"T": F.col("timestamp_ms").cast("long"), "p": F.col("price"), "q": F.col("quantity"), "m": F.col("is_buyer_maker") == "True", "a": F.col("trade_id").cast("long")}
+    t = as_raw(events, closing=True)
+    fields = {"closing": F.when(F.col("closing"), True), "T": F.col("timestamp_ms").cast("long"), "p": F.col("price"), "q": F.col("quantity"), "m": F.col("is_buyer_maker") == "True", "a": F.col("trade_id").cast("long")}
     return t.select(F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()])).alias("value"))
 
 
@@ -90,16 +96,33 @@ def sliced(events: DataFrame) -> DataFrame:
     return events.withColumn("slice", F.coalesce(F.floor(place), F.lit(0)).cast("int"))
 
 
-def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of SLICES files in the order of time, one for each batch."""
-    events = sliced(spark.read.parquet(f"{sf_dir}/events.parquet"))
-    path = scratch(spark)
-    events.repartition("slice").write.partitionBy("slice").parquet(path)
+def counted_off(events: DataFrame, rows: int) -> DataFrame:
+    """Events with `slice`, which counts off `rows` of them in the order of event_id."""
+    placed = prefix(events, F.floor(F.col("event_id") / 10_000), ["event_id"])
+    return placed.withColumn("slice", F.floor(F.col("idx") / rows).cast("int")).drop("idx")
+
+
+def spool(df: DataFrame, path: str) -> DataFrame:
+    """df as a stream of a file for each value of its column `slice`, in this order, one for each batch."""
+    spark = df.sparkSession
+    df.repartition("slice").write.partitionBy("slice").parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs
     fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     files, now = fs.listFiles(hadoop.Path(path), True), int(time.time() * 1000)
-    while files.hasNext():  # a stream takes files in the order of their times: a file for each slice
+    while files.hasNext():  # a stream takes files in the order of their times
         file = files.next().getPath()
         if found := re.search(r"/slice=(\d+)/", str(file.toString())):
-            fs.setTimes(file, now - (SLICES - int(found[1])) * 1000, -1)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+            fs.setTimes(file, now - 10_000_000 + int(found[1]) * 1000, -1)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def events_stream(spark: SparkSession, sf_dir: str, rows: int | None = None, close_ms: int | None = None) -> DataFrame:
+    """The events as a stream of SLICES files in the order of time, or of files of `rows` events each. close_ms: with a closing record
+    at the end, so long after the last event."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    cut = counted_off(events, rows) if rows else sliced(events)
+    if close_ms is not None:
+        ends = cut.agg(F.max("slice").alias("slice"), F.max("ts").alias("ts")).where("ts is not null")
+        late = (F.col("ts") + F.make_dt_interval(secs=F.lit(close_ms / 1000))).cast(events.schema["ts"].dataType)
+        cut = cut.unionByName(ends.select((F.col("slice") + 1).alias("slice"), late.alias("ts"), F.lit(CLOSE).alias("event_type")), allowMissingColumns=True)
+    return spool(cut, scratch(spark))

@@ -15,20 +15,25 @@ def bar_key(width_s: int = 1) -> Column:
     return (F.floor(F.col("timestamp_ms") / F.lit(width_s * 1000)) * F.lit(width_s)).cast("long")
 
 
-def aggregates() -> list[Column]:
-    """Of the typed trades (timestamp_ms, price, quantity, side, trade_id) of one bar. What isn't BUY is a sell."""
-    buy, q, p = F.col("side") == "BUY", F.col("quantity"), F.col("price")
-    buy = F.coalesce(buy, F.lit(False))
-    when = F.struct("timestamp_ms", "trade_id")
+def aggregates(real: Column | None = None) -> list[Column]:
+    """Of the typed trades (timestamp_ms, price, quantity, side, trade_id) of one bar. What isn't BUY is a sell. real: rows that
+    are trades, if not all are."""
+    if real is None:
+        only = lambda c: c
+        real = F.lit(True)
+    else:
+        only = lambda c: F.when(real, c)
+    buy = F.coalesce(F.col("side") == "BUY", F.lit(False))
+    q, p, when = only(F.col("quantity")), only(F.col("price")), only(F.struct("timestamp_ms", "trade_id"))
     return [
         F.sum(F.when(buy, q).otherwise(F.lit(0.0))).alias("_buy"),
         F.sum(F.when(buy, F.lit(0.0)).otherwise(q)).alias("_sell"),
-        F.count_if(buy).alias("buy_trades"),
-        F.count_if(~buy).alias("sell_trades"),
-        F.count(F.lit(1)).alias("total_trades"),
+        F.count_if(buy & real).alias("buy_trades"),
+        F.count_if(~buy & real).alias("sell_trades"),
+        F.count(only(F.lit(1))).alias("total_trades"),
         F.min_by("price", when).alias("price_open"),
-        F.max("price").alias("price_high"),
-        F.min("price").alias("price_low"),
+        F.max(p).alias("price_high"),
+        F.min(p).alias("price_low"),
         F.max_by("price", when).alias("price_close"),
         F.sum(p * q).alias("_pv"),
         F.sum(q).alias("_v"),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tapeworks.functions.durable import durable
 from tapeworks.functions.numbers import rounded
+from tapeworks.operators.profile import profile
 from tapeworks.schema import NOT_FEATURES, TINY
 
 NUMERIC = ("double", "float", "bigint", "int", "smallint", "tinyint")
@@ -17,23 +18,38 @@ def numeric_columns(df: DataFrame, by: list[str] | None = None) -> list[str]:
     return [c for c, t in df.dtypes if t in NUMERIC and c not in NOT_FEATURES and c != "idx" and c not in (by or [])]
 
 
-def check_order(df: DataFrame, ts: str, seq: str, bucket_rows: int = 1_000_000, by: list[str] | None = None) -> DataFrame:
-    """violations (ts less than in the row before of the series, in the order of seq), counted (at most 6), passed. Rows are
-    compared within buckets of seq; each bucket's first row with the last one of the bucket before."""
+def order_of_series(df: DataFrame, ts: str, seq: str, by: list[str] | None = None, bucket_rows: int = 1_000_000) -> DataFrame:
+    """by, violations (ts less than in the row before of the series, in the order of seq), counted (at most 6), passed. Rows are
+    compared within buckets of seq; each bucket's first row with the last one of the bucket before. Without series, one row."""
     by = by or []
-    d = df.select(*by, F.col(ts).alias("t"), F.col(seq).alias("q")).withColumn("b", F.floor(F.col("q") / bucket_rows))
-    o = Window.partitionBy(*by, "b").orderBy("q")
-    inner = d.withColumn("p", F.lag("t").over(o)).agg(F.count_if(F.col("t") < F.col("p")).alias("n"))
-    ends = d.groupBy(*by, "b").agg(F.min_by("t", "q").alias("first"), F.max_by("t", "q").alias("last"))
-    outer = ends.withColumn("p", F.lag("last").over(Window.partitionBy(*by).orderBy("b"))).agg(F.count_if(F.col("first") < F.col("p")).alias("n"))  # a row for each bucket
-    total = inner.unionByName(outer).agg(F.sum("n").alias("violations"))
-    return total.select("violations", F.least("violations", F.lit(6)).cast("long").alias("counted"), (F.col("violations") == 0).alias("passed"))
+    d = df.select(*by, F.col(ts).alias("_t"), F.col(seq).alias("_q")).withColumn("_b", F.floor(F.col("_q") / bucket_rows))
+    o = Window.partitionBy(*by, "_b").orderBy("_q")
+    inner = d.withColumn("_p", F.lag("_t").over(o)).groupBy(*by).agg(F.count_if(F.col("_t") < F.col("_p")).alias("n"))
+    ends = d.groupBy(*by, "_b").agg(F.min_by("_t", "_q").alias("first"), F.max_by("_t", "_q").alias("last"))
+    outer = ends.withColumn("_p", F.lag("last").over(Window.partitionBy(*by).orderBy("_b"))).groupBy(*by).agg(F.count_if(F.col("first") < F.col("_p")).alias("n"))  # a row for each bucket
+    return judged_order(inner.unionByName(outer).groupBy(*by).agg(F.sum("n").alias("violations")), by)
+
+
+def judged_order(violations: DataFrame, by: list[str]) -> DataFrame:
+    return violations.select(*by, "violations", F.least("violations", F.lit(6)).cast("long").alias("counted"), (F.col("violations") == 0).alias("passed"))
+
+
+def check_order(df: DataFrame, ts: str, seq: str, bucket_rows: int = 1_000_000, by: list[str] | None = None) -> DataFrame:
+    """violations, counted, passed of all series together, in one row."""
+    each = order_of_series(df, ts, seq, by, bucket_rows)
+    return judged_order(each.agg(F.coalesce(F.sum("violations"), F.lit(0)).alias("violations")), [])
+
+
+def duplicates_of_series(df: DataFrame, ts: str | None = None, by: list[str] | None = None) -> DataFrame:
+    """by, duplicates (distinct timestamps that occur more than once in the series), passed. Without series, one row."""
+    ts, by = ts or ("timestamp_s" if "timestamp_s" in df.columns else "timestamp_ms"), by or []
+    n = df.groupBy(*by, F.col(ts).alias("_t")).agg(F.count(F.lit(1)).alias("_n")).groupBy(*by).agg(F.count_if(F.col("_n") > 1).alias("duplicates"))
+    return n.withColumn("passed", F.col("duplicates") == 0)
 
 
 def check_duplicates(df: DataFrame, ts: str | None = None, by: list[str] | None = None) -> DataFrame:
-    """duplicates: distinct timestamps that occur more than once in a series."""
-    ts = ts or ("timestamp_s" if "timestamp_s" in df.columns else "timestamp_ms")
-    n = df.groupBy(*(by or []), ts).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").agg(F.count(F.lit(1)).alias("duplicates"))
+    """duplicates of all series together, and passed, in one row."""
+    n = duplicates_of_series(df, ts, by).agg(F.coalesce(F.sum("duplicates"), F.lit(0)).alias("duplicates"))
     return n.withColumn("passed", F.col("duplicates") == 0)
 
 
@@ -86,77 +102,65 @@ def moments(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     )
 
 
+STABLE = 2.0
+
+
+def moments_of(found: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by, feature, mean, std, skewness, kurtosis of a profile()."""
+    return found.where("b is null").select(*(by or []), F.col("a").alias("feature"), "mean", "std", "skewness", "kurtosis")
+
+
+def missing_of(found: DataFrame, by: list[str] | None = None) -> DataFrame:
+    pct = rounded(F.col("missing") / (F.col("n") + F.col("missing")) * 100, 4)
+    return found.where("b is null and missing > 0").select(*(by or []), F.col("a").alias("feature"), "missing", pct.alias("pct"))
+
+
+def is_constant() -> Column:
+    return F.col("b").isNull() & (F.col("n") >= 2) & (F.col("high") - F.col("low") < TINY)
+
+
+def constant_of(found: DataFrame, by: list[str] | None = None) -> DataFrame:
+    return found.where(is_constant()).select(*(by or []), F.col("a").alias("feature"))
+
+
+def drift_of(found: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by, feature, drift_ratio, stable: the spread of the means of runs of rows over the standard deviation."""
+    return found.where("b is null and drift_ratio is not null").select(*(by or []), F.col("a").alias("feature"), "drift_ratio", (F.col("drift_ratio") < STABLE).alias("stable"))
+
+
+def pairs_of(found: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by, a, b, r (4 digits) of the pairs of columns that correlate."""
+    return found.where("b is not null").select(*(by or []), "a", "b", rounded(F.col("r"), 4).alias("r"))
+
+
 def drift(df: DataFrame, columns: list[str] | None = None, chunks: int = 5, by: list[str] | None = None) -> DataFrame:
-    """feature, drift_ratio, stable: the spread of the means of `chunks` runs of rows (by idx) over the standard deviation.
-    The mean of a run under four rows counts as 0; no row if a run had less than two. With several series the first run is
-    that of all series together, and so on; series whose runs had less than two rows are left out."""
-    by = by or []
-    columns = columns or numeric_columns(df, by)
-    if by:
-        sized = df.join(df.groupBy(*by).agg(F.floor(F.count(F.lit(1)) / chunks).alias("_size")).where("_size >= 2"), by)
-    else:
-        sized = df.withColumn("_size", F.lit(df.count() // chunks)).where("_size >= 2")
-    run = F.least(F.floor(F.col("idx") / F.col("_size")), F.lit(chunks - 1))
-    means = sized.groupBy(run.alias("_run")).agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col(c).cast("double")).alias(c) for c in columns])
-    long = means.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("m")) for c in columns])).alias("x")).select("n", "x.*")
-    spread = long.withColumn("m", F.when(F.col("n") < 4, F.lit(0.0)).otherwise(F.col("m"))).groupBy("feature").agg((F.max("m") - F.min("m")).alias("spread"))
-    std = F.when(F.col("std") > TINY, F.col("std")).otherwise(F.lit(1.0))
-    out = spread.join(moments(df, columns), "feature").select("feature", (F.col("spread") / std).alias("drift_ratio"))
-    return out.withColumn("stable", F.col("drift_ratio") < 2.0)
-
-
-def correlated_pairs(df: DataFrame, columns: list[str] | None = None, threshold: float = 0.9) -> DataFrame:
-    """a, b, r (4 digits) of pairs of columns, in their order, whose Pearson correlation passes the threshold.
-
-    One pass after the means: each task adds up a Gram matrix of centred columns; a row for each pair and task is summed."""
-    columns = columns or numeric_columns(df)
-    spark = df.sparkSession
-    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    means = values.agg(*[F.avg(c).alias(c) for c in columns]).first()
-    centre = np.array([means[c] if means[c] is not None else 0.0 for c in columns])
-    k = len(columns)
-
-    def gram(batches):
-        import pandas as pd
-
-        g, n, s = np.zeros((k, k)), 0, np.zeros(k)
-        for pdf in batches:
-            x = pdf.to_numpy(dtype=np.float64) - centre
-            g += x.T @ x
-            s += x.sum(0)
-            n += len(x)
-        i, j = np.triu_indices(k)
-        yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "g": g[i, j], "si": s[i], "sj": s[j], "n": n})
-
-    part = values.mapInPandas(gram, "i int, j int, g double, si double, sj double, n long")
-    total = part.groupBy("i", "j").agg(F.sum("g").alias("g"), F.sum("si").alias("si"), F.sum("sj").alias("sj"), F.sum("n").alias("n"))
-    cov = total.where("n > 0").select("i", "j", (F.col("g") / F.col("n") - F.col("si") / F.col("n") * F.col("sj") / F.col("n")).alias("cov"))
-    std = cov.where("i = j").select("i", F.sqrt(F.greatest("cov", F.lit(0.0))).alias("std")).where(F.col("std") > TINY)
-    names = spark.createDataFrame([(i, c) for i, c in enumerate(columns)], "i int, name string")
-    left = std.join(names, "i")
-    right = left.select(F.col("i").alias("j"), F.col("std").alias("std_j"), F.col("name").alias("b"))
-    r = F.col("cov") / F.when(F.col("std") * F.col("std_j") > 0, F.col("std") * F.col("std_j"))
-    pairs = cov.where("i < j").join(left.withColumnRenamed("name", "a"), "i").join(right, "j").withColumn("r", r)
-    return pairs.where(F.abs("r") > threshold).select("a", "b", rounded(F.col("r"), 4).alias("r"))
-
-
-def ranked(pairs: DataFrame) -> DataFrame:
-    """Correlated pairs with their rank by |r|, the highest first (ties by name)."""
-    return pairs.withColumn("rank", F.row_number().over(Window.orderBy(F.abs("r").desc(), "a", "b")))  # columns**2 / 2 rows at most
+    """drift_of() a table with places idx: `chunks` runs of rows of each series. The mean of a run under four values counts as
+    0; no row if a run had less than two."""
+    return drift_of(profile(df, columns or numeric_columns(df, by), by, chunks), by)
+
+
+def correlated_pairs(df: DataFrame, columns: list[str] | None = None, threshold: float = 0.9, by: list[str] | None = None) -> DataFrame:
+    """a, b, r (4 digits) of pairs of columns, in their order, whose Pearson correlation passes the threshold; one pass."""
+    return pairs_of(profile(df if "idx" in df.columns else df.withColumn("idx", F.lit(0)), columns or numeric_columns(df, by), by, threshold=threshold), by)
+
+
+def ranked(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Correlated pairs with their rank by |r| within a series, the highest first (ties by name)."""
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*(by or [])).orderBy(F.abs("r").desc(), "a", "b")))  # columns**2 / 2 rows at most
+
+
+BASELINE = ["features_analyzed", "missing_issues", "constant_features", "unstable_features", "redundant_pairs"]
+
+
+def summary_of(found: DataFrame, features: int, by: list[str] | None = None) -> DataFrame:
+    """by and BASELINE of a profile(), a row for each series."""
+    counts = (F.lit(features).cast("long"), F.count_if(F.col("b").isNull() & (F.col("missing") > 0)), F.count_if(is_constant()), F.count_if(F.col("b").isNull() & ~(F.col("drift_ratio") < STABLE)), F.count("b"))
+    return found.groupBy(*(by or [])).agg(*[c.alias(k) for k, c in zip(BASELINE, counts)])
 
 
 def baseline_summary(df: DataFrame, columns: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
     columns = columns or numeric_columns(df, by)
-    one = [
-        (check_missing(df, columns), "missing_issues"),
-        (check_constant(df, columns), "constant_features"),
-        (drift(df, columns, by=by).where(~F.col("stable")), "unstable_features"),
-        (correlated_pairs(df, columns), "redundant_pairs"),
-    ]
-    rows = df.sparkSession.range(1).select(F.lit("features_analyzed").alias("k"), F.lit(len(columns)).cast("long").alias("n"))
-    for d, name in one:
-        rows = rows.unionByName(d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("k"), "n"))
-    return rows.agg(*[F.max(F.when(F.col("k") == k, F.col("n"))).alias(k) for k in ["features_analyzed", *(name for _, name in one)]])
+    return summary_of(profile(df, columns, by), len(columns), by)
 
 
 def returns_sanity(df: DataFrame) -> DataFrame:
@@ -165,22 +169,30 @@ def returns_sanity(df: DataFrame) -> DataFrame:
     return df.where(r != 0).agg(F.count(r).alias("n"), F.avg(r).alias("mean"), F.min(r).alias("min"), F.max(r).alias("max"), F.coalesce(F.abs(F.avg(r)) < 0.01, F.lit(False)).alias("passed"))
 
 
-def validation_report(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """section, name, value (text) of all that a report holds; statistics don't fail it, order and duplicates (within a
-    series) do."""
-    order, twice, base = check_order(df, "timestamp_s", "idx", by=by), check_duplicates(df, by=by), baseline_summary(df, by=by)
-    out = df.agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.lit("data").alias("section"), F.lit("row_count").alias("name"), "value")
+def validation_report(df: DataFrame, by: list[str] | None = None, seq: str = "idx", ts: str = "timestamp_s", found: DataFrame | None = None) -> DataFrame:
+    """by, section, name, value (text) of all that a report holds, for each series; statistics don't fail it, order (of ts along
+    seq) and duplicates do. Two scans of the table: its keys, written by themselves, and all columns for their profile()
+    (`found`, if there is one)."""
+    by = by or []
+    columns = numeric_columns(df, [*by, seq])
+    keys = durable(df.select(*by, F.col(ts).alias("_ts"), F.col(seq).alias("_seq")))
+    rows = keys.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
+    order, twice = durable(order_of_series(keys, "_ts", "_seq", by)), durable(duplicates_of_series(keys, "_ts", by))
+    found = found if found is not None else profile(df, columns, by, seq=seq, sizes=rows)
+    out = None
 
     def add(d: DataFrame, section: str, names: list[str]):
         nonlocal out
         pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("string").alias("value")) for n in names]))
-        out = out.unionByName(d.select(pairs.alias("x")).select(F.lit(section).alias("section"), "x.*"))
+        part = d.select(*by, pairs.alias("x")).select(*by, F.lit(section).alias("section"), "x.*")
+        out = part if out is None else out.unionByName(part)
 
-    add(df.sparkSession.range(1).select(F.lit(len([c for c in df.columns if c != "idx" and c not in (by or [])])).alias("columns")), "data", ["columns"])
+    width = len([c for c in df.columns if c not in (seq, "idx", *by)])
+    add(rows.select(*by, F.col("_rows").alias("row_count"), F.lit(width).alias("columns")), "data", ["row_count", "columns"])
     add(order, "ordering", ["violations", "passed"])
     add(twice, "duplicates", ["duplicates", "passed"])
-    add(base, "baseline", ["features_analyzed", "missing_issues", "constant_features", "unstable_features", "redundant_pairs"])
-    both = order.select(F.col("passed").alias("p")).unionByName(twice.select(F.col("passed").alias("p"))).agg(F.min("p").alias("overall_passed"))
+    add(summary_of(found, len(columns), by), "baseline", BASELINE)
+    both = order.select(*by, "passed").unionByName(twice.select(*by, "passed")).groupBy(*by).agg(F.min("passed").alias("overall_passed"))
     add(both, "overall", ["overall_passed"])
     return out
 
@@ -208,7 +220,8 @@ Bounds of clipping come from the whole table: fit them on a training part before
 
 def markdown(report: DataFrame) -> str:
     """validation_report() as a Markdown table."""
-    return table_text(report.select("section", "name", "value").orderBy("section", "name"))
+    by = [c for c in report.columns if c not in ("section", "name", "value")]
+    return table_text(report.orderBy(*by, "section", "name"))
 
 
 def full_report(found: dict[str, DataFrame]) -> str:

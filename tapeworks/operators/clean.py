@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from tapeworks.functions.numbers import blank, number
 from tapeworks.schema import RAW_COLUMNS, REQUIRED
@@ -59,15 +59,32 @@ def counted(reason: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in COUNTED.items() for x in kv])[reason]
 
 
-def clean_report(raw: DataFrame) -> DataFrame:
-    """input_rows, output_rows, removed and a column for each of the four counted reasons, in one row."""
-    j = judged(raw).select("reason", F.when(F.col("reason").isNotNull(), counted(F.col("reason"))).alias("kind"))
-    return j.agg(
+def _counts() -> list[Column]:
+    kind = F.when(F.col("reason").isNotNull(), counted(F.col("reason")))
+    return [
         F.count(F.lit(1)).alias("input_rows"),
         F.count_if(F.col("reason").isNull()).alias("output_rows"),
         F.count("reason").alias("removed"),
-        *[F.count_if(F.col("kind") == r).alias(r) for r in REASONS],
-    )
+        *[F.count_if(F.coalesce(kind == r, F.lit(False))).alias(r) for r in REASONS],
+    ]
+
+
+def clean_report(raw: DataFrame) -> DataFrame:
+    """input_rows, output_rows, removed and a column for each of the four counted reasons, in one row."""
+    return judged(raw).agg(*_counts())
+
+
+def clean_to(raw: DataFrame, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(kept rows, removed rows with their reason, the report) of one scan of raw: rows are written once, dealt by whether they
+    stay, and the report is observed as they pass."""
+    spark, seen = raw.sparkSession, Observation()
+    j = judged(raw).observe(seen, *_counts())
+    j.withColumn("_gone", F.col("reason").isNotNull()).write.mode("overwrite").partitionBy("_gone").parquet(path)
+    back = spark.read.schema(T.StructType([*j.schema.fields, T.StructField("_gone", T.BooleanType())])).parquet(path)
+    got = seen.get
+    names = ["input_rows", "output_rows", "removed", *REASONS]
+    report = spark.createDataFrame([tuple(got.get(k, 0) for k in names)], ", ".join(f"{k} long" for k in names))
+    return back.where("not _gone").drop("_gone", "reason"), back.where("_gone").drop("_gone"), report
 
 
 def typed(raw: DataFrame) -> DataFrame:

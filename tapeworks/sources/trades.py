@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from tapeworks.functions.durable import durable
 from tapeworks.functions.numbers import number, utc_text
 from tapeworks.operators.series import prefix
 from tapeworks.schema import RAW_COLUMNS
 
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS])
 REST = "array<struct<id:bigint,time:bigint,price:string,qty:string,isBuyerMaker:boolean>>"
-MESSAGE = "struct<T:bigint,p:string,q:string,m:boolean,a:bigint>"
+MESSAGE = "struct<T:bigint,p:string,q:string,m:boolean,a:bigint,closing:boolean>"
 
 
 def read_trades(spark: SparkSession, path: str, more: list[str] | None = None) -> DataFrame:
@@ -19,11 +20,27 @@ def read_trades(spark: SparkSession, path: str, more: list[str] | None = None) -
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def read_numeric(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with a header; a column whose filled cells are all numbers becomes double, any other stays text."""
+def in_file_order(read: DataFrame) -> DataFrame:
+    """A DataFrame straight from files, with `seq`: the place of each row, dense from 0, in the order of the files' paths and of
+    the rows in each file. A row is known by its file, the block that its task read, and its place in the block, which
+    only the task that reads it can tell; so the rows are written with these, and blocks' row counts, a row for each block,
+    run up to offsets. No row is shuffled to be put in order."""
+    columns = read.columns
+    tagged = durable(read.select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at")))
+    blocks = tagged.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return tagged.join(offsets, ["_file", "_block"]).select(*columns, (F.col("_at") - F.col("_first") + F.col("_start")).alias("seq"))
+
+
+def read_numeric(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
+    """CSV files with a header; a column whose filled cells are all numbers becomes double, any other stays text. ordered: with
+    `seq`, the rows' place in the files."""
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    plain = raw.agg(*[F.coalesce(F.bool_and(number(F.col(c)).isNotNull() | F.col(c).isNull()), F.lit(True)).alias(c) for c in raw.columns]).first()
-    return raw.select(*[number(F.col(c)).alias(c) if plain[c] else F.col(c) for c in raw.columns])
+    names = raw.columns
+    raw = in_file_order(raw) if ordered else raw
+    plain = raw.agg(*[F.coalesce(F.bool_and(number(F.col(c)).isNotNull() | F.col(c).isNull()), F.lit(True)).alias(c) for c in names]).first()
+    return raw.select(*[number(F.col(c)).alias(c) if plain[c] else F.col(c) for c in names], *(["seq"] if ordered else []))
 
 
 def raw_row(ms: Column, price: Column, quantity: Column, maker: Column, trade_id: Column) -> list[Column]:
@@ -45,14 +62,22 @@ def parse_rest_trades(payloads: DataFrame, column: str = "payload") -> DataFrame
     return t.select(*raw_row(*(F.col(f"t.{c}") for c in ("time", "price", "qty", "isBuyerMaker", "id"))))
 
 
-def parse_agg_trades(messages: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(raw rows, messages that lack a field or aren't JSON) of stream messages; batch and streaming alike."""
+def parse_messages(messages: DataFrame, column: str = "value") -> DataFrame:
+    """messages with the raw columns, good (all fields are there) and closing (a closing record); batch and streaming alike."""
     m = messages.withColumn("_m", F.from_json(column, MESSAGE, {"mode": "PERMISSIVE"}))
     fields = [F.col(f"_m.{c}") for c in ("T", "p", "q", "m", "a")]
+    closing = F.coalesce(F.col("_m.closing"), F.lit(False)) & fields[0].isNotNull()
     bad = fields[0].isNull()
     for f in fields[1:]:
         bad = bad | f.isNull()
-    return m.where(~bad).select(*raw_row(*fields)), m.where(bad).drop("_m")
+    cells = raw_row(*fields)
+    return m.select(*messages.columns, *cells, (~bad & ~closing).alias("good"), closing.alias("closing"))
+
+
+def parse_agg_trades(messages: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(raw rows, messages that lack a field or aren't JSON) of stream messages; closing records are in neither."""
+    m = parse_messages(messages, column)
+    return m.where("good").select(*RAW_COLUMNS), m.where("not good and not closing").select(*messages.columns)
 
 
 def write_table(df: DataFrame, path: str, columns: list[str] | None = None, kind: str = "csv", by: list[str] | None = None) -> None:

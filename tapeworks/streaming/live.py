@@ -1,44 +1,95 @@
-"""Live trades: messages to raw files, bars and running sums as streams."""
+"""Live trades: messages to raw files in flushes of a bounded number of rows, bars and running sums as streams that close.
+
+A closing record is a message of a time and `closing` alone. It is no trade; it moves the watermark, so that bars and sums of a
+tape that has ended come out of the stream itself. Its time lies a delay and a bar's width after the last trade.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
+from tapeworks.operators import clean
 from tapeworks.operators.bars import aggregates, finished
-from tapeworks.sources.trades import parse_agg_trades
+from tapeworks.schema import RAW_COLUMNS
+from tapeworks.sources.trades import parse_messages
+
+FLUSH_ROWS, FLUSH_S = 50, 5
+
+
+def flush_options(rows: int = FLUSH_ROWS, seconds: int = FLUSH_S) -> dict[str, str]:
+    """Options of a Kafka stream that give a batch as soon as `rows` messages wait, or some have waited `seconds`, and never more
+    than `rows`. Offsets there are rows, so the broker bounds what a batch admits."""
+    return {"minOffsetsPerTrigger": str(rows), "maxOffsetsPerTrigger": str(rows), "maxTriggerDelay": f"{seconds}s"}
+
+
+def spooled_messages(spark: SparkSession, spool: str, rows: int = FLUSH_ROWS, file_rows: int = FLUSH_ROWS) -> DataFrame:
+    """Messages (column value) of a folder of text files, of `file_rows` lines each at most, that a connector adds to: a batch
+    admits as many files as make `rows` rows at most."""
+    if file_rows > rows:
+        raise ValueError(f"files of {file_rows} rows don't fit batches of {rows}")
+    return spark.readStream.option("maxFilesPerTrigger", rows // file_rows).text(spool)
+
+
+def closing_message(at_ms: int) -> str:
+    return json.dumps({"T": at_ms, "closing": True})
+
+
+class Beats(StreamingQueryListener):
+    """Of each batch of a query begun with collect_trades(): number, rows, dead letters and rows a second, as Spark reports them."""
 
+    def __init__(self):
+        self.seen: list[tuple[int, int, int, float]] = []
 
-def write_trades(messages: DataFrame, path: str, checkpoint: str, dead: str | None = None, beats: str | None = None, flush_s: int | None = None, flush_rows: int | None = None, kind: str = "csv"):
-    """Append the raw rows of a message stream (column value) to files at `path`, messages that can't be read to `dead`, and
-    a row for each batch to `beats` (see heartbeats()). flush_s: seconds between flushes; None drains what is there and ends.
-    flush_rows: rows of a file at most, so that a busy flush becomes several files."""
-    good, bad = parse_agg_trades(messages)
+    def onQueryStarted(self, event):
+        pass
 
-    def begun(writer, log):
-        w = writer.option("checkpointLocation", f"{checkpoint}/{log}")
-        return w.trigger(availableNow=True) if flush_s is None else w.trigger(processingTime=f"{flush_s} seconds")
+    def onQueryProgress(self, event):
+        p = event.progress
+        if beat := (p.observedMetrics or {}).get("beat"):
+            self.seen.append((p.batchId, beat["rows"], beat["dead"], p.processedRowsPerSecond))
 
-    def beat(df: DataFrame, n: int) -> None:  # a batch that runs again takes its row's place
-        df.agg(F.count(F.lit(1)).alias("rows")).withColumn("at", F.current_timestamp()).write.mode("overwrite").parquet(f"{beats}/batch={n}")
+    def onQueryTerminated(self, event):
+        pass
 
-    files = good.writeStream.outputMode("append").format(kind).option("header", True)
-    if flush_rows:
-        files = files.option("maxRecordsPerFile", flush_rows)
-    out = [begun(files, "trades").start(path)]
-    if dead:
-        out.append(begun(bad.writeStream.outputMode("append").format("parquet"), "dead").start(dead))
-    if beats:
-        out.append(begun(good.writeStream.foreachBatch(beat), "beats").start())
-    return out
+
+def collect_trades(messages: DataFrame, path: str, checkpoint: str, flush_s: int | None = None, kind: str = "csv"):
+    """One query that reads a message stream (column value) once. Each batch becomes, under `path`, the raw rows in
+    trades/batch=N, messages that can't be read in dead/batch=N and a row (rows, dead, at) in beats/batch=N. A batch that runs
+    again after a failure takes its own folders' place, so nothing is there twice and counts agree. How many rows a batch has is
+    the reader's matter: flush_options(), spooled_messages(). flush_s: seconds between batches; None drains what is there."""
+    parsed = parse_messages(messages)
+    counts = (F.count_if("good").alias("rows"), F.count_if(~F.col("good") & ~F.col("closing")).alias("dead"))
+
+    def flush(batch: DataFrame, n: int) -> None:
+        held = batch.persist()  # a flush's few rows, for the three outputs
+        try:
+            files = held.where("good").select(*RAW_COLUMNS).write.mode("overwrite")
+            (files.option("header", True).csv if kind == "csv" else files.parquet)(f"{path}/trades/batch={n}")
+            held.where("not good and not closing").select("value").write.mode("overwrite").parquet(f"{path}/dead/batch={n}")
+            held.agg(*counts).withColumn("at", F.current_timestamp()).write.mode("overwrite").parquet(f"{path}/beats/batch={n}")
+        finally:
+            held.unpersist()
+
+    w = parsed.observe("beat", *counts).writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if flush_s is None else w.trigger(processingTime=f"{flush_s} seconds")).start()
 
 
 def heartbeats(spark: SparkSession, beats: str) -> DataFrame:
-    """batch, rows, at, rows_per_s since the batch before of the same day."""
+    """batch, rows, dead, at, rows_per_s since the batch before of the same day."""
     o = Window.partitionBy(F.to_date("at")).orderBy("batch")  # a row for each flush
     seconds = F.col("at").cast("double") - F.lag("at").over(o).cast("double")
-    return spark.read.schema("rows long, at timestamp, batch long").parquet(beats).select("batch", "rows", "at", F.when(seconds > 0, F.col("rows") / F.when(seconds > 0, seconds)).alias("rows_per_s"))
+    rate = F.when(seconds > 0, F.col("rows") / F.when(seconds > 0, seconds)).alias("rows_per_s")
+    return spark.read.schema("rows long, dead long, at timestamp, batch long").parquet(beats).select("batch", "rows", "dead", "at", rate)
+
+
+def clean_stream(raw: DataFrame) -> DataFrame:
+    """Typed clean trades of a stream of raw rows, and its closing records (column closing; false if there is none)."""
+    closing = F.coalesce(F.col("closing"), F.lit(False)) if "closing" in raw.columns else F.lit(False)
+    return clean.typed(clean.judged(raw.withColumn("closing", closing)).where("closing or reason is null").drop("reason"))
 
 
 def without_replays(trades: DataFrame, delay: str = "10 seconds") -> DataFrame:
@@ -48,40 +99,67 @@ def without_replays(trades: DataFrame, delay: str = "10 seconds") -> DataFrame:
 
 
 def stream_bars(trades: DataFrame, width_s: int = 1, by: list[str] | None = None, delay: str = "10 seconds") -> DataFrame:
-    """Bars (all columns but the running sum) of a stream of typed trades, each once its watermark has passed. A finished stream
-    keeps its last bars, those that end after the last trade less the delay; batch bars() of the stored trades have them."""
+    """Bars (all columns but the running sum) of a stream of typed trades, each once its watermark has passed. With a column
+    `closing`, such rows move the watermark and are in no bar: the last bars come out behind them."""
     by = by or []
     timed = trades.withColumn("ts", F.timestamp_millis("timestamp_ms")).withWatermark("ts", delay)
-    grouped = timed.groupBy(*by, F.window("ts", f"{width_s} seconds").alias("w")).agg(*aggregates())
+    real = ~F.col("closing") if "closing" in trades.columns else None
+    grouped = timed.groupBy(*by, F.window("ts", f"{width_s} seconds").alias("w")).agg(*aggregates(real)).where("total_trades > 0")
     return finished(grouped.withColumn("timestamp_s", F.unix_seconds(F.col("w.start")))).drop("w", "_net")
 
 
-RUNNING = "n long, cvd double, s long, ss long"
-
-
-def stream_cvd(stream: DataFrame, by: list[str]) -> DataFrame:
-    """Running cvd and z-score of each series across the batches of a stream of bars (timestamp_s, net_delta,
-    total_trades): the state of a series is four numbers. Bars of a series must arrive in order, batch by batch."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
+class RunningSums(StatefulProcessor):
+    """Of one series: four sums, the place that they have come to, and the bars that wait for the watermark, by time."""
+
+    def __init__(self, by: list[str]):
+        self.by = by
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sums = handle.getValueState("sums", "last long, n long, cvd double, s long, ss long")
+        self.held = handle.getMapState("held", "t long", "net double, trades long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        last = self.sums.get()[0] if self.sums.exists() else None
+        latest = None
+        for pdf in rows:
+            for t, net, trades in zip(pdf["timestamp_s"], pdf["net_delta"], pdf["total_trades"]):
+                if trades == trades and trades is not None and (last is None or t > last):  # no closing record, not too late
+                    self.held.updateValue((int(t),), (float(net), int(trades)))
+                    latest = max(latest or int(t), int(t))
+        if latest is not None:
+            self.handle.registerTimer(latest * 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        return self.upto(key, timerValues.getCurrentWatermarkInMs())
+
+    def upto(self, key, watermark_ms: int) -> Iterator:
+        """The sums of the bars that no other can come before any more."""
+        import pandas as pd
+
+        last, n, cvd, s, ss = self.sums.get() if self.sums.exists() else (None, 0, 0.0, 0, 0)
+        out = []
+        for t, net, trades in sorted((k[0], *v) for k, v in self.held.iterator() if k[0] * 1000 <= watermark_ms):
+            last, n, cvd, s, ss = t, n + 1, cvd + net, s + trades, ss + trades * trades
+            mean = s / n
+            var = ss / n - mean * mean
+            out.append((*key, t, round(cvd, 8) + 0.0, round((trades - mean) / (var**0.5 if var > 1e-15 else 1.0), 6) + 0.0))
+            self.held.removeKey((t,))
+        if out:
+            self.sums.update((last, n, cvd, s, ss))
+            yield pd.DataFrame(out, columns=[*self.by, "timestamp_s", "cvd", "trade_intensity_zscore"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_cvd(stream: DataFrame, by: list[str], delay: str = "10 seconds") -> DataFrame:
+    """Running cvd and z-score of each series across the batches of a stream of bars (by, timestamp_s, net_delta, total_trades).
+    Bars may come in any order within the delay: each waits until the watermark has passed it, and bars are then taken in the
+    order of time. Rows without total_trades are closing records. The state of a series is five numbers and its waiting bars.
+    Needs the RocksDB state store."""
     kinds = dict(stream.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in by] + ["timestamp_s long, cvd double, trade_intensity_zscore double"])
-
-    def advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, cvd, s, ss = state.get if state.exists else (0, 0.0, 0, 0)
-        rows = pd.concat(list(parts)).sort_values("timestamp_s")  # one series in one batch
-        t = rows["total_trades"].astype("int64")
-        sums, squares, count = s + t.cumsum(), ss + (t * t).cumsum(), n + pd.Series(range(1, len(t) + 1), index=t.index)
-        total = cvd + rows["net_delta"].cumsum()
-        mean = sums / count
-        var = squares / count - mean * mean
-        std = var.where(var > 1e-15, 1.0) ** 0.5
-        out = pd.DataFrame({"timestamp_s": rows["timestamp_s"], "cvd": total.round(8) + 0.0, "trade_intensity_zscore": ((t - mean) / std).round(6) + 0.0})
-        for c, v in zip(by, key):
-            out[c] = v
-        if len(t):
-            state.update((n + len(t), float(total.iloc[-1]), int(sums.iloc[-1]), int(squares.iloc[-1])))
-        yield out[[*by, "timestamp_s", "cvd", "trade_intensity_zscore"]]
-
-    return stream.groupBy(*by).applyInPandasWithState(advance, schema, RUNNING, "append", GroupStateTimeout.NoTimeout)
+    timed = stream.withColumn("_ts", F.timestamp_seconds("timestamp_s")).withWatermark("_ts", delay)
+    return timed.groupBy(*by).transformWithStateInPandas(RunningSums(by), schema, "append", "eventTime")
