@@ -203,6 +203,170 @@ def test_correlation(spark):
     assert [r["rank"] for r in checks.ranked(checks.correlated_pairs(df, list("abc"))).orderBy("rank").collect()] == [1, 2, 3]
 
 
+def plain_moments(v):
+    n = len(v)
+    mean = sum(v) / n if n else 0.0
+    m = [sum((x - mean) ** p for x in v) / n if n else 0.0 for p in (2, 3, 4)]
+    std = math.sqrt(m[0])
+    if n < 4:
+        return 0.0, 0.0, 0.0, 0.0
+    return (mean, 0.0, 0.0, 0.0) if std < 1e-15 else (mean, std, m[1] / std**3, m[2] / std**4 - 3)
+
+
+@pytest.mark.parametrize("parts, fold", [(1, 64), (9, 2)])
+def test_profile_by_series(spark, monkeypatch, parts, fold):
+    """One pass, merged from any number of tasks, against formulas over each series' values; far from zero, with missing values,
+    constant columns, infinity, short series and a null key."""
+    from tapeworks.operators import profile as P
+
+    monkeypatch.setattr(P, "FOLD", fold)
+    rng = random.Random(21)
+    rows = []
+    for s, n in {"a": 3, "b": 9, "c": 400, None: 57, "one": 1}.items():
+        for i in range(n):
+            x = 1e9 + rng.gauss(0, 1) + i * 0.02
+            rows.append((s, i, x, 2 * x + rng.gauss(0, 0.01), 7.5, None if i % 5 == 2 else float("nan") if i % 11 == 3 else rng.random(), float("inf") if (s, i) == ("c", 5) else rng.random(), rng.randrange(4)))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "s string, idx long, x double, y double, c double, m double, w double, k int").repartition(parts)
+    columns = ["x", "y", "c", "m", "w", "k"]
+    found = P.profile(df, columns, ["s"]).collect()
+    assert len([r for r in found if r.b is None]) == 5 * 6
+    for s in ("a", "b", "c", None, "one"):
+        own = sorted((r for r in rows if r[0] == s), key=lambda r: r[1])
+        size = len(own) // 5
+        for j, c in enumerate(columns, 2):
+            v = [r[j] for r in own if r[j] is not None and r[j] == r[j]]
+            g = next(r for r in found if r.s == s and r.a == c and r.b is None)
+            assert (g.n, g.missing) == (len(v), len(own) - len(v)) and (g.low, g.high) == ((min(v), max(v)) if v else (None, None))
+            if c == "w" and s == "c":
+                continue
+            want = plain_moments(v)
+            assert all(abs(a - b) <= 1e-9 * abs(b) + 1e-6 for a, b in zip((g["mean"], g.std, g.skewness, g.kurtosis), want)), (s, c)
+            means = []
+            for k in range(5):
+                run = [x for x in (r[j] for r in own[k * size : (k + 1) * size if k < 4 else None]) if x is not None and x == x]
+                means.append(sum(run) / len(run) if len(run) >= 4 else 0.0)
+            ratio = None if size < 2 else (max(means) - min(means)) / (want[1] if want[1] > 1e-15 else 1.0)
+            assert (g.drift_ratio is None) == (ratio is None) and (ratio is None or abs(g.drift_ratio - ratio) < 1e-5 * max(1, ratio))
+    pairs = {(r.s, r.a, r.b): r.r for r in found if r.b}
+    big = [r for r in rows if r[0] == "c"]
+    assert abs(pairs["c", "x", "y"] - statistics.correlation([r[2] for r in big], [r[3] for r in big])) < 1e-9
+    assert not [k for k in pairs if "c" in k[1:] or "m" in k[1:]] and not [k for k in pairs if k[0] == "one"]
+    alone = P.profile(df.where("s = 'c'").drop("s"), columns).where("a = 'x' and b is null").first()
+    assert abs(alone.kurtosis - next(r for r in found if r.s == "c" and r.a == "x" and r.b is None).kurtosis) < 1e-6
+    assert P.profile(df.where("idx < 0"), columns, ["s"]).count() == 0 and P.profile(df.where("idx < 0"), columns).count() == 0
+
+
+def test_file_order(spark, tmp_path):
+    """Rows of several files, each cut into many blocks, keep their places."""
+    rng = random.Random(31)
+    want = []
+    for k in range(4):
+        ts = [rng.randrange(1000) for _ in range(0 if k == 2 else rng.randrange(300, 900))]
+        (tmp_path / f"part{k}.csv").write_text(",".join(RAW_COLUMNS) + "\n" + "".join(f"{t},some text,1,2,True,SELL,{i}\n" for i, t in enumerate(ts)))
+        want += ts
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("700b", "100k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = S.in_file_order(S.read_trades(spark, f"file://{tmp_path}")).select(F.col("timestamp_ms").cast("int").alias("t"), "seq", "quantity")
+            assert [(r.t, r.seq) for r in got.orderBy("seq").collect()] == [(t, i) for i, t in enumerate(want)]
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        bad = sum(b < a for a, b in zip(want, want[1:]))
+        assert tuple(checks.check_order(got, "t", "seq", 100).first()) == (bad, 6, False)
+    numbers = S.read_numeric(spark, f"file://{tmp_path}", ordered=True)
+    assert dict(numbers.dtypes)["seq"] == "bigint" and dict(numbers.dtypes)["timestamp_ms"] == "double" and numbers.where("seq = 7").first().timestamp_ms == want[7]
+
+
+def test_report_observed_on_the_write(spark):
+    rows = raw(spark, tape(random.Random(2), 50) + [(5, 0, 1, "BUY", 99), (6, 1, 1, "HOLD", 98)])
+    kept, gone, report = clean.clean_to(rows, scratch(spark))
+    assert report.first() == clean.clean_report(rows).first() and kept.columns == RAW_COLUMNS
+    assert kept.exceptAll(clean.clean_trades(rows)).count() == 0 and kept.count() == 50
+    assert sorted(r.reason for r in gone.collect()) == ["invalid_side", "zero_price"]
+    for some in (rows.where("trade_id < '98'"), rows.where("trade_id > 'x'")):
+        kept, gone, report = clean.clean_to(some, scratch(spark))
+        assert report.first() == clean.clean_report(some).first() and gone.count() == 0 and kept.count() == report.first().output_rows
+
+
+def messages_in(folder, n, rows, first=0):
+    """n messages in text files of `rows` lines, every tenth one bad; a connector's spool."""
+    import os
+
+    folder.mkdir(exist_ok=True)
+    for k in range(0, n, rows):
+        lines = [json.dumps({"T": 1000 * i, "p": "2.5", "q": "1", "m": i % 2 == 0} | ({} if i % 10 == 7 else {"a": i})) for i in range(first + k, first + min(n, k + rows))]
+        (folder / f"m{first + k:06d}.txt").write_text("\n".join(lines) + "\n")
+        os.utime(folder / f"m{first + k:06d}.txt", (10_000 + first + k, 10_000 + first + k))
+
+
+def test_flushes_of_bounded_rows_survive_a_failure(spark, tmp_path, monkeypatch):
+    """At most 50 rows a batch; a batch that dies between its outputs runs again and nothing is there twice; one query reads
+    each message once and its listener has the same counts."""
+    from tapeworks.streaming import live
+
+    messages_in(tmp_path / "in", 330, 25)
+    out, log = f"file://{tmp_path}/out", f"file://{tmp_path}/log"
+    read = lambda: live.spooled_messages(spark, f"file://{tmp_path}/in", 50, 25)
+    from pyspark.sql import DataFrameWriter
+
+    whole, calls = DataFrameWriter.parquet, []
+
+    def failing(self, path, *a, **b):
+        calls.append(path)
+        if path.endswith("dead/batch=3") and calls.count(path) == 1:
+            raise RuntimeError("killed")
+        return whole(self, path, *a, **b)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", failing)
+    beats = live.Beats()
+    spark.streams.addListener(beats)
+    try:
+        with pytest.raises(Exception, match="killed"):
+            live.collect_trades(read(), out, log).awaitTermination()
+        live.collect_trades(read(), out, log).awaitTermination()
+        spark._jsc.sc().listenerBus().waitUntilEmpty(20_000)
+    finally:
+        spark.streams.removeListener(beats)
+    got = S.read_trades(spark, f"{out}/trades")
+    assert sorted(int(r.trade_id) for r in got.collect()) == [i for i in range(330) if i % 10 != 7]
+    assert spark.read.parquet(f"{out}/dead").count() == 33
+    rows = live.heartbeats(spark, f"{out}/beats").orderBy("batch").collect()
+    assert [(r.batch, r.rows, r.dead) for r in rows] == [(k, 45, 5) for k in range(6)] + [(6, 27, 3)]
+    assert {(b, n, d) for b, n, d, _ in beats.seen} == {(r.batch, r.rows, r.dead) for r in rows}
+    messages_in(tmp_path / "in", 10, 5, 1000)
+    live.collect_trades(read(), out, log).awaitTermination()
+    assert live.heartbeats(spark, f"{out}/beats").agg(F.sum("rows"), F.max("batch")).first() == (306, 7)
+    with pytest.raises(ValueError):
+        live.spooled_messages(spark, f"file://{tmp_path}/in", 50, 60)
+
+
+def test_closing_record_brings_the_last_bars(spark, tmp_path):
+    """Without it the last bars stay in the state; messages that close are neither trades nor dead letters."""
+    from tapeworks.streaming import live
+
+    rows = tape(random.Random(17), 300)
+    lines = [json.dumps({"T": ms, "p": str(p), "q": str(q), "m": s == "SELL", "a": i}) for ms, p, q, s, i in rows]
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.txt").write_text("\n".join(lines))
+    want = B.bars(clean.typed(raw(spark, rows)))
+
+    def run():
+        parsed = S.parse_messages(spark.readStream.text(f"file://{folder}"))
+        bars = live.stream_bars(live.clean_stream(parsed.select(*RAW_COLUMNS, "closing")))
+        bars.writeStream.format("parquet").option("checkpointLocation", f"file://{tmp_path}/log").trigger(availableNow=True).start(f"file://{tmp_path}/out").awaitTermination()
+        return spark.read.parquet(f"file://{tmp_path}/out")
+
+    assert run().count() < want.count()
+    (folder / "b.txt").write_text(live.closing_message(rows[-1][0] + 1000 + 10_000))
+    got = run()
+    assert got.count() == want.count() and got.select(*[c for c in BAR_COLUMNS if c != "cvd_cumulative"]).exceptAll(want.select(*[c for c in BAR_COLUMNS if c != "cvd_cumulative"])).count() == 0
+    good, bad = S.parse_agg_trades(spark.read.text(f"file://{folder}"))
+    assert good.count() == 300 and bad.count() == 0
+
+
 def test_leakage(made):
     _, b = made
     half = b.where("idx < 350")
@@ -236,8 +400,11 @@ def test_validation_by_series(spark, tmp_path):
     t = clean.typed(clean.clean_trades(spark.createDataFrame(cells, ["series", *RAW_COLUMNS])))
     _, m = pipeline.feature_matrix(t, 1, ["series"])
     assert pipeline.validate(m, f"file://{tmp_path}", ["series"])
-    report = {(r.section, r["name"]): r.value for r in spark.read.parquet(f"file://{tmp_path}/validation/report").collect()}
-    assert report["ordering", "violations"] == report["duplicates", "duplicates"] == "0" and report["data", "columns"] == "44"
+    report = {(r.series, r.section, r["name"]): r.value for r in spark.read.parquet(f"file://{tmp_path}/validation/report").collect()}
+    for x in "xyz":
+        assert report[x, "ordering", "violations"] == report[x, "duplicates", "duplicates"] == "0" and report[x, "data", "columns"] == "44"
+        alone = pipeline.feature_matrix(t.where(F.col("series") == x).drop("series"))[1]
+        assert {(r.section, r["name"]): r.value for r in checks.validation_report(alone).collect()} == {k[1:]: v for k, v in report.items() if k[0] == x}
     text = "\n".join(r.value for r in spark.read.text(f"file://{tmp_path}/validation/report_md").collect())
     assert all(f"## {x}" in text for x in ("report", "columns", "moments", "drift", "pairs", "returns", "costs", "leakage"))
     twice = m.unionByName(m.where("idx = 3"))
@@ -246,6 +413,8 @@ def test_validation_by_series(spark, tmp_path):
     for size in (3, 1000):
         assert checks.check_order(late, "timestamp_s", "idx", size, ["series"]).first().violations == 1
     assert not pipeline.validate(late, f"file://{tmp_path}/late", ["series"])
+    failed = spark.read.parquet(f"file://{tmp_path}/late/validation/report").where("name = 'overall_passed'").collect()
+    assert {r.series: r.value for r in failed} == {"x": "true", "y": "false", "z": "true"}
 
 
 def test_costs(spark):
@@ -296,7 +465,7 @@ def test_latest_input(spark, tmp_path):
     assert S.latest_input(spark, f"file://{tmp_path}/*.csv").first().path.endswith("/b.csv")
 
 
-@pytest.mark.parametrize("name", ["stream_bars", "stream_cvd", "stream_resume", "stream_trades", "check_order", "bars", "stream_flush", "stream_metrics", "validation_by_series", "clean_price", "columns_report", "bounds_by_series", "winsor_by_series"])
+@pytest.mark.parametrize("name", ["stream_bars", "stream_cvd", "stream_resume", "stream_trades", "check_order", "bars", "stream_flush", "stream_metrics", "validation_by_series", "clean_price", "columns_report", "bounds_by_series", "winsor_by_series", "check_file_order", "validation_of_file", "clean_on_write", "profile_by_series", "pairs_by_series"])
 def test_queries_equal_sql(spark, name):
     import duckdb
 
