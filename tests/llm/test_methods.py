@@ -165,17 +165,80 @@ def test_words_of():
     assert flat.tolist() == [one[w] for t in texts for w in re.findall(r"\w+", t.lower())] and len(set(one.values())) == len(one)
 
 
-def test_compression_bands():
+def test_compression_bands(spark):
+    """A corpus too small for limits of its own: the wide fixed bands, for whole texts and every chunk."""
+    rng = random.Random(5)
+    good, junk = prose(rng, 3000)[: quality_rules.CHUNK], " x" * (quality_rules.CHUNK // 2 - 1)
+    noise = "".join(chr(rng.randrange(33, 127)) + " " * (k % 60 == 0) for k in range(9000))
+    texts = [good + junk, junk + good, prose(rng, 5000), noise, good]
+    rows = quality_rules.judge(spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)).orderBy("doc_id").collect()
+    assert [(r.n_chunks, r.n_bad_chunks) for r in rows[:2]] == [(2, 1), (2, 1)] and rows[2].n_chunks > 5 and rows[2].n_bad_chunks == 0
+    assert [r.kept for r in rows] == [False, False, True, False, True] and not rows[3].base_failed and rows[3].zstd_ratio < 1.3
+
+
+def plain_verdicts(texts):
+    """Compression bands of a corpus by plain Python: classes, quartiles, smoothed middles, limits, verdicts."""
+    import math
+    import statistics
+
     import zstandard
 
-    squeeze = zstandard.ZstdCompressor(level=quality_rules.LEVEL).compress
-    rng = random.Random(5)
-    good, junk = prose(rng, 3000).encode()[: quality_rules.CHUNK], b"x" * (quality_rules.CHUNK - 1)
-    assert quality_rules.compression(good + junk, squeeze)[1:] == (2, 1, False)
-    assert quality_rules.compression(junk + good[: quality_rules.CHUNK], squeeze)[3] is False
-    ratio, n, bad, kept = quality_rules.compression(prose(rng, 5000).encode(), squeeze)
-    assert kept and bad == 0 and n > 5 and 1.4 < ratio < 6
-    assert quality_rules.compression(bytes(rng.randrange(33, 127) for _ in range(9000)), squeeze)[3] is False
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    ratio = lambda b: len(b) / len(squeeze(b))
+    of = lambda n: math.floor(2 * math.log2(n))
+    raw = [(t or "").encode() for t in texts]
+    failed = [quality_rules.base_rules(b)[-1] for b in raw]
+    classes = collections.defaultdict(set)
+    for b, f in zip(raw, failed):
+        if not f:
+            classes[of(len(b))].add((len(b), ratio(b)))
+    q = {}
+    for k, pairs in classes.items():
+        v = sorted(r for _, r in pairs)
+        if len(v) >= 30:
+            q[k] = [v[max(0, math.ceil(p * len(v)) - 1)] for p in (0.25, 0.5, 0.75)]
+    assert len(q) >= 4
+    ks = sorted(q)
+    slope = statistics.median((q[j][1] - q[i][1]) / (j - i) for i in ks for j in ks if i < j)
+
+    def limits(n):
+        k = of(n)
+        to = min(max(k, ks[0]), ks[-1])
+        near = [c for c in ks if abs(c - to) <= 2] or [min(ks, key=lambda c: abs(c - to))]
+        m = statistics.median(q[c][1] - slope * (c - to) for c in near) + slope * (k - to)
+        w = max(0.03, statistics.median((q[c][2] - q[c][0]) / 1.349 for c in near))
+        return m - 8 * w, m + 3 * w, m + 4 * w
+
+    out = []
+    for b, f in zip(raw, failed):
+        good = bool(b) and limits(len(b))[0] <= ratio(b) <= limits(len(b))[1]
+        parts = [b[k : k + 4096] for k in range(0, len(b), 4096)] if len(b) >= 4096 else []
+        bad = sum(not limits(len(p))[0] <= ratio(p) <= limits(len(p))[2] for p in parts)
+        out.append(not f and good and bad <= 0.34 * len(parts))
+    return out
+
+
+def test_bands_from_the_corpus(spark):
+    """All verdicts of a table against a plain re-computation; bands decide rows, nearly none of them clean ones; a third of
+    all rows being copies of one text, and a large family of near-copies, change no verdict on the rest."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()
+    judged = lambda texts: quality_rules.judge(spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)).orderBy("doc_id").collect()
+    got = judged([r.text for r in rows])
+    assert [r.kept for r in got] == plain_verdicts([r.text for r in rows])
+    label = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    by_bands = [label.get(r.doc_id) for r, g in zip(rows, got) if not g.base_failed and not g.kept]
+    passed = collections.Counter(label.get(r.doc_id) for r, g in zip(rows, got) if not g.base_failed)
+    assert by_bands.count(0) >= 0.7 * passed[0] and by_bands.count(1) <= 0.02 * passed[1]
+    base = next(r.text for r, g in zip(rows, got) if g.kept and 3000 < len(r.text) < 3500)
+    words, rng = base.split(), random.Random(3)
+    family = [base] * 400
+    for _ in range(200):
+        w = list(words)
+        w[rng.randrange(len(w))] = rng.choice(words)
+        family.append(" ".join(w))
+    again = judged([r.text for r in rows] + family)
+    moved = sum(a.kept != b.kept for a, b in zip(got, again))
+    assert moved <= 0.02 * len(rows), moved
 
 
 def test_rows_without_an_id(spark):
