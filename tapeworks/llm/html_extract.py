@@ -8,15 +8,17 @@
    class that keeps parents and order. For each exemplar node the trees that have it are counted, and for each
    text in it the trees that have that text there, as partial sums.
 4. Constant text is template: what at least two trees, and `CONSTANT` of those that have the node, hold at one node. The rest
-   varies. From the root of the exemplar, the way leads down to the child that holds `MOST` of the varying text, as long as
-   there is one and no varying heading stands beside it: where it ends is the content slot. Below it, constant text is template only
-   on hosts of `SUPPORT` trees or more and never in a heading, as few pages may share a passage of their own.
+   varies. From the root of the exemplar, the way leads down to the content slot: to the child below which an article or
+   else the highest varying heading stands, if it has `HEADED` of the varying text, or else to the one that has `MOST` of it; an article ends the
+   way, and so does a varying heading among the children. What varies beside the way is none of the article: teasers, readers'
+   answers, lists of news. Within the slot, text that pages share stays (a passage, the head of a table, a label), but for
+   blocks without a prose element's tag (`PROSE`) below which nothing varies on any page.
 5. A page's text is that of its nodes that are aligned with the content slot, without template text. Varying elements in it that
    are no part of an article go by what they are: menus, headers without a heading, footers, sidebars, forms, notices, adverts, reader
    comments (`DROP_TAGS`, `DROP_ROLES`, `DROP_NAMES`).
-6. A page without such a slot (its host has one distinct tree, or it is not aligned with the slot) goes by element rules alone: the
-   text of its articles (`article`, `main`, or a node whose role says so), or of its body where it has none, less
-   boilerplate elements and lists of links.
+6. A page without such a slot (its host has one distinct tree, or it is not aligned with the slot) goes by element rules: the
+   text of its articles (`article`, `main`, or a node whose role says so), less boilerplate elements and lists of links. Where it
+   has none, the same way leads down its own tree, all its text taken as varying.
 
 Blocks are joined in page order by one line feed; white space in a block is one space; character references are decoded.
 A null or empty html, or one without text, gives the empty text. Pages without host share one that is empty. Pages of any
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapeworks.llm.common import HOT, blocks, dealt, each_deal, hot_keys, spread, table, written
 
-SUPPORT, CONSTANT, MOST = 5, 0.7, 0.9
+CONSTANT, MOST, HEADED = 0.7, 0.75, 0.3
 #: Names of elements and of classes.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template svg iframe xmp".split())
@@ -48,6 +50,7 @@ DROP_NAMES = set("ad ads advert adverts advertisement sponsor sponsored promo pr
 PARTS = set("area bar block body box button buttons container content form frame footer header inner item items link links list msg message notice panel popup row section slot text thread top unit widget wrap wrapper".split())
 DROP_ROLES = set("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+PROSE = HEADINGS | set("p li dt dd td th caption blockquote pre figcaption summary address article main body html #root".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 
@@ -354,30 +357,51 @@ def wrapper(tree: str, rows: list[tuple[int, int, int, int]]) -> tuple[int, list
                 constant.append((node, h))
             else:
                 mass[node] += n * size
-    parent = [-1] * len(model)
+    at, below = slot_of(model, mass)
+    if at < 0:
+        return -1, []
+    varies = list(mass)
+    for k in range(len(model) - 1, 0, -1):
+        varies[below[k][0]] += varies[k]
+    inner = lambda node: at <= node <= below[at][1]
+    generic = lambda node: node != at and model[node].name.split(".")[0] not in PROSE and not varies[node]
+    kept = [(k, h) for k, h in constant if not inner(k) or generic(k)]
+    return at, [x for pair in sorted(kept) for x in pair]
+
+
+def slot_of(model: list[Folded], own: list[int]) -> tuple[int, list[tuple[int, int]]]:
+    """The content slot's node number (-1: none), and of each node its parent and the last node below it; own: varying text of
+    each node."""
+    parent, last, mass, top = [-1] * len(model), list(range(len(model))), list(own), [7] * len(model)
     for f in model:
         for c in f.children:
             parent[c.number] = f.number
-    last = list(range(len(model)))  # the last node below each one
-    own = list(mass)
+    tags = [f.name.split(".")[0] for f in model]
     for k in range(len(model) - 1, 0, -1):
-        element = Node(model[k].name.split(".")[0], {"class": model[k].name.partition(".")[2].replace(".", " ")})
+        element = Node(tags[k], {"class": model[k].name.partition(".")[2].replace(".", " ")})
+        if tags[k] in HEADINGS and own[k]:
+            top[k] = int(tags[k][1])
+        if tags[k] in ("article", "main") and mass[k]:
+            top[k] = 0
         if boilerplate(element, False):
-            mass[k] = 0
-        mass[parent[k]] += mass[k]
-        last[parent[k]] = max(last[parent[k]], last[k])
+            mass[k], top[k] = 0, 7
+        up = parent[k]
+        mass[up] += mass[k]
+        top[up] = min(top[up], top[k])
+        last[up] = max(last[up], last[k])
     at = 0
-    while mass[at] and model[at].name.split(".")[0] != "article":
-        heading = any(own[c.number] for c in model[at].children if c.name.split(".")[0] in HEADINGS)
-        best = max(model[at].children, key=lambda c: mass[c.number], default=None)
-        if heading or best is None or not best.children or mass[best.number] < MOST * mass[at]:
+    while mass[at] and tags[at] != "article":
+        inside = model[at].children
+        if any(own[c.number] for c in inside if c.name.split(".")[0] in HEADINGS):
+            break
+        best = max(inside, key=lambda c: mass[c.number], default=None)
+        headed = max((c for c in inside if top[c.number] == top[at] < 7), key=lambda c: mass[c.number], default=None)
+        if headed is not None and headed.children and mass[headed.number] >= HEADED * mass[at]:
+            best = headed
+        elif best is None or not best.children or mass[best.number] < MOST * mass[at]:
             break
         at = best.number
-    if not mass[at]:
-        return -1, []
-    inner = lambda node: at <= node <= last[at]
-    kept = [(k, h) for k, h in constant if not inner(k) or total >= SUPPORT and model[k].name.split(".")[0] not in HEADINGS]
-    return at, [x for pair in sorted(kept) for x in pair]
+    return (at if mass[at] else -1), list(zip(parent, last))
 
 
 def induce(pages: DataFrame, hot: DataFrame | None = None) -> DataFrame:
@@ -460,6 +484,10 @@ def extract(pages: DataFrame) -> DataFrame:
                             content = x.nodes
                         if known:
                             fixed.update(id(n) for n in x.nodes if (y.number, text_hash(split(n)[0])) in known)
+                if content is None and not root.article:
+                    own = fold(root)
+                    slot_here, _ = slot_of(own, [sum(n for _, n in f.texts) for f in own])
+                    content = own[slot_here].nodes if slot_here > 0 else None
                 text = text_of(root, fixed, content)
                 rows.append((i, url, text, len(text)))
             yield _arrow(rows, ["page_id", "url", "text", "n_chars"], [pa.int64(), pa.string(), pa.string(), pa.int64()])

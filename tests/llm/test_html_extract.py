@@ -3,6 +3,7 @@
 import functools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tapeworks.llm import html_extract as H
@@ -69,6 +70,52 @@ def test_wrapper_finds_the_slot_without_article(spark):
     assert extracted(spark, rows) == want
 
 
+PARTS = [
+    ("<p>{}</p>", 30), ("<p>{} <em>more</em></p>", 20), ("<ul><li>{}</li></ul>", 8), ("<blockquote>{}</blockquote>", 12), ("<pre>{}</pre>", 6),
+]
+SHARED = '<table><tr><th>Price</th><th>Size</th></tr><tr><td>{}</td><td>{}</td></tr></table><dl><dt>Colour</dt><dd>{}</dd></dl><p>The committee met on Monday and agreed the following.</p><blockquote>All shall have prizes, said the chair.</blockquote>'
+
+
+def shared_text(a, b, c):
+    return ["Price", "Size", a, b, "Colour", c, "The committee met on Monday and agreed the following.", "All shall have prizes, said the chair."]
+
+
+@pytest.mark.parametrize("pages", [2, 4, 8])
+@pytest.mark.parametrize("box", ["article", "div class=content"])
+def test_text_of_made_up_hosts(spark, pages, box):
+    """Pages of many layouts whose text is known by construction: passages, table heads and labels that a host's pages share stay on
+    hosts of any size; varying teasers and readers' answers beside the slot go, by no name that the rules list."""
+    rng = random.Random(pages)
+    word = lambda: rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) + str(rng.randrange(999))
+    words = lambda n: " ".join(word() for _ in range(n))
+    rows, want = [], {}
+    for host in range(6):
+        wrap = rng.randrange(3)
+        for k in range(pages):
+            title, blocks, lines = words(5), [], []
+            for _ in range(rng.randrange(3, 7)):
+                form, n = rng.choice(PARTS)
+                t = words(n)
+                blocks.append(form.format(t))
+                lines.append(t + " more" if "<em>" in form else t)
+            cells = [words(2) for _ in range(3)]
+            at = rng.randrange(len(blocks) + 1)
+            blocks.insert(at, SHARED.format(*cells))
+            lines[at:at] = shared_text(*cells)
+            content = f"<{box}><h1>{title}</h1>{''.join(blocks)}</{box.split()[0]}>"
+            page = f"<div class=brand>The daily thing {host}</div><div class=row>{content}<div class=teaser>{words(40)}</div></div><div class=responses>{''.join(f'<p>{words(9)}</p>' for _ in range(k % 3))}</div><div class=legal>(c) all rights</div>"
+            page = "<div>" * wrap + page + "</div>" * wrap
+            i = host * 100 + k
+            rows.append((i, f"http://host{host}/{k}", f"<html><body>{page}</body></html>"))
+            want[i] = "\n".join([title, *lines])
+    assert extracted(spark, rows) == want
+
+
+def test_one_page_of_a_host_without_an_article(spark):
+    html = "<body><div class=a>Home About</div><div class=b><h1>Title</h1><p>Some words of the page.</p><p>And more of them.</p></div><div class=c>(c) all rights</div></body>"
+    assert extracted(spark, [(1, "http://alone/", html)]) == {1: "Title\nSome words of the page.\nAnd more of them."}
+
+
 def test_constant_headings_and_words_in_a_paragraph_stay(spark):
     rows = [(i, f"http://h/{i}", f"<article><h1>Report</h1><p><b>Rome:</b> text {i} {'of some length ' * 4}</p><div class=zz>Join now</div></article>") for i in range(6)]
     rows += [(7, "http://two/1", "<article><p>shared words</p><p>one</p></article>"), (8, "http://two/2", "<article><p>shared words</p><p>two</p></article>")]
