@@ -13,7 +13,7 @@ from tapeworks.operators.features import features
 from tapeworks.operators.profile import profile
 from tapeworks.operators.winsor import clip, winsor_bounds
 from tapeworks.schema import FEATURES, RETURN_WINDOWS, SLOPE_WINDOWS, VOL_WINDOWS
-from tapeworks.sources import trades as S
+from tapeworks.sources import tables, trades as S
 from tapeworks.streaming import live
 
 QUERIES: dict = {}
@@ -384,6 +384,18 @@ def stream_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.heartbeats(spark, f"{path}/beats").select("batch", "rows", "dead").join(stored.select(F.col("batch").cast("long").alias("batch"), "stored", "files"), "batch", "left")
 
 
+@query
+def packed_flushes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream's flushes taken into a table of days, whose files are then packed; each row's day, and the files of that day."""
+    flushes, path = _collected(spark, sf_dir), scratch(spark)
+    tables.take_flushes(spark, flushes, path)
+    tables.pack(spark, path)
+    rows = tables.read_table(spark, path)
+    days = rows.select("day", F.col("trade_id").cast("long").alias("trade_id"))
+    found = typed(rows).join(days, "trade_id").join(tables.files_of(spark, path).select("day", "files"), "day")
+    return found.withColumn("day", F.col("day").cast("string"))
+
+
 @query
 def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each message sent twice, and the stream begun again on its log: every trade is there once."""

@@ -285,6 +285,7 @@ _MIXED = LONG.replace("matrix AS MATERIALIZED", "matrix0 AS MATERIALIZED", 1).re
 _BAD = "(SELECT count(*) FILTER (bad) FROM (SELECT timestamp_s < lag(timestamp_s) OVER (ORDER BY idx) AS bad FROM matrix))"
 SQL["validation_of_file"] = f"{_MIXED}\n" + _report_sql({("ordering", "violations"): _BAD, ("ordering", "passed"): f"{_BAD} = 0", ("overall", "overall_passed"): f"{_BAD} = 0"})
 SQL["clean_on_write"] = SQL["clean_report"].replace(" FROM judged", ", count(*) FILTER (reason IS NULL) AS kept_rows, count(reason) AS removed_rows FROM judged")
+SQL["packed_flushes"] = f"SELECT *, strftime(make_timestamp(timestamp_ms * 1000), '%Y-%m-%d') AS day, CAST(1 AS BIGINT) AS files FROM ({SQL['stream_trades']})"
 SQL["bounds_by_series"] = f"{_by_user(BOUNDS)}\nSELECT * FROM bounds"
 SQL["winsor_by_series"] = f"{_by_user(MATRIX)}\nSELECT user_id, timestamp_s, {', '.join(map(_shown, FEATURES))} FROM matrix"
 SQL["redundant_ranked"] = f"{LONG}\nSELECT a, b, r, CAST(row_number() OVER (ORDER BY abs(r) DESC, a, b) AS INTEGER) AS rank FROM pairs"

@@ -367,6 +367,44 @@ def test_closing_record_brings_the_last_bars(spark, tmp_path):
     assert good.count() == 300 and bad.count() == 0
 
 
+def test_flushes_become_a_packed_table(spark, tmp_path):
+    """Flushes are taken once each; packing leaves the rows, and a bounded number of files; readers of the version before go on."""
+    from tapeworks.sources import tables
+    from tapeworks.streaming import live
+
+    (tmp_path / "in").mkdir()
+    day = 86_400_000
+
+    def spool(k):
+        lines = [json.dumps({"T": (i % 3) * day + i, "p": "2.5", "q": "1", "m": True, "a": i}) for i in range(k * 40, k * 40 + 40)]
+        (tmp_path / "in" / f"{k}.txt").write_text("\n".join(lines))
+
+    flushes, path = f"file://{tmp_path}/out", f"file://{tmp_path}/table"
+
+    def collect(*ks):
+        for k in ks:
+            spool(k)
+        live.collect_trades(live.spooled_messages(spark, f"file://{tmp_path}/in"), flushes, f"file://{tmp_path}/log").awaitTermination()
+        return tables.take_flushes(spark, flushes, path)
+
+    assert tables.read_table(spark, path).count() == 0 and tables.pack(spark, path) == 0
+    assert [collect(0, 1), collect(2), collect(), collect(3)] == [2, 1, 0, 1]
+    rows = lambda df: sorted((int(r.trade_id), str(r.day)) for r in df.collect())
+    want = [(i, f"1970-01-0{i % 3 + 1}") for i in range(160)]
+    old = tables.read_table(spark, path)
+    assert rows(old) == want and {r.files for r in tables.files_of(spark, path).collect()} == {3}
+    assert tables.pack(spark, path) == 3 and tables.pack(spark, path) == 0
+    assert {r.files for r in tables.files_of(spark, path).collect()} == {1}
+    assert rows(tables.read_table(spark, path)) == rows(old) == rows(tables.read_table(spark, path, 3)) == want
+    assert collect(4) == 1 and tables.read_table(spark, path).count() == 200
+    least = min(r.bytes for r in tables.files_of(spark, path).collect())
+    assert tables.pack(spark, path, least // 2) == 0 and tables.pack(spark, path, least * 4) == 3
+    before = tables.state(spark, path)
+    with pytest.raises(tables.Conflict):
+        tables._commit(spark, path, before)
+    assert tables.clean_up(spark, path) > 3 and rows(tables.read_table(spark, path))[:160] == want and tables.clean_up(spark, path) == 0
+
+
 def test_leakage(made):
     _, b = made
     half = b.where("idx < 350")
@@ -465,7 +503,7 @@ def test_latest_input(spark, tmp_path):
     assert S.latest_input(spark, f"file://{tmp_path}/*.csv").first().path.endswith("/b.csv")
 
 
-@pytest.mark.parametrize("name", ["stream_bars", "stream_cvd", "stream_resume", "stream_trades", "check_order", "bars", "stream_flush", "stream_metrics", "validation_by_series", "clean_price", "columns_report", "bounds_by_series", "winsor_by_series", "check_file_order", "validation_of_file", "clean_on_write", "profile_by_series", "pairs_by_series"])
+@pytest.mark.parametrize("name", ["stream_bars", "stream_cvd", "stream_resume", "stream_trades", "check_order", "bars", "stream_flush", "stream_metrics", "validation_by_series", "clean_price", "columns_report", "bounds_by_series", "winsor_by_series", "check_file_order", "validation_of_file", "clean_on_write", "profile_by_series", "pairs_by_series", "packed_flushes"])
 def test_queries_equal_sql(spark, name):
     import duckdb
 
