@@ -34,11 +34,13 @@ def odd(c: str) -> Column:
 
 
 class Running:
-    """Running sums of a chunk's rows, as columns of it; sums over windows are their differences."""
+    """Running sums of a chunk's rows, as columns of it; sums over windows are their differences. What an expression needs of an
+    earlier row is noted and becomes one column, however often it is used: expressions of windows are never repeated."""
 
     def __init__(self, df: DataFrame, by: list[str]):
-        self.df, self.o, self.made = df, in_chunk(by), {}
+        self.df, self.o, self.made, self.lags, self.sums = df, in_chunk(by), {}, {}, {}
         self.upto = self.o.rowsBetween(Window.unboundedPreceding, 0)
+        self.kinds: dict[str, str] = {}
 
     def add(self, name: str, value: Column) -> None:
         self.made[f"_r_{name}"] = F.sum(value).over(self.upto)
@@ -47,14 +49,22 @@ class Running:
         self.add(c, F.coalesce(units(c, digits), F.lit(0).cast("decimal(38,0)")))
         self.add(f"{c}_odd", odd(c))
 
-    def done(self) -> DataFrame:
+    def done(self) -> None:
         self.df = self.df.withColumns(self.made)
-        return self.df
+        self.kinds = dict(self.df.dtypes)
+
+    def back(self, k: int, c: str) -> Column:
+        """Column c, k rows before."""
+        self.lags[f"_g{k}_{c}"] = F.lag(c, k).over(self.o)
+        return F.col(f"_g{k}_{c}")
 
     def sum(self, name: str, a: int, b: int = 1) -> Column:
         """Over the rows from a to b rows before."""
-        zero = F.lit(0).cast(dict(self.df.dtypes)[f"_r_{name}"])
-        return F.lag(f"_r_{name}", b).over(self.o) - F.coalesce(F.lag(f"_r_{name}", a + 1).over(self.o), zero)
+        key = f"_w{a}_{b}_{name}"
+        if key not in self.sums:
+            zero = F.lit(0).cast(self.kinds[f"_r_{name}"])
+            self.sums[key] = self.back(b, f"_r_{name}") - F.coalesce(self.back(a + 1, f"_r_{name}"), zero)
+        return F.col(key)
 
     def finite(self, c: str, value: Column, a: int, b: int = 1) -> Column:
         """value, unless a number of the window isn't finite: then what adding them up gives."""
@@ -67,6 +77,10 @@ class Running:
         """The sum of a column added by add_exact()."""
         return self.finite(c, self.sum(c, a, b).cast("double") / F.lit(10.0**digits), a, b)
 
+    def with_columns(self, new: dict[str, Column]) -> DataFrame:
+        """The rows with `new`, whose expressions may use what has been noted."""
+        return self.df.withColumns(self.lags).withColumns(self.sums).withColumns(new)
+
 
 def nothing(c: Column) -> Column:
     """c, or not a number where a window holds something that isn't finite."""
@@ -82,11 +96,8 @@ def features(bars: DataFrame, width_s: int = 1, by: list[str] | None = None, chu
     df = chunked(summed.withColumn("cvd", rounded(F.col("_cvd"), 8)), chunk)
     o = in_chunk(by)
 
-    def back(k: int, c: str) -> Column:
-        return F.lag(c, k).over(o)
-
-    close, before = F.col("price_close"), back(1, "price_close")
-    df = df.withColumn("_before", before)
+    close = F.col("price_close")
+    df = df.withColumn("_before", F.lag("price_close", 1).over(o))
     returns = F.when((F.col("idx") > 0) & (F.col("_before") > 0) & (close > 0), F.ln(close / F.col("_before"))).otherwise(F.lit(0.0))
     df = df.withColumns({"returns": rounded(returns, 10), "abs_returns": rounded(F.abs(returns), 10), "_step": F.abs(close - F.col("_before"))})
     r = Running(df, by)
@@ -95,10 +106,11 @@ def features(bars: DataFrame, width_s: int = 1, by: list[str] | None = None, chu
     square = units("returns", 10)
     r.add("squares", F.coalesce(square * square, F.lit(0)).cast("decimal(38,0)"))
     r.add("trades", n)
-    r.add("moment", F.coalesce(units("cvd", 8) * F.col("idx"), F.lit(0)).cast("decimal(38,0)"))
-    r.add("places", F.col("idx").cast("decimal(38,0)"))
-    df = r.done()
-    new: dict[str, Column] = {}
+    place = F.col("idx") - F.col("chunk") * F.lit(chunk or 0)  # slopes don't hang on where counting begins: small numbers
+    r.add("moment", F.coalesce(units("cvd", 8) * place, F.lit(0)).cast("decimal(38,0)"))
+    r.add("places", place.cast("decimal(38,0)"))
+    r.done()
+    back, new = r.back, {}
     for w in RETURN_WINDOWS:
         new[f"return_{w}s"] = rounded(warm(w, r.total("returns", 10, w)), 10)
         new[f"volume_{w}s"] = rounded(warm(w, r.total("total_volume", 6, w)), 8)
@@ -122,9 +134,10 @@ def features(bars: DataFrame, width_s: int = 1, by: list[str] | None = None, chu
         new[f"net_delta_mom_{w}s"] = rounded(warm(w, r.total("net_delta", 6, w)), 8)
     prior = r.total("total_volume", 6, 60, 31)
     new["vroc_30s"] = rounded(warm(60, F.when(prior > TINY, (r.total("total_volume", 6, 30) - prior) / F.when(prior > TINY, prior)).otherwise(F.lit(0.0))), 8)
-    path = F.sum("_step").over(o.rowsBetween(-29, -1))
+    r.lags["_path"] = F.sum("_step").over(o.rowsBetween(-29, -1))
+    path = F.col("_path")
     new["efficiency_ratio_30s"] = rounded(warm(30, F.when(path > TINY, F.abs(back(1, "price_close") - back(30, "price_close")) / F.when(path > TINY, path)).otherwise(F.lit(0.0))), 8)
     both = F.col("buy_vol") + F.col("sell_vol")
     new["vol_imbalance"] = rounded(F.when(both > TINY, (F.col("buy_vol") - F.col("sell_vol")) / F.when(both > TINY, both)).otherwise(F.lit(0.0)), 8)
     new["price_vwap_dist"] = rounded(F.when(F.col("vwap") > TINY, (close - F.col("vwap")) / F.when(F.col("vwap") > TINY, F.col("vwap"))).otherwise(F.lit(0.0)), 8)
-    return df.withColumns(new).where(~F.col("halo")).select(*by, *BAR_COLUMNS, *FEATURES, "idx")
+    return r.with_columns(new).where(~F.col("halo")).select(*by, *BAR_COLUMNS, *FEATURES, "idx")
