@@ -62,6 +62,13 @@ def write_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@query
+def write_table_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars in a folder for each day."""
+    S.write_table(tape.bars(spark, sf_dir), path := scratch(spark), ["timestamp_s", "price_close"], "parquet", seconds="timestamp_s")
+    return spark.read.parquet(path).select("timestamp_s", "price_close", F.regexp_extract(F.input_file_name(), "/day=([^/]*)/", 1).alias("day"))
+
+
 @query
 def parse_rest_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed(S.parse_rest_trades(tape.rest_pages(spark, sf_dir)))
@@ -341,6 +348,12 @@ def chart_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.chart_series(tape.matrix(spark, sf_dir))
 
 
+@query
+def chart_thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of ten bars."""
+    return summary.chart_series(tape.matrix(spark, sf_dir), 10).withColumn("returns", rounded(F.col("returns") + F.lit(1.7e-11), 8)).drop("vol_30", "vol_60")
+
+
 @query
 def feature_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.feature_preview(tape.matrix(spark, sf_dir))

@@ -286,6 +286,8 @@ _BAD = "(SELECT count(*) FILTER (bad) FROM (SELECT timestamp_s < lag(timestamp_s
 SQL["validation_of_file"] = f"{_MIXED}\n" + _report_sql({("ordering", "violations"): _BAD, ("ordering", "passed"): f"{_BAD} = 0", ("overall", "overall_passed"): f"{_BAD} = 0"})
 SQL["clean_on_write"] = SQL["clean_report"].replace(" FROM judged", ", count(*) FILTER (reason IS NULL) AS kept_rows, count(reason) AS removed_rows FROM judged")
 SQL["packed_flushes"] = f"SELECT *, strftime(make_timestamp(timestamp_ms * 1000), '%Y-%m-%d') AS day, CAST(1 AS BIGINT) AS files FROM ({SQL['stream_trades']})"
+SQL["write_table_by_day"] = f"{BARS}\nSELECT timestamp_s, price_close, strftime(make_timestamp(timestamp_s * 1000000), '%Y-%m-%d') AS day FROM bars"
+SQL["chart_thinned"] = f"{MATRIX}\nSELECT max(idx) AS x, last(price_close ORDER BY idx) AS price, min(price_low) AS low, max(price_high) AS high, round(sum(buy_vol), 6) + 0.0 AS buy, round(sum(0.0 - sell_vol), 6) + 0.0 AS sell, round(round(sum(returns), 10) + 1.7e-11::DOUBLE, 8) + 0.0 AS returns, last(cvd_cumulative ORDER BY idx) AS cvd FROM matrix GROUP BY idx // 10"
 SQL["bounds_by_series"] = f"{_by_user(BOUNDS)}\nSELECT * FROM bounds"
 SQL["winsor_by_series"] = f"{_by_user(MATRIX)}\nSELECT user_id, timestamp_s, {', '.join(map(_shown, FEATURES))} FROM matrix"
 SQL["redundant_ranked"] = f"{LONG}\nSELECT a, b, r, CAST(row_number() OVER (ORDER BY abs(r) DESC, a, b) AS INTEGER) AS rank FROM pairs"

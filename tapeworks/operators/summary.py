@@ -20,12 +20,22 @@ def tape_span(trades: DataFrame) -> DataFrame:
 
 
 def chart_series(feats: DataFrame, every: int = 1) -> DataFrame:
-    """x, price, buy, sell (negative), returns, vol_30, vol_60, cvd by bar; with every > 1, the last bar of each run."""
-    at = feats if every == 1 else feats.where((F.col("idx") % every) == every - 1)
-    return at.select(
-        F.col("idx").alias("x"), F.col("price_close").alias("price"), F.col("buy_vol").alias("buy"), (F.lit(0.0) - F.col("sell_vol")).alias("sell"), "returns",
-        F.col("realized_vol_30s").alias("vol_30"), F.col("realized_vol_60s").alias("vol_60"), F.col("cvd_cumulative").alias("cvd"),
+    """x, price, buy, sell (negative), returns, vol_30, vol_60, cvd by bar. every > 1: a row for each run of that many bars, with
+    its lowest and highest price as low and high, volumes and returns added up, and the rest as at its last bar; so no
+    high or low of the tape is lost however few points are drawn. Runs are partial aggregates: no order, no window."""
+    sell = F.lit(0.0) - F.col("sell_vol")
+    if every == 1:
+        return feats.select(
+            F.col("idx").alias("x"), F.col("price_close").alias("price"), F.col("buy_vol").alias("buy"), sell.alias("sell"), "returns",
+            F.col("realized_vol_30s").alias("vol_30"), F.col("realized_vol_60s").alias("vol_60"), F.col("cvd_cumulative").alias("cvd"),
+        )
+    run = F.floor(F.col("idx") / F.lit(every)).cast("long")
+    last = {"price": "price_close", "vol_30": "realized_vol_30s", "vol_60": "realized_vol_60s", "cvd": "cvd_cumulative"}
+    one = feats.groupBy(run.alias("run")).agg(
+        F.max("idx").alias("x"), F.min("price_low").alias("low"), F.max("price_high").alias("high"), rounded(F.sum("buy_vol"), 6).alias("buy"), rounded(F.sum(sell), 6).alias("sell"),
+        rounded(F.sum("returns"), 10).alias("returns"), *[F.max_by(c, "idx").alias(k) for k, c in last.items()],
     )
+    return one.select("x", "price", "low", "high", "buy", "sell", "returns", "vol_30", "vol_60", "cvd")
 
 
 def feature_preview(feats: DataFrame) -> DataFrame:

@@ -80,10 +80,17 @@ def parse_agg_trades(messages: DataFrame, column: str = "value") -> tuple[DataFr
     return m.where("good").select(*RAW_COLUMNS), m.where("not good and not closing").select(*messages.columns)
 
 
-def write_table(df: DataFrame, path: str, columns: list[str] | None = None, kind: str = "csv", by: list[str] | None = None) -> None:
-    """Columns in the order given, with a header where the format has one; what is there is replaced."""
-    out = df.select(*(columns or df.columns)).write.mode("overwrite").partitionBy(*(by or []))
-    out.option("header", True).csv(path) if kind == "csv" else out.parquet(path)
+def write_table(df: DataFrame, path: str, columns: list[str] | None = None, kind: str = "csv", by: list[str] | None = None, seconds: str | None = None) -> None:
+    """Columns in the order given, with a header where the format has one; what is there is replaced. Folders by series, and by
+    day (UTC) too where `seconds` names a column of epoch seconds. Rows are dealt out by folder, large folders over several
+    tasks and small ones together, so that a folder has few files."""
+    out, folders = df.select(*(columns or df.columns)), list(by or [])
+    if seconds:
+        out, folders = out.withColumn("day", F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col(seconds) / 86_400).cast("int"))), [*folders, "day"]
+    if folders:
+        out = out.hint("rebalance", *folders)
+    w = out.write.mode("overwrite").partitionBy(*folders)
+    w.option("header", True).csv(path) if kind == "csv" else w.parquet(path)
 
 
 def latest_input(spark: SparkSession, pattern: str, without: str = "merged") -> DataFrame:

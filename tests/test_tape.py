@@ -474,7 +474,8 @@ def test_synthetic_tape(spark):
     assert m.where("realized_vol_300s <> 0").count() == 0 and len([c for c in m.columns if c != "idx"]) == 44
     found = pipeline.run_validation(m)
     assert "| overall | overall_passed | true |" in checks.markdown(found["report"])
-    assert summary.chart_series(m, every=10).count() == 30
+    thin = summary.chart_series(m, every=10)
+    assert thin.count() == 30 and thin.agg(F.min("low"), F.max("high")).first() == m.agg(F.min("price_low"), F.max("price_high")).first()
 
 
 def test_sources(spark):
@@ -503,7 +504,7 @@ def test_latest_input(spark, tmp_path):
     assert S.latest_input(spark, f"file://{tmp_path}/*.csv").first().path.endswith("/b.csv")
 
 
-@pytest.mark.parametrize("name", ["stream_bars", "stream_cvd", "stream_resume", "stream_trades", "check_order", "bars", "stream_flush", "stream_metrics", "validation_by_series", "clean_price", "columns_report", "bounds_by_series", "winsor_by_series", "check_file_order", "validation_of_file", "clean_on_write", "profile_by_series", "pairs_by_series", "packed_flushes"])
+@pytest.mark.parametrize("name", ["stream_bars", "stream_cvd", "stream_resume", "stream_trades", "check_order", "bars", "stream_flush", "stream_metrics", "validation_by_series", "clean_price", "columns_report", "bounds_by_series", "winsor_by_series", "check_file_order", "validation_of_file", "clean_on_write", "profile_by_series", "pairs_by_series", "packed_flushes", "write_table_by_day", "chart_thinned"])
 def test_queries_equal_sql(spark, name):
     import duckdb
 
