@@ -63,6 +63,12 @@ def written(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def narrow(df: DataFrame) -> DataFrame:
+    """`df`, whose rows are a few numbers, written in no more files than twice the cluster's cores: such tables are made by the
+    dozen, and a small file for each shuffle partition would cost more than their rows."""
+    return written(df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """A table of fewer splits than the cluster has cores is dealt out by `key`; any other stays as it is read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -78,7 +84,7 @@ def hot_keys(counts: DataFrame, key: str, hot: int = HOT) -> DataFrame | None:
     written. None if there are none."""
     total, top = counts.agg(F.sum("n"), F.max("n")).first()
     most = max(hot, (total or 0) // 2000)
-    return written(counts.where(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("long").alias("deals"))) if (top or 0) > most else None
+    return narrow(counts.where(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("long").alias("deals"))) if (top or 0) > most else None
 
 
 def dealt(rows: DataFrame, hot: DataFrame | None, key: str, by) -> DataFrame:

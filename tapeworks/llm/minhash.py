@@ -34,7 +34,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tapeworks.llm.common import HOT, Ids, blocks, dealt, each_deal, hot_keys, mixed, spread, table, texts, written
+from tapeworks.llm.common import HOT, Ids, blocks, dealt, each_deal, hot_keys, mixed, narrow, spread, table, texts, written
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
@@ -184,13 +184,13 @@ def through_hubs(related: DataFrame, found: DataFrame, percent: int) -> DataFram
 
     comp = lambda node: found.select(F.col("node").alias(node), F.col("component").alias(f"c{node}"))
     size = related.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    hot = hot_keys(written(size), "a", HOT)
+    hot = hot_keys(narrow(size), "a", HOT)
     hubs = size.select("a").join(comp("a"), "a", "left").withColumn("ca", F.coalesce("ca", "a"))
     # who seeks is settled on ids alone; differences, the bulk, are shuffled once, for the hubs that need them
     flags = dealt(related.select("a", "b").distinct().join(comp("b"), "b", "left"), hot, "a", "b").join(each_deal(hubs, hot, "a"), ["a", "deal"])
     flags = flags.withColumn("cb", F.coalesce("cb", "b")).withColumn("seeks", F.col("ca") != F.col("cb"))
     counts = flags.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.count_if("seeks").alias("u")).where("u > 0 and n > 1")
-    flags = written(flags.join(each_deal(counts, hot, "a"), ["a", "deal"]).select("a", "b", "cb", "seeks", "n", "u"))
+    flags = narrow(flags.join(each_deal(counts, hot, "a"), ["a", "deal"]).select("a", "b", "cb", "seeks", "n", "u"))
     rows = related.select("a", "b", "size", "weight", "diff").join(flags, ["a", "b"])
     blocks_of = {"mi": F.ceil(F.col("u") / SEEKERS).cast("int"), "mj": F.ceil(F.col("n") / HELD).cast("int")}
     rows = rows.withColumns(blocks_of)
@@ -230,7 +230,7 @@ def through_hubs(related: DataFrame, found: DataFrame, percent: int) -> DataFram
 def components(links: DataFrame) -> DataFrame:
     """node, component (its least node) of every node of links (a, b), by alternating large-star and small-star. A node's
     least neighbour is a partial aggregate; no neighbour list is gathered."""
-    edges = written(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = narrow(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -238,7 +238,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small)
+        edges = narrow(small)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first()
         if now == state:
             break
@@ -275,17 +275,17 @@ def cross_pairs(members: DataFrame) -> DataFrame:
 def shared_buckets(pool: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """key, id, n, deal of the buckets (key, id) that hold several members, one of those with the same members; and the hot
     keys among them."""
-    several = written(pool.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("x"), F.max("id").alias("y"), F.sum(F.pmod(F.xxhash64("id"), F.lit(1 << 31))).alias("z")).where("n > 1"))
+    several = narrow(pool.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("x"), F.max("id").alias("y"), F.sum(F.pmod(F.xxhash64("id"), F.lit(1 << 31))).alias("z")).where("n > 1"))
     hot = hot_keys(several, "key", HOT)
     once = several.groupBy("n", "x", "y", "z").agg(F.min("key").alias("key")).select("key", "n")
-    return written(dealt(pool, hot, "key", "id").join(each_deal(once, hot, "key"), ["key", "deal"])), hot
+    return narrow(dealt(pool, hot, "key", "id").join(each_deal(once, hot, "key"), ["key", "deal"])), hot
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id of those reachable by links of `percent` or more), kept."""
     signed = written(signatures(docs, shingle))
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    sets = written(full.groupBy("set_id").agg(F.min("doc_id").alias("id")))
+    sets = narrow(full.groupBy("set_id").agg(F.min("doc_id").alias("id")))
     unique = full.select(F.col("doc_id").alias("id"), "set_id", "bands", "sig").join(sets, ["id", "set_id"], "left_semi").dropDuplicates(["id", "set_id"])
     pool = unique.select("id", F.explode("bands").alias("key"))
     bodies, related = None, None
@@ -295,21 +295,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             bodies = written(texts(docs).join(members.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id").withColumn("same", F.xxhash64("text")).dropDuplicates(["doc_id", "same"]).drop("same"))
         weight = members.groupBy("id").agg(F.sum(F.col("n") - 1).alias("weight"))
         hubs = members.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("a"))
-        stars = written(members.join(each_deal(hubs, hot, "key"), ["key", "deal"]).where("id != a").select("key", "a", F.col("id").alias("b")))
+        stars = narrow(members.join(each_deal(hubs, hot, "key"), ["key", "deal"]).where("id != a").select("key", "a", F.col("id").alias("b")))
         now = written(relations(stars.select("a", "b").distinct(), bodies, shingle, percent))
         related = now if related is None else related.unionByName(now)
-        pool = written(stars.join(now.where("near").select("a", "b"), ["a", "b"], "left_anti").select("key", F.col("b").alias("id")))
+        pool = narrow(stars.join(now.where("near").select("a", "b"), ["a", "b"], "left_anti").select("key", F.col("b").alias("id")))
         if pool.isEmpty():
             break
-    links = written(related.where("linked").select("a", "b"))
+    links = narrow(related.where("linked").select("a", "b"))
     found = components(links)
-    more = written(through_hubs(related, found, percent))
+    more = narrow(through_hubs(related, found, percent))
     if not more.isEmpty():
         links = links.unionByName(more)
         found = components(links)
     rest = shared_buckets(pool)[0].join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     pairs = written(cross_pairs(rest.join(unique.select("id", "sig"), "id")))
-    more = written(confirm(pairs, bodies, shingle, percent))
+    more = narrow(confirm(pairs, bodies, shingle, percent))
     if not more.isEmpty():
         found = components(links.unionByName(more))
     of_set = sets.join(found.withColumnRenamed("node", "id"), "id", "left").select("set_id", F.coalesce("component", "id").alias("component"))
