@@ -73,7 +73,8 @@ class Shape:
 
 
 def states(df: DataFrame, columns: list[str]) -> DataFrame:
-    """_s, _run, state from rows with _s, _run and the columns: one pass, then merged."""
+    """_s, _run, state from rows with _s, _run and the columns: one pass, whose states are written; merged where a series' run has
+    states of many tasks."""
     shape = Shape(len(columns))
 
     def fold(batches):
@@ -101,10 +102,9 @@ def states(df: DataFrame, columns: list[str]) -> DataFrame:
 
         return pd.DataFrame({"_s": [key[0]], "_run": [key[1]], "state": [shape.merged(np.stack(pdf["state"].to_list()))]})
 
-    part = df.mapInPandas(fold, STATE)
-    if df.rdd.getNumPartitions() > FOLD:
-        part = part.withColumn("_fold", F.floor(F.spark_partition_id() / FOLD)).groupBy("_s", "_run", "_fold").applyInPandas(merge, STATE)
-    return part
+    part = durable(df.mapInPandas(fold, STATE).withColumn("_fold", F.floor(F.spark_partition_id() / FOLD)))
+    most = part.groupBy("_s", "_run").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return part.groupBy("_s", "_run", "_fold").applyInPandas(merge, STATE) if most > FOLD else part.drop("_fold")
 
 
 FOUND = "a string, b string, n long, missing long, low double, high double, mean double, std double, skewness double, kurtosis double, drift_ratio double, r double"
