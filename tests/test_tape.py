@@ -455,6 +455,26 @@ def test_validation_by_series(spark, tmp_path):
     assert {r.series: r.value for r in failed} == {"x": "true", "y": "false", "z": "true"}
 
 
+@pytest.mark.parametrize("by", [[], ["sym"]])
+def test_pipeline_from_files(spark, tmp_path, by):
+    """Raw files to bars, features, bounds and removed rows in folders by series and day; what is read back is what was made."""
+    rng = random.Random(41)
+    rows = [(s, ms + day * 86_400_000, p, q, side, 1000 * day + i) for s in (["x", "y"] if by else [""]) for day in (0, 1) for ms, p, q, side, i in tape(rng, 200)] + [("x", 5, 0.0, 1.0, "BUY", 9), ("x", 6, 1.0, 1.0, "HOLD", 10)]
+    cells = [(str(ms), "u", str(p), str(q), str(side == "SELL"), side, str(i), s) for s, ms, p, q, side, i in rows]
+    raw_rows = spark.createDataFrame(cells, [*RAW_COLUMNS, "sym"]).select(*RAW_COLUMNS, *by)
+    S.write_table(raw_rows, f"file://{tmp_path}/in")
+    out = pipeline.run_pipeline(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", 60, by)
+    assert out["report"].first().asDict() == clean.clean_report(raw_rows).first().asDict()
+    assert sorted(r.reason for r in spark.read.parquet(f"file://{tmp_path}/out/removed").collect()) == ["invalid_side", "zero_price"]
+    bounds, want = pipeline.feature_matrix(clean.typed(clean.clean_trades(raw_rows)), 60, by)
+    got = spark.read.parquet(f"file://{tmp_path}/out/features")
+    assert {str(r.day) for r in got.select("day").distinct().collect()} == {"1970-01-01", "1970-01-02"}
+    assert got.drop("day").select(*want.columns).exceptAll(want).count() == 0 and got.count() == want.count()
+    saved = S.read_bounds(spark, f"file://{tmp_path}/out/bounds", raw_rows.select(*by).schema if by else None)
+    assert saved.exceptAll(bounds).count() == 0 and saved.count() == bounds.count() == 29 * max(1, 2 * len(by))
+    assert pipeline.validate(got.drop("day"), f"file://{tmp_path}/out", by)
+
+
 def test_costs(spark):
     m = cost.cost_metrics(spark.createDataFrame([(0.01,), (0.0,), (0.03,)], "returns double")).first()
     assert (m.mean_return_per_period, m.total_return, m.daily_cost_pct, m.daily_cost_usd, m.annual_cost_pct) == (0.02, 0.04, 0.04, 400.0, 10.08)
