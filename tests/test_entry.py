@@ -29,7 +29,8 @@ def run(hidden):
 
 def test_entry_without_a_package_that_llm_needs():
     n, ops, sql, bars, warned = run("regex")
-    assert (ops, sql, bars, warned) == ("0", "True", "True", "True") and int(n) > 70
+    there = os.path.exists(os.path.join(ROOT, "tapeworks", "llm", "registry.py"))  # the subpackage may be taken away
+    assert (ops, sql, bars, warned) == ("0", "True", "True", str(there)) and int(n) > 70
 
 
 def test_a_fault_of_the_library_itself_is_not_hidden():
