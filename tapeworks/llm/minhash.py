@@ -14,12 +14,16 @@
    index of the differences: exact, and no pair is emitted but one link for each component. By the triangle inequality
    of Jaccard distances, every pair of a bucket of which one has left is found so.
 5. Buckets that still hold several members after all rounds, which are hardly alike, give pairs whose signatures agree in
-   `LEAST_AGREE` of the places, unless one component has both; these are compared on the full sets too.
+   `LEAST_AGREE` of the places, unless one component has both; these are compared on the full sets too. Members of buckets
+   of more than `BLOCK` are not compared by bucket, which would cost the square of a large family that is alike but below the
+   threshold (templated text): they are put in order of their shingles' rarity among them, and two sets within the threshold
+   share one of their rarest shingles, the first size - ceil(percent * size / 100) + 1 (prefix filter). What a family has in
+   common is frequent and stands in no prefix, so only sets that share something rare are compared.
 
 A pair at the threshold of 0.8 is missed with probability (1 - 0.8 ** ROWS) ** BANDS = 5e-8 in the bands; one left for step 5
-fails `LEAST_AGREE` with probability 9e-9 besides. No bucket is capped; step 5 compares the signatures of all members of a bucket
-that are left, block by block over many tasks, so a large family that is alike but below the threshold costs its square.
-Hot buckets and hubs are dealt out over several tasks.
+fails `LEAST_AGREE` with probability 9e-9 besides. The prefix filter is exact. Nothing is capped: a shingle that stands in the
+prefixes of more than `BLOCK` sets has these compared block by block over many tasks.
+Hot buckets, hubs and shingles are dealt out over several tasks.
 
 Null and empty texts have an empty set and are linked with nothing (component_id is doc_id); a text of fewer words than a
 shingle has its whole sequence as the one shingle. doc_id names a text: equal rows have equal results; where rows
@@ -32,7 +36,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tapeworks.llm.common import HOT, Ids, blocks, dealt, each_deal, hot_keys, mixed, narrow, spread, table, texts, written
 
@@ -272,6 +276,34 @@ def cross_pairs(members: DataFrame) -> DataFrame:
     return pairs.repartition("key", "lo", "hi").groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
 
 
+def rare_shingles(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """key, id: the shingles in the prefixes of members' sets (column id), rarest first among these sets, that stand in the
+    prefixes of several. A row for each shingle of a member is shuffled, no text."""
+    import pyarrow as pa
+
+    def shingled(batches):
+        shingles = Shingles(k)
+        for batch in blocks(batches, 4_000_000):
+            sets = [shingles(t) for t in batch.column("text").cast("binary").to_pylist()]
+            n = np.array([len(x) for x in sets])
+            key = np.concatenate(sets).view(np.int64) if len(n) else np.zeros(0, np.int64)
+            for a in range(0, len(key), 100_000):
+                ids, size = (np.repeat(x, n)[a : a + 100_000] for x in (batch.column("id").to_numpy(), n))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size), pa.array(key[a : a + 100_000])], names=["id", "size", "key"])
+
+    texts_of = docs.select(F.col("doc_id").alias("id"), "text").join(members.select("id").distinct().hint("merge"), "id")
+    rows = written(texts_of.mapInArrow(shingled, "id long, size long, key long"))
+    n = narrow(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    hot = hot_keys(n, "key", HOT)
+    common = dealt(rows, hot, "key", "id").join(each_deal(n, hot, "key"), ["key", "deal"])
+    o = Window.partitionBy("id").orderBy(F.desc("n"), F.desc("key"))  # those of one set alone come before all of these
+    kept = common.withColumn("place", F.row_number().over(o)).where(F.col("place") >= F.ceil(F.col("size") * percent / 100))
+    prefix = narrow(kept.select("key", "id"))
+    several = narrow(prefix.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    hot = hot_keys(several, "key", HOT)
+    return dealt(prefix, hot, "key", "id").join(each_deal(several, hot, "key"), ["key", "deal"]).select("key", "id", "n")
+
+
 def shared_buckets(pool: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """key, id, n, deal of the buckets (key, id) that hold several members, one of those with the same members; and the hot
     keys among them."""
@@ -307,7 +339,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     if not more.isEmpty():
         links = links.unionByName(more)
         found = components(links)
-    rest = shared_buckets(pool)[0].join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    rest = shared_buckets(pool)[0].select("key", "id", "n")
+    large = rest.where(F.col("n") > BLOCK)
+    if not large.isEmpty():
+        rest = rest.where(F.col("n") <= BLOCK).unionByName(rare_shingles(large, bodies, shingle, percent))
+    of_id = found.select(F.col("node").alias("id"), "component")
+    rest = rest.join(of_id, "id", "left").withColumn("component", F.coalesce("component", "id"))
     pairs = written(cross_pairs(rest.join(unique.select("id", "sig"), "id")))
     more = narrow(confirm(pairs, bodies, shingle, percent))
     if not more.isEmpty():

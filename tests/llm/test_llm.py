@@ -184,6 +184,40 @@ def test_minhash_hot_keys(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == comp
 
 
+def test_minhash_templated_family(spark, monkeypatch):
+    """A family that shares most of its text below the threshold, too large for a bucket: only its pairs that share something
+    rare are compared, and all links are found."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "HOT", 20)
+    rng = random.Random(23)
+    word = lambda: rng.choice(WORDS) + rng.choice(WORDS) + str(rng.randrange(1000))
+    template = [word() for _ in range(66)]
+    texts = []
+    for k in range(150):
+        own = [word() for _ in range(36)]
+        texts.append(" ".join(template + own))
+        if k % 10 == 0:
+            for n in (4, 11):  # one that is within the threshold, one that is not
+                other = list(own)
+                for j in rng.sample(range(36), n):
+                    other[j] = word()
+                texts.append(" ".join(template + other))
+    seen = []
+    plain = minhash.rare_shingles
+
+    def watched(*args):
+        out = plain(*args)
+        seen.extend((r.n, r.id) for r in out.select("id", "n").collect())
+        return out
+
+    monkeypatch.setattr(minhash, "rare_shingles", watched)
+    comp, _ = brute_components(texts, 2, 80)
+    assert 10 <= sum(c != i for i, c in enumerate(comp)) < 40
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, texts), 2, 80).collect()}
+    assert [got[i] for i in range(len(texts))] == comp
+    assert seen and max(n for n, _ in seen) <= 3  # the template's shingles stand in no prefix
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (5, 4), (9, 9), (7, 3), (10, 11), (11, 12), (12, 13), (13, 14), (14, 10)]
     got = {r.node: r.component for r in minhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
