@@ -288,3 +288,45 @@ def test_pipeline_against_planted_rows(spark, tmp_path):
             ids = t.encode(texts[i], add_special_tokens=False).ids
             assert got[i].ids_sha256 == sha256(np.array(ids, "<u4").tobytes()).hexdigest()
     assert abs(got[34].n_tokens - len(t.encode(cut, add_special_tokens=False).ids)) <= 3
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 1)], [(1, 0), (2, 0), (3, 0)], [(1, None), (2, None)], [(None, 1), (1, 1), (1, 0), (2, None), (6, 1)]])
+def test_classifier_of_few_labels(spark, labels):
+    """No label, one row, one class, null labels and ids, a doc_id with two labels: a score for each text, and the same one again."""
+    texts = ["", None, *(f"{w} some words of a text {w}" for w in WORDS[:8])]
+    docs = frame(spark, texts)
+    given = spark.createDataFrame(labels, "doc_id long, quality long")
+    weights = Q.fit(Q.training_rows(docs, given))
+    again = Q.fit(Q.training_rows(docs, given))
+    assert np.array_equal(weights, again) and np.isfinite(weights).all()
+    rows = Q.score(docs.select("doc_id", "text"), weights).collect()
+    assert len(rows) == len(texts) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+    if not any(y is not None and d is not None for d, y in labels):
+        assert not weights.any() and {r.score for r in rows} == {0.5}
+
+
+CLASHES = ["key", "deal", "n", "id", "a", "b", "words", "counts", "chosen", "size", "set_id", "sig", "bands", "rows", "grp", "bucket", "part", "z", "y", "slots", "x", "payload", "host", "tree", "chunk_no", "place", "kept", "digest", "keep_id", "leaf", "form", "unit"]
+
+
+def test_columns_that_clash(spark):
+    """Further columns of names that operators use inside change no result."""
+    from tapeworks.llm import exact_dedup, html_extract, warc
+
+    rng = random.Random(31)
+    base = prose(rng, 60)
+    texts = [base, base + " more", base, None, "", *(prose(rng, 50) for _ in range(6))]
+    docs, item = frame(spark, texts), texts[7]
+    pages = spark.createDataFrame([(i, f"http://h{i % 2}/{i}", f"<html><body><h1>T {i}</h1><p>{t}</p></body></html>") for i, t in enumerate(texts)], "page_id long, url string, html string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    more = lambda df: df.withColumns({c: F.lit(f"clash {c}") for c in CLASHES if c not in df.columns})
+
+    def archived(p):
+        warc.write_archive(p, path := scratch(spark))
+        return warc.read_archive(spark, path)
+
+    for work in (minhash.near_duplicates, suffix_dedup.remove_repeats, lambda d: decontaminate.leaks(d, bench), lambda d: decontaminate.leaks(docs, more(bench)) if d is not docs else decontaminate.leaks(d, bench), quality_rules.judge, bpe.encode_documents, exact_dedup.exact_duplicates):
+        plain = work(docs)
+        assert sorted(map(str, plain.collect())) == sorted(map(str, work(more(docs)).select(*plain.columns).collect()))
+    for work in (html_extract.extract, archived):
+        plain = work(pages)
+        assert sorted(map(str, plain.collect())) == sorted(map(str, work(more(pages)).select(*plain.columns).collect()))
