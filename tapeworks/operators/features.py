@@ -15,6 +15,8 @@ from tapeworks.schema import BAR_COLUMNS, FEATURES, MOMENTUM_WINDOWS, RETURN_WIN
 
 #: Counts of not-a-number, infinity and minus infinity, side by side in one number; a chunk has fewer rows.
 FIELD = 1 << 20
+#: Numbers of so many units and more count as infinite, as do infinities: sums of a chunk's rows stay within 38 digits.
+MOST = 1e29
 
 
 def warm(w: int, value: Column, otherwise: float | int = 0.0) -> Column:
@@ -23,14 +25,14 @@ def warm(w: int, value: Column, otherwise: float | int = 0.0) -> Column:
 
 
 def units(c: str, digits: int) -> Column:
-    """A column of at most `digits` decimals as a whole number; nothing where it isn't finite."""
-    x = F.col(c)
-    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), F.round(x * F.lit(10.0**digits))).try_cast("decimal(38,0)")
+    """A column of at most `digits` decimals as a whole number; nothing where it is not a number or infinite."""
+    x = F.col(c) * F.lit(10.0**digits)
+    return F.when(F.abs(x) < MOST, F.round(x)).cast("decimal(38,0)")  # not a number is more than any
 
 
-def odd(c: str) -> Column:
-    x = F.col(c)
-    return F.when(F.isnan(x), 1).when(x == float("inf"), FIELD).when(x == -float("inf"), FIELD * FIELD).otherwise(0).cast("long")
+def odd(c: str, digits: int) -> Column:
+    x = F.col(c) * F.lit(10.0**digits)
+    return F.when(F.isnan(x), 1).when(x >= MOST, FIELD).when(x <= -MOST, FIELD * FIELD).otherwise(0).cast("long")
 
 
 class Running:
@@ -47,7 +49,7 @@ class Running:
 
     def add_exact(self, c: str, digits: int) -> None:
         self.add(c, F.coalesce(units(c, digits), F.lit(0).cast("decimal(38,0)")))
-        self.add(f"{c}_odd", odd(c))
+        self.add(f"{c}_odd", odd(c, digits))
 
     def done(self) -> None:
         self.df = self.df.withColumns(self.made)
@@ -88,7 +90,8 @@ def nothing(c: Column) -> Column:
 
 
 def features(bars: DataFrame, width_s: int = 1, by: list[str] | None = None, chunk: int | None = CHUNK) -> DataFrame:
-    """bars (with idx) and the 29 features, not yet clipped. Later features read the rounded values of earlier ones."""
+    """bars (with idx) and the 29 features, not yet clipped. Later features read the rounded values of earlier ones. A volume or
+    net volume of 1e23 or more, or a running sum of 1e21, counts as infinite in sums over windows."""
     by = by or []
     n = F.col("total_trades").cast("long")
     bucket = F.floor(F.col("idx") / F.lit(BUCKET)).cast("long")

@@ -431,6 +431,17 @@ def test_numbers_that_are_not_finite_stay_in_their_windows(spark):
     assert math.isnan(got[699].cvd_slope_10s) and got[100].cvd_slope_10s > 0 and got[400].realized_vol_300s > 0
 
 
+def test_numbers_beyond_all_digits_count_as_infinite(spark):
+    """A volume too large for exact sums shows in its windows, and in no other."""
+    rows = [(i * 1000, 100.0 + i % 7, 1.0, "BUY", i) for i in range(400)]
+    b = B.bars(clean.typed(clean.clean_trades(raw(spark, rows))))
+    large = lambda c: F.when(F.col("idx") == 200, 1e40).when(F.col("idx") == 300, 1e22).otherwise(F.col(c))
+    got = {r.idx: r for r in feats.features(b.withColumns({c: large(c) for c in ("total_volume", "net_delta")})).collect()}
+    assert got[205].volume_5s == got[230].volume_30s == got[210].net_delta_mom_10s == math.inf and got[206].volume_5s == 5 and got[231].volume_30s == 30
+    assert got[301].volume_5s == pytest.approx(1e22) and got[306].volume_5s == 5 and got[306].net_delta_mom_10s == pytest.approx(1e22)
+    assert math.isnan(got[250].cvd_slope_10s) and got[150].cvd_slope_10s > 0
+
+
 def test_validation_by_series(spark, tmp_path):
     rng = random.Random(8)
     rows = [(s, *r) for s in ("x", "y", "z") for r in tape(rng, 500)]
