@@ -8,6 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths handed out by this process, for clear().
+_paths: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every scratch table of this process: tables and results that read them can't be read any more."""
+    while _paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path under spark.checkpoint.dir. Where that is unset, a session on one machine (tests) gets a folder of it; on a
     cluster that is an error, as executors don't share local folders."""
@@ -17,7 +28,9 @@ def scratch(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tape-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    _paths.append(path)
+    return path
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tapeworks.functions.durable import durable, scratch
+from tapeworks.functions.durable import clear, durable, scratch
 from tapeworks.operators import bars as B, checks, clean, cost, summary
 from tapeworks.operators.features import features
 from tapeworks.operators.profile import profile
@@ -69,8 +69,12 @@ def main() -> None:
     p.add_argument("--by", nargs="*", default=[])
     a = p.parse_args()
     spark = SparkSession.builder.appName("tape-pipeline").getOrCreate()
-    run_pipeline(spark, a.source, a.target, a.width, a.by)
-    raise SystemExit(0 if validate(spark.read.parquet(f"{a.target}/features").drop("day"), a.target, a.by) else 1)
+    try:
+        run_pipeline(spark, a.source, a.target, a.width, a.by)
+        good = validate(spark.read.parquet(f"{a.target}/features").drop("day"), a.target, a.by)
+    finally:
+        clear(spark)
+    raise SystemExit(0 if good else 1)
 
 
 if __name__ == "__main__":

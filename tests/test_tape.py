@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 import random
 import statistics
 
@@ -486,6 +487,20 @@ def test_pipeline_from_files(spark, tmp_path, by):
     assert pipeline.validate(got.drop("day"), f"file://{tmp_path}/out", by)
 
 
+def test_scratch_tables_are_deleted(spark, tmp_path, monkeypatch):
+    from tapeworks.functions import durable as D
+
+    monkeypatch.setattr(D, "_paths", [])
+    one, two = D.durable(spark.range(5)), D.scratch(spark)
+    spark.range(3).write.parquet(two)
+    kept = f"file://{tmp_path}/kept"
+    one.write.parquet(kept)
+    folders = [p.removeprefix("file://") for p in D._paths]
+    assert len(folders) == 2 and all(map(os.path.isdir, folders))
+    D.clear(spark)
+    assert not D._paths and not any(map(os.path.exists, folders)) and spark.read.parquet(kept).count() == 5
+
+
 def test_costs(spark):
     m = cost.cost_metrics(spark.createDataFrame([(0.01,), (0.0,), (0.03,)], "returns double")).first()
     assert (m.mean_return_per_period, m.total_return, m.daily_cost_pct, m.daily_cost_usd, m.annual_cost_pct) == (0.02, 0.04, 0.04, 400.0, 10.08)
