@@ -79,11 +79,15 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 HOT = 4096
 
 
+#: Hot keys at most, and so the rows (a key and a number) of the table of them that is broadcast.
+HOT_KEYS = 100_000
+
+
 def hot_keys(counts: DataFrame, key: str, hot: int = HOT) -> DataFrame | None:
-    """key, deals of the keys with more than `hot` rows and more than a 2,000th of all, from (key, n): fewer than 2,000 rows,
-    written. None if there are none."""
+    """key, deals of the keys with more than `hot` rows, from (key, n), written. A key needs more than one `HOT_KEYS`th of all rows
+    besides, so there are fewer than HOT_KEYS of them. None if there are none."""
     total, top = counts.agg(F.sum("n"), F.max("n")).first()
-    most = max(hot, (total or 0) // 2000)
+    most = max(hot, (total or 0) // HOT_KEYS)
     return narrow(counts.where(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("long").alias("deals"))) if (top or 0) > most else None
 
 
