@@ -330,3 +330,33 @@ def test_columns_that_clash(spark):
     for work in (html_extract.extract, archived):
         plain = work(pages)
         assert sorted(map(str, plain.collect())) == sorted(map(str, work(more(pages)).select(*plain.columns).collect()))
+
+
+def test_latent_space_against_a_full_decomposition():
+    """The directions hold nearly all that as many of a plain SVD of the weighted passages hold, however the sample is cut."""
+    D = decontaminate
+    rng = random.Random(37)
+    word = lambda: rng.choice(WORDS) + rng.choice(WORDS)
+    docs = [D.words_of([" ".join(word() for _ in range(rng.randrange(1, 400)))])[0].astype("<u4") for _ in range(40)]
+    flat, bounds = D.words_of([" ".join(word() for _ in range(40)) for _ in range(12)])
+    idf = np.random.default_rng(5).random(D.SLOTS) + 0.5
+    _, begin, end = D.passages(bounds)
+    items = (*D.vectors(flat, begin, end, idf), len(begin))
+    every, limits = np.concatenate(docs), np.cumsum([0, *map(len, docs)])
+    _, first, last = D.passages(limits)
+    row, slot, v = D.vectors(every, first, last, idf)
+    a = np.zeros((len(first) + items[3], D.SLOTS), np.float32)
+    a[row, slot] = v
+    a[len(first) + items[0], items[1]] = items[2] * np.sqrt(D.WEIGHT * len(first) / items[3])
+    best = (np.linalg.svd(a, compute_uv=False)[: D.RANK] ** 2).sum()
+    raw = [x.tobytes() for x in docs]
+    space = D.latent_space(raw, items, idf)
+    assert space.shape == (D.SLOTS, D.RANK) and np.allclose(space.T @ space, np.eye(D.RANK), atol=1e-4)
+    assert 0.97 * best < ((a @ space) ** 2).sum() <= 1.001 * best
+    whole, D.PART_BYTES = D.PART_BYTES, 900
+    try:
+        parts = D.latent_space(raw, items, idf)
+    finally:
+        D.PART_BYTES = whole
+    assert ((a @ parts) ** 2).sum() > 0.97 * best
+    assert D.latent_space([], items, idf).shape == space.shape
