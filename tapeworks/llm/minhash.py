@@ -287,9 +287,9 @@ def rare_shingles(members: DataFrame, docs: DataFrame, k: int, percent: int) ->
             sets = [shingles(t) for t in batch.column("text").cast("binary").to_pylist()]
             n = np.array([len(x) for x in sets])
             key = np.concatenate(sets).view(np.int64) if len(n) else np.zeros(0, np.int64)
+            columns = [np.repeat(batch.column("id").to_numpy(), n), np.repeat(n, n), key]
             for a in range(0, len(key), 100_000):
-                ids, size = (np.repeat(x, n)[a : a + 100_000] for x in (batch.column("id").to_numpy(), n))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size), pa.array(key[a : a + 100_000])], names=["id", "size", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in columns], names=["id", "size", "key"])
 
     texts_of = docs.select(F.col("doc_id").alias("id"), "text").join(members.select("id").distinct().hint("merge"), "id")
     rows = written(texts_of.mapInArrow(shingled, "id long, size long, key long"))
