@@ -367,7 +367,7 @@ def has_cvd(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams
 
 
-#: Rows of a flush in the registered queries, so that a run is some twenty batches at sf0.01; a live tape flushes at live.FLUSH_ROWS.
+#: Rows of a flush in the registered queries, so that a run is some twenty flushes and batches at sf0.01; a live tape flushes at live.FLUSH_ROWS.
 FLUSH = 500
 
 

@@ -80,10 +80,11 @@ def rest_pages(spark: SparkSession, sf_dir: str, size: int = 1000) -> DataFrame:
 
 
 def messages(events: DataFrame) -> DataFrame:
-    """Events as stream messages, a JSON object each (column value)."""
-    t = as_raw(events, closing=True)
+    """Events as stream messages, a JSON object each (column value), with their `flush` if they are counted off."""
+    more = [c for c in ("flush",) if c in events.columns]
+    t = as_raw(events, more, closing=True)
     fields = {"closing": F.when(F.col("closing"), True), "T": F.col("timestamp_ms").cast("long"), "p": F.col("price"), "q": F.col("quantity"), "m": F.col("is_buyer_maker") == "True", "a": F.col("trade_id").cast("long")}
-    return t.select(F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()])).alias("value"))
+    return t.select(F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()])).alias("value"), *more)
 
 
 SLICES = 10
@@ -96,10 +97,17 @@ def sliced(events: DataFrame) -> DataFrame:
     return events.withColumn("slice", F.coalesce(F.floor(place), F.lit(0)).cast("int"))
 
 
+#: Flushes that a batch admits at most, and the batches that a tape is cut into as long as they stay below that.
+FLUSHES, BATCHES = 1000, 20
+
+
 def counted_off(events: DataFrame, rows: int) -> DataFrame:
-    """Events with `slice`, which counts off `rows` of them in the order of event_id."""
+    """Events with `flush`, which counts off `rows` of them in the order of event_id, and `slice`, which counts off flushes: one
+    for each batch where there are BATCHES or fewer, at most FLUSHES of them."""
+    each = min(FLUSHES, max(1, -(-events.count() // (rows * BATCHES))))
     placed = prefix(events, F.floor(F.col("event_id") / 10_000), ["event_id"])
-    return placed.withColumn("slice", F.floor(F.col("idx") / rows).cast("int")).drop("idx")
+    numbered = placed.withColumn("flush", F.floor(F.col("idx") / rows).cast("long")).drop("idx")
+    return numbered.withColumn("slice", F.floor(F.col("flush") / each).cast("int"))
 
 
 def spool(df: DataFrame, path: str) -> DataFrame:
@@ -117,8 +125,8 @@ def spool(df: DataFrame, path: str) -> DataFrame:
 
 
 def events_stream(spark: SparkSession, sf_dir: str, rows: int | None = None, close_ms: int | None = None) -> DataFrame:
-    """The events as a stream of SLICES files in the order of time, or of files of `rows` events each. close_ms: with a closing record
-    at the end, so long after the last event."""
+    """The events as a stream of SLICES files in the order of time, or of files of flushes of `rows` events each. close_ms: with a
+    closing record at the end, so long after the last event. A file is one batch."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     cut = counted_off(events, rows) if rows else sliced(events)
     if close_ms is not None:

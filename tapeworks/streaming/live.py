@@ -60,17 +60,31 @@ def collect_trades(messages: DataFrame, path: str, checkpoint: str, flush_s: int
     """One query that reads a message stream (column value) once. Each batch becomes, under `path`, the raw rows in
     trades/batch=N, messages that can't be read in dead/batch=N and a row (rows, dead, at) in beats/batch=N. A batch that runs
     again after a failure takes its own folders' place, so nothing is there twice and counts agree. How many rows a batch has is
-    the reader's matter: flush_options(), spooled_messages(). flush_s: seconds between batches; None drains what is there."""
-    parsed = parse_messages(messages)
+    the reader's matter: flush_options(), spooled_messages(). flush_s: seconds between batches; None drains what is there.
+
+    Messages with a column `flush` are flushed by it: a batch admits many flushes, each of them whole, N is a flush's number, and
+    a flush has one file. Beats are then a row for each flush, in beats/of=the batch's number. So a flush costs its rows and
+    its file, not a batch of Spark's."""
+    flushes = "flush" in messages.columns
+    parsed = parse_messages(messages.repartition("flush") if flushes else messages)
     counts = (F.count_if("good").alias("rows"), F.count_if(~F.col("good") & ~F.col("closing")).alias("dead"))
 
+    def into(rows: DataFrame, name: str, n: int, *columns: str):
+        """The writer of columns, and the folder."""
+        if not flushes:
+            return rows.select(*columns).write.mode("overwrite"), f"{path}/{name}/batch={n}"
+        own = rows.select(*columns, F.col("flush").alias("batch")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        return own.partitionBy("batch"), f"{path}/{name}"
+
     def flush(batch: DataFrame, n: int) -> None:
-        held = batch.persist()  # a flush's few rows, for the three outputs
+        held = batch.persist()  # a batch's rows, which the reader bounds, for the three outputs
         try:
-            files = held.where("good").select(*RAW_COLUMNS).write.mode("overwrite")
-            (files.option("header", True).csv if kind == "csv" else files.parquet)(f"{path}/trades/batch={n}")
-            held.where("not good and not closing").select("value").write.mode("overwrite").parquet(f"{path}/dead/batch={n}")
-            held.agg(*counts).withColumn("at", F.current_timestamp()).write.mode("overwrite").parquet(f"{path}/beats/batch={n}")
+            files, folder = into(held.where("good"), "trades", n, *RAW_COLUMNS)
+            (files.option("header", True).csv if kind == "csv" else files.parquet)(folder)
+            files, folder = into(held.where("not good and not closing"), "dead", n, "value")
+            files.parquet(folder)
+            beats = held.groupBy(F.col("flush").alias("batch")).agg(*counts) if flushes else held.agg(*counts)
+            beats.withColumn("at", F.current_timestamp()).write.mode("overwrite").parquet(f"{path}/beats/{'of' if flushes else 'batch'}={n}")
         finally:
             held.unpersist()
 

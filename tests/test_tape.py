@@ -343,6 +343,40 @@ def test_flushes_of_bounded_rows_survive_a_failure(spark, tmp_path, monkeypatch)
         live.spooled_messages(spark, f"file://{tmp_path}/in", 50, 60)
 
 
+def test_a_batch_admits_many_flushes(spark, tmp_path, monkeypatch):
+    """Flushes of a column: four a batch, each with its own file and beat; a batch that dies before its beats runs again and nothing
+    is there twice."""
+    from pyspark.sql import DataFrameWriter
+
+    from tapeworks.jobs import tape
+    from tapeworks.streaming import live
+
+    i = F.col("id")
+    cells = F.struct((i * 1000).alias("T"), F.lit("2.5").alias("p"), F.lit("1").alias("q"), (i % 2 == 0).alias("m"), F.when(i % 10 != 7, i).alias("a"))
+    rows = spark.range(585).select(F.to_json(cells).alias("value"), F.floor(i / 50).alias("flush"), F.floor(i / 200).cast("int").alias("slice"))
+    tape.spool(rows, f"file://{tmp_path}/in")
+    read = lambda: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in").select("value", "flush")
+    out, log = f"file://{tmp_path}/out", f"file://{tmp_path}/log"
+    whole, calls = DataFrameWriter.parquet, []
+
+    def failing(self, path, *a, **b):
+        calls.append(path)
+        if path.endswith("beats/of=1") and calls.count(path) == 1:
+            raise RuntimeError("killed")
+        return whole(self, path, *a, **b)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", failing)
+    with pytest.raises(Exception, match="killed"):
+        live.collect_trades(read(), out, log).awaitTermination()
+    live.collect_trades(read(), out, log).awaitTermination()
+    assert sorted(p.name for p in (tmp_path / "out" / "beats").iterdir()) == ["of=0", "of=1", "of=2"]  # batches, not flushes
+    got = live.heartbeats(spark, f"{out}/beats").orderBy("batch").collect()
+    assert [(r.batch, r.rows, r.dead) for r in got] == [(k, 45, 5) for k in range(11)] + [(11, 32, 3)]
+    stored = S.read_trades(spark, f"{out}/trades").select("trade_id", "batch", F.input_file_name().alias("file")).collect()
+    assert sorted(int(r.trade_id) for r in stored) == [k for k in range(585) if k % 10 != 7] and all(int(r.trade_id) // 50 == r.batch for r in stored)
+    assert len({r.file for r in stored}) == 12 and spark.read.parquet(f"{out}/dead").count() == 58
+
+
 def test_closing_record_brings_the_last_bars(spark, tmp_path):
     """Without it the last bars stay in the state; messages that close are neither trades nor dead letters."""
     from tapeworks.streaming import live
