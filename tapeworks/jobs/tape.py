@@ -110,10 +110,14 @@ def counted_off(events: DataFrame, rows: int) -> DataFrame:
     return numbered.withColumn("slice", F.floor(F.col("flush") / each).cast("int"))
 
 
+#: Bytes of a row group of a spooled file, so that several tasks read it.
+GROUP_BYTES = 8 << 20
+
+
 def spool(df: DataFrame, path: str) -> DataFrame:
     """df as a stream of a file for each value of its column `slice`, in this order, one for each batch."""
     spark = df.sparkSession
-    df.repartition("slice").write.partitionBy("slice").parquet(path)
+    df.repartition("slice").write.option("parquet.block.size", GROUP_BYTES).partitionBy("slice").parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs
     fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     files, now = fs.listFiles(hadoop.Path(path), True), int(time.time() * 1000)
@@ -126,11 +130,12 @@ def spool(df: DataFrame, path: str) -> DataFrame:
 
 def events_stream(spark: SparkSession, sf_dir: str, rows: int | None = None, close_ms: int | None = None) -> DataFrame:
     """The events as a stream of SLICES files in the order of time, or of files of flushes of `rows` events each. close_ms: with a
-    closing record at the end, so long after the last event. A file is one batch."""
+    closing record at the end, so long after the last event. A file is one batch, whose rows are dealt out over all cores."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     cut = counted_off(events, rows) if rows else sliced(events)
     if close_ms is not None:
         ends = cut.agg(F.max("slice").alias("slice"), F.max("ts").alias("ts")).where("ts is not null")
         late = (F.col("ts") + F.make_dt_interval(secs=F.lit(close_ms / 1000))).cast(events.schema["ts"].dataType)
         cut = cut.unionByName(ends.select((F.col("slice") + 1).alias("slice"), late.alias("ts"), F.lit(CLOSE).alias("event_type")), allowMissingColumns=True)
-    return spool(cut, scratch(spark))
+    stream = spool(cut, scratch(spark))
+    return stream if rows else stream.repartition(spark.sparkContext.defaultParallelism, "event_id")  # flushes are dealt out where they are collected

@@ -377,6 +377,16 @@ def test_a_batch_admits_many_flushes(spark, tmp_path, monkeypatch):
     assert len({r.file for r in stored}) == 12 and spark.read.parquet(f"{out}/dead").count() == 58
 
 
+def test_a_batch_is_worked_on_by_all_cores(spark, tmp_path):
+    """A batch is one file, written by one task; its rows are parsed by as many tasks as there are cores."""
+    from tapeworks.jobs import tape
+
+    seen = []
+    q = tape.messages(tape.events_stream(spark, "/root/testdata/sf0.01")).writeStream.foreachBatch(lambda b, n: seen.append(b.select(F.spark_partition_id()).distinct().count()))
+    q.option("checkpointLocation", f"file://{tmp_path}/log").trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == tape.SLICES and all(n > 1 for n in seen)
+
+
 def test_closing_record_brings_the_last_bars(spark, tmp_path):
     """Without it the last bars stay in the state; messages that close are neither trades nor dead letters."""
     from tapeworks.streaming import live
