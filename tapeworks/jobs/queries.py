@@ -444,8 +444,8 @@ def stream_cvd(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, session_store = "spark.sql.streaming.stateStore.providerClass", session.conf.get("spark.sql.streaming.stateStore.providerClass")
     session.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        q = live.stream_cvd(stream, ["user_id"], f"{late} seconds").writeStream.format("parquet").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start(f"{path}/out")
+        q = live.collect_cvd(stream, ["user_id"], f"{path}/sums", f"{path}/log", f"{late} seconds")
     finally:
         session.conf.set(store, session_store)
     q.awaitTermination()
-    return spark.read.parquet(f"{path}/out")
+    return live.running_sums(spark, f"{path}/sums")

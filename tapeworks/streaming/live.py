@@ -7,14 +7,14 @@ tape that has ended come out of the stream itself. Its time lies a delay and a b
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
+from pyspark.sql.streaming import StreamingQueryListener
 
+from tapeworks.functions.numbers import rounded
 from tapeworks.operators import clean
 from tapeworks.operators.bars import aggregates, finished
-from tapeworks.schema import RAW_COLUMNS
+from tapeworks.schema import RAW_COLUMNS, TINY
 from tapeworks.sources.trades import parse_messages
 
 FLUSH_ROWS, FLUSH_S = 50, 5
@@ -122,58 +122,40 @@ def stream_bars(trades: DataFrame, width_s: int = 1, by: list[str] | None = None
     return finished(grouped.withColumn("timestamp_s", F.unix_seconds(F.col("w.start")))).drop("w", "_net")
 
 
-class RunningSums(StatefulProcessor):
-    """Of one series: four sums, the place that they have come to, and the bars that wait for the watermark, by time."""
-
-    def __init__(self, by: list[str]):
-        self.by = by
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.sums = handle.getValueState("sums", "last long, n long, cvd double, s long, ss long")
-        self.held = handle.getMapState("held", "t long", "net double, trades long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        last = self.sums.get()[0] if self.sums.exists() else None
-        latest = None
-        for pdf in rows:
-            for t, net, trades in zip(pdf["timestamp_s"], pdf["net_delta"], pdf["total_trades"]):
-                if trades == trades and trades is not None and (last is None or t > last):  # no closing record, not too late
-                    self.held.updateValue((int(t),), (float(net), int(trades)))
-                    latest = max(latest or int(t), int(t))
-        if latest is not None:
-            self.handle.registerTimer(latest * 1000)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        return self.upto(key, timerValues.getCurrentWatermarkInMs())
-
-    def upto(self, key, watermark_ms: int) -> Iterator:
-        """The sums of the bars that no other can come before any more."""
-        import pandas as pd
-
-        last, n, cvd, s, ss = self.sums.get() if self.sums.exists() else (None, 0, 0.0, 0, 0)
-        out = []
-        for t, net, trades in sorted((k[0], *v) for k, v in self.held.iterator() if k[0] * 1000 <= watermark_ms):
-            last, n, cvd, s, ss = t, n + 1, cvd + net, s + trades, ss + trades * trades
-            mean = s / n
-            var = ss / n - mean * mean
-            out.append((*key, t, round(cvd, 8) + 0.0, round((trades - mean) / (var**0.5 if var > 1e-15 else 1.0), 6) + 0.0))
-            self.held.removeKey((t,))
-        if out:
-            self.sums.update((last, n, cvd, s, ss))
-            yield pd.DataFrame(out, columns=[*self.by, "timestamp_s", "cvd", "trade_intensity_zscore"])
-
-    def close(self) -> None:
-        pass
-
-
-def stream_cvd(stream: DataFrame, by: list[str], delay: str = "10 seconds") -> DataFrame:
+def collect_cvd(stream: DataFrame, by: list[str], path: str, checkpoint: str, delay: str = "10 seconds"):
     """Running cvd and z-score of each series across the batches of a stream of bars (by, timestamp_s, net_delta, total_trades).
-    Bars may come in any order within the delay: each waits until the watermark has passed it, and bars are then taken in the
-    order of time. Rows without total_trades are closing records. The state of a series is five numbers and its waiting bars.
-    Needs the RocksDB state store."""
-    kinds = dict(stream.dtypes)
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in by] + ["timestamp_s long, cvd double, trade_intensity_zscore double"])
+    Bars may come in any order within the delay: each waits in the state until the watermark has passed it, and bars are then
+    taken in the order of time. Rows without total_trades are closing records. Of a series, four sums go from batch to batch:
+    a batch's windows begin with the row of sums that the batch before has left in totals/batch=N, and its results are
+    out/batch=N. A batch that runs again takes its own folders' place; totals of older batches are deleted."""
+    spark, totals = stream.sparkSession, lambda n: f"{path}/totals/batch={n}"
+    real = F.when(F.col("total_trades").isNotNull(), F.struct("net_delta", F.col("total_trades").cast("long").alias("trades")))
     timed = stream.withColumn("_ts", F.timestamp_seconds("timestamp_s")).withWatermark("_ts", delay)
-    return timed.groupBy(*by).transformWithStateInPandas(RunningSums(by), schema, "append", "eventTime")
+    due = timed.groupBy(*by, "_ts").agg(F.max(real).alias("_bar")).where("_bar is not null")
+    net, trades = F.col("_bar.net_delta"), F.col("_bar.trades")
+    due = due.select(*by, F.unix_seconds("_ts").alias("timestamp_s"), net.alias("_cvd"), F.lit(1).cast("long").alias("_n"), trades.alias("_sum"), (trades * trades).alias("_squares"), trades.alias("_trades"))
+    sums = ["_cvd", "_n", "_sum", "_squares"]
+    o = Window.partitionBy(*by).orderBy("timestamp_s").rowsBetween(Window.unboundedPreceding, 0)  # a series' bars of one batch
+    mean = F.col("_sum") / F.col("_n")
+    var = F.col("_squares") / F.col("_n") - mean * mean
+    score = (F.col("_trades") - mean) / F.when(var > TINY, F.sqrt(F.abs(var))).otherwise(F.lit(1.0))
+
+    def add(batch: DataFrame, n: int) -> None:
+        rows = batch.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(totals(n - 1))) if n else batch
+        summed = rows.withColumns({c: F.sum(c).over(o) for c in sums}).persist()
+        try:
+            shown = summed.where("_trades is not null").select(*by, "timestamp_s", rounded(F.col("_cvd"), 8).alias("cvd"), rounded(score, 6).alias("trade_intensity_zscore"))
+            shown.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
+            last = summed.groupBy(*by).agg(F.max_by(F.struct("timestamp_s", *sums), "timestamp_s").alias("_last"))
+            last.select(*by, "_last.*", F.lit(None).cast("long").alias("_trades")).write.mode("overwrite").parquet(totals(n))
+        finally:
+            summed.unpersist()
+        old = spark._jvm.org.apache.hadoop.fs.Path(totals(n - 2))
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+    return due.writeStream.foreachBatch(add).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def running_sums(spark: SparkSession, path: str) -> DataFrame:
+    """What collect_cvd() wrote: by, timestamp_s, cvd, trade_intensity_zscore."""
+    return spark.read.parquet(f"{path}/out").drop("batch")

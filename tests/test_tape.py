@@ -450,6 +450,41 @@ def test_flushes_become_a_packed_table(spark, tmp_path):
     assert tables.clean_up(spark, path) > 3 and rows(tables.read_table(spark, path))[:160] == want and tables.clean_up(spark, path) == 0
 
 
+def test_running_sums_across_batches(spark, tmp_path, monkeypatch):
+    """Late bars, a null series, a bar that is too late, a closing record, and a batch that dies before its totals and runs again."""
+    from pyspark.sql import DataFrameWriter
+
+    from tapeworks.jobs import tape
+    from tapeworks.streaming import live
+
+    rng = random.Random(5)
+    bars = {(s, t): (round(rng.gauss(0, 3), 6), rng.randrange(1, 9)) for s in (None, "a", "b") for t in range(900, 40_000, 900) if rng.random() < 0.8}
+    rows = [(s, t, *v, min(3, (t + rng.randrange(3000)) // 10_000)) for (s, t), v in bars.items()]
+    rows += [("a", 450, 100.0, 50, 3), (None, 200_000, None, None, 4)]
+    stream = tape.spool(spark.createDataFrame(rows, "s string, timestamp_s long, net_delta double, total_trades long, slice int"), f"file://{tmp_path}/in")
+    out, log = f"file://{tmp_path}/out", f"file://{tmp_path}/log"
+    whole, calls = DataFrameWriter.parquet, []
+
+    def failing(self, path, *a, **b):
+        calls.append(path)
+        if path.endswith("totals/batch=3") and calls.count(path) == 1:
+            raise RuntimeError("killed")
+        return whole(self, path, *a, **b)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", failing)
+    with pytest.raises(Exception, match="killed"):
+        live.collect_cvd(stream, ["s"], out, log, "3000 seconds").awaitTermination()
+    live.collect_cvd(stream, ["s"], out, log, "3000 seconds").awaitTermination()
+    got = {(r.s, r.timestamp_s): r for r in live.running_sums(spark, out).collect()}
+    assert set(got) == set(bars)
+    for s in (None, "a", "b"):
+        cvd, n = 0.0, []
+        for t in sorted(t for k, t in bars if k == s):
+            cvd, n = cvd + bars[s, t][0], [*n, bars[s, t][1]]
+            mean, dev = statistics.fmean(n), statistics.pstdev(n)
+            assert abs(got[s, t].cvd - cvd) < 2e-8 and abs(got[s, t].trade_intensity_zscore - (n[-1] - mean) / (dev if dev > 1e-7 else 1)) < 2e-6
+
+
 def test_leakage(made):
     _, b = made
     half = b.where("idx < 350")
