@@ -258,6 +258,29 @@ def test_profile_by_series(spark, monkeypatch, parts, fold):
     assert P.profile(df.where("idx < 0"), columns, ["s"]).count() == 0 and P.profile(df.where("idx < 0"), columns).count() == 0
 
 
+def test_short_series_leave_no_states(spark, monkeypatch):
+    """Series of few rows are worked on whole, many in a batch: no state for each, which would be larger than its rows; and what is
+    found is what states give."""
+    from tapeworks.operators import profile as P
+
+    rng = random.Random(9)
+    rows = [(s, i, x := rng.gauss(s, 1), 3 * x + rng.gauss(0, 0.01), 0.1 * s, None if (s + i) % 9 == 4 else rng.random(), rng.random()) for s in range(60) for i in range(1 + s * 7 % 50)]
+    df = spark.createDataFrame(rows, "s long, idx long, x double, y double, c double, m double, w double").repartition(5)
+    columns = ["x", "y", "c", "m", "w"]
+    made, whole = [], P.states
+    monkeypatch.setattr(P, "states", lambda *a: made.append(a) or whole(*a))
+    found = {}
+    for most in (10_000, 20, 0):
+        monkeypatch.setattr(P, "WHOLE", most)
+        found[most] = {(r.s, r.a, r.b): r[3:] for r in P.profile(df, columns, ["s"]).collect()}
+        assert len(made) == {10_000: 0, 20: 1, 0: 2}[most]
+    assert len([k for k in found[0] if k[2] is None]) == 60 * 5 and len(found[0]) > 60 * 5
+    for most in (10_000, 20):
+        assert set(found[most]) == set(found[0])
+        for k, want in found[0].items():
+            assert all(a == b or abs(a - b) < 1e-6 * max(1, abs(b)) for a, b in zip(found[most][k], want) if (a is None) == (b is None) or pytest.fail(f"{k}: {a}, {b}")), k
+
+
 def test_file_order(spark, tmp_path):
     """Rows of several files, each cut into many blocks, keep their places."""
     rng = random.Random(31)
