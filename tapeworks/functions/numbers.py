@@ -10,17 +10,24 @@ def rounded(c: Column, digits: int) -> Column:
     return F.round(c, digits) + F.lit(0.0)
 
 
+#: White space of any kind in ASCII.
+SPACE = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f"
+
+
+def stripped(c: Column) -> Column:
+    """A text cell without the white space around it."""
+    return F.btrim(c, F.lit(SPACE))
+
+
 def blank(c: Column) -> Column:
     """Null, or nothing but white space of any kind."""
-    return c.isNull() | c.rlike(r"^[\s\x1c-\x1f]*$")
+    return c.isNull() | (stripped(c) == "")
 
 
 def number(c: Column) -> Column:
     """The number in a text cell, else null: digits with sign, point and exponent, or nan and inf, around white space."""
-    t = F.regexp_replace(c, r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
-    plain = t.rlike(r"(?i)^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$")
-    named = t.rlike(r"(?i)^[+-]?(nan|inf|infinity)$")
-    return F.when(plain | named, t.try_cast("double"))
+    t = stripped(c)
+    return F.when(t.rlike(r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|nan|inf|infinity)$"), t.try_cast("double"))
 
 
 def utc_text(seconds: Column, millis: Column | None = None) -> Column:

@@ -44,7 +44,10 @@ def as_raw(events: DataFrame, by: list[str] | None = None, closing: bool = False
 
 
 def raw(spark: SparkSession, sf_dir: str, by: list[str] | None = None) -> DataFrame:
-    return as_raw(spark.read.parquet(f"{sf_dir}/events.parquet"), by)
+    """The events as raw trades, dealt out over all cores: making and parsing the cells of a row costs much more than its shuffle, and
+    the file's row groups may be few."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return as_raw(events.repartition(max(events.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism), "event_id"), by)
 
 
 def trades(spark: SparkSession, sf_dir: str, by: list[str] | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
-from tapeworks.functions.numbers import blank, number
+from tapeworks.functions.numbers import blank, number, stripped
 from tapeworks.schema import RAW_COLUMNS, REQUIRED
 
 #: Counted reason of each detail reason.
@@ -23,7 +23,7 @@ def _any(columns: list[Column]) -> Column:
 
 
 def side_of(c: Column) -> Column:
-    return F.upper(F.regexp_replace(c, r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
+    return F.upper(stripped(c))
 
 
 def detail() -> Column:

@@ -473,6 +473,14 @@ def test_flushes_become_a_packed_table(spark, tmp_path):
     assert tables.clean_up(spark, path) > 3 and rows(tables.read_table(spark, path))[:160] == want and tables.clean_up(spark, path) == 0
 
 
+def test_raw_trades_are_parsed_by_all_cores(spark):
+    """The table has one row group: its rows are dealt out before their cells are made."""
+    from tapeworks.jobs import tape
+
+    raw = tape.raw(spark, "/root/testdata/sf0.01")
+    assert raw.groupBy(F.spark_partition_id()).count().count() == spark.sparkContext.defaultParallelism
+
+
 def test_running_sums_across_batches(spark, tmp_path, monkeypatch):
     """Late bars, a null series, a bar that is too late, a closing record, and a batch that dies before its totals and runs again."""
     from pyspark.sql import DataFrameWriter
