@@ -326,8 +326,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         if bodies is None:
             bodies = written(texts(docs).join(members.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id").withColumn("same", F.xxhash64("text")).dropDuplicates(["doc_id", "same"]).drop("same"))
         weight = members.groupBy("id").agg(F.sum(F.col("n") - 1).alias("weight"))
-        hubs = members.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("a"))
-        stars = narrow(members.join(each_deal(hubs, hot, "key"), ["key", "deal"]).where("id != a").select("key", "a", F.col("id").alias("b")))
+        weighed, hub = members.join(weight, "id"), F.max_by("id", F.struct("weight", -F.col("id")))
+        if hot is None:  # no bucket of more than HOT members: each lies in one task, and its hub needs no join
+            starred = weighed.withColumn("a", hub.over(Window.partitionBy("key")))
+        else:
+            starred = members.join(each_deal(weighed.groupBy("key").agg(hub.alias("a")), hot, "key"), ["key", "deal"])
+        stars = narrow(starred.where("id != a").select("key", "a", F.col("id").alias("b")))
         now = written(relations(stars.select("a", "b").distinct(), bodies, shingle, percent))
         related = now if related is None else related.unionByName(now)
         pool = narrow(stars.join(now.where("near").select("a", "b"), ["a", "b"], "left_anti").select("key", F.col("b").alias("id")))
