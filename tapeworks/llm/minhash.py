@@ -48,6 +48,8 @@ BLOCK = 1024
 #: Jaccard distance from the hub within which a member leaves its bucket, and rounds of hubs.
 NEAR, STARS = 0.3, 2
 SEEKERS, HELD = 1024, 4096
+#: Counters of shingles in step 5, all of which reach the driver and each task (8 MB).
+SLOTS = 1 << 20
 MOST_WORDS = 400_000
 _rng = np.random.Generator(np.random.PCG64(20240229))
 A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -278,27 +280,51 @@ def cross_pairs(members: DataFrame) -> DataFrame:
 
 def rare_shingles(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """key, id: the shingles in the prefixes of members' sets (column id), rarest first among these sets, that stand in the
-    prefixes of several. A row for each shingle of a member is shuffled, no text."""
+    prefixes of several. How rare a shingle is goes by `SLOTS` counters: two shingles may share one, but the order is the same for
+    all sets, which is all that an exact filter needs. Only the shingles in prefixes are shuffled one by one, no text."""
     import pyarrow as pa
 
     def shingled(batches):
         shingles = Shingles(k)
         for batch in blocks(batches, 4_000_000):
-            sets = [shingles(t) for t in batch.column("text").cast("binary").to_pylist()]
-            n = np.array([len(x) for x in sets])
-            key = np.concatenate(sets).view(np.int64) if len(n) else np.zeros(0, np.int64)
-            columns = [np.repeat(batch.column("id").to_numpy(), n), np.repeat(n, n), key]
-            for a in range(0, len(key), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in columns], names=["id", "size", "key"])
+            sets = [shingles(t).tobytes() for t in batch.column("text").cast("binary").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "shingles"])
+
+    def slots(key):
+        return (key & np.uint64(SLOTS - 1)).astype(np.int64)
+
+    def rows(names, *columns):
+        for a in range(0, len(columns[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in columns], names=names)
+
+    def count(batches):
+        n = np.zeros(SLOTS, np.int64)
+        for batch in blocks(batches, 4_000_000, "shingles"):
+            n += np.bincount(slots(np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.uint64)), minlength=SLOTS)
+        slot = np.flatnonzero(n)
+        yield from rows(["slot", "n"], slot, n[slot])
+
+    def rarest(batches):
+        n = sent.value
+        for batch in blocks(batches, 4_000_000, "shingles"):
+            ids, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for x, raw in zip(batch.column("id").to_pylist(), batch.column("shingles").to_pylist()):
+                key = np.frombuffer(raw, np.uint64)
+                many = n[slots(key)]
+                first = np.lexsort((key, many))[: len(key) + percent * len(key) // -100 + 1]
+                first = first[many[first] > 1]  # a count of 1: no other set has it
+                ids.append(np.full(len(first), x))
+                keys.append(key[first])
+            yield from rows(["key", "id"], np.concatenate(keys).view(np.int64), np.concatenate(ids))
 
     texts_of = docs.select(F.col("doc_id").alias("id"), "text").join(members.select("id").distinct().hint("merge"), "id")
-    rows = written(texts_of.mapInArrow(shingled, "id long, size long, key long"))
-    n = narrow(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    hot = hot_keys(n, "key", HOT)
-    common = dealt(rows, hot, "key", "id").join(each_deal(n, hot, "key"), ["key", "deal"])
-    o = Window.partitionBy("id").orderBy(F.desc("n"), F.desc("key"))  # those of one set alone come before all of these
-    kept = common.withColumn("place", F.row_number().over(o)).where(F.col("place") >= F.ceil(F.col("size") * percent / 100))
-    prefix = narrow(kept.select("key", "id"))
+    sets = written(texts_of.mapInArrow(shingled, "id long, shingles binary"))
+    got = sets.select("shingles").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    sent = sets.sparkSession.sparkContext.broadcast(counts)
+    prefix = narrow(sets.mapInArrow(rarest, "key long, id long"))
+    sent.destroy()
     several = narrow(prefix.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     hot = hot_keys(several, "key", HOT)
     return dealt(prefix, hot, "key", "id").join(each_deal(several, hot, "key"), ["key", "deal"]).select("key", "id", "n")

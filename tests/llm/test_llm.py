@@ -218,6 +218,43 @@ def test_minhash_templated_family(spark, monkeypatch):
     assert seen and max(n for n, _ in seen) <= 3  # the template's shingles stand in no prefix
 
 
+def test_minhash_rare_shingles_join_prefixes_only(spark, monkeypatch):
+    """Of a large family's sets only the prefixes are joined by shingle, and any two within the threshold share one of these, also
+    where shingles have to share counters."""
+    rng = random.Random(29)
+    template = [f"t{i}" for i in range(80)]
+    texts = []
+    for k in range(40):
+        own = [f"o{k}x{i}" for i in range(20)]
+        texts += [" ".join(template + own), " ".join(template + own[:-3] + [f"n{k}x{i}" for i in range(3)])]
+    rng.shuffle(texts)
+    docs = frame(spark, texts)
+    members = docs.select(F.col("doc_id").alias("id"))
+    sets = [minhash.Shingles(2)(t.text.encode()) for t in docs.orderBy("doc_id").collect()]
+    close = {(i, j) for j in range(len(sets)) for i in range(j) if minhash.linked(sets[i], sets[j], 80)}
+    assert len(close) >= 40
+    joined, plain = [], minhash.dealt
+
+    def watched(rows, *args):
+        joined.append(rows.count())
+        return plain(rows, *args)
+
+    monkeypatch.setattr(minhash, "dealt", watched)
+    prefixes = sum(len(s) - -(-80 * len(s) // 100) + 1 for s in sets)
+
+    def shared():
+        joined.clear()
+        by = {}
+        for r in minhash.rare_shingles(members, docs, 2, 80).collect():
+            by.setdefault(r.key, set()).add(r.id)
+        assert sum(joined) <= prefixes < sum(map(len, sets)) / 4
+        return {(i, j) for ids in by.values() for i in ids for j in ids if i < j}
+
+    assert shared() == close
+    monkeypatch.setattr(minhash, "SLOTS", 16)
+    assert shared() >= close
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (5, 4), (9, 9), (7, 3), (10, 11), (11, 12), (12, 13), (13, 14), (14, 10)]
     got = {r.node: r.component for r in minhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
