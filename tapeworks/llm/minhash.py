@@ -16,8 +16,8 @@
 5. Buckets that still hold several members after all rounds, which are hardly alike, give pairs whose signatures agree in
    `LEAST_AGREE` of the places, unless one component has both; these are compared on the full sets too. Members of buckets
    of more than `BLOCK` are not compared by bucket, which would cost the square of a large family that is alike but below the
-   threshold (templated text): they are put in order of their shingles' rarity among them, and two sets within the threshold
-   share one of their rarest shingles, the first size - ceil(percent * size / 100) + 1 (prefix filter). What a family has in
+   threshold (templated text): their shingles are put in order of rarity among them, by `SLOTS` counters, and two sets
+   within the threshold share one of their rarest shingles, the first size - ceil(percent * size / 100) + 1 (prefix filter). What a family has in
    common is frequent and stands in no prefix, so only sets that share something rare are compared.
 
 A pair at the threshold of 0.8 is missed with probability (1 - 0.8 ** ROWS) ** BANDS = 5e-8 in the bands; one left for step 5
@@ -48,7 +48,7 @@ BLOCK = 1024
 #: Jaccard distance from the hub within which a member leaves its bucket, and rounds of hubs.
 NEAR, STARS = 0.3, 2
 SEEKERS, HELD = 1024, 4096
-#: Counters of shingles in step 5, all of which reach the driver and each task (8 MB).
+#: Counters of shingles in step 5, twice so many, all of which reach the driver and each task (16 MB).
 SLOTS = 1 << 20
 MOST_WORDS = 400_000
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -280,8 +280,8 @@ def cross_pairs(members: DataFrame) -> DataFrame:
 
 def rare_shingles(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """key, id: the shingles in the prefixes of members' sets (column id), rarest first among these sets, that stand in the
-    prefixes of several. How rare a shingle is goes by `SLOTS` counters: two shingles may share one, but the order is the same for
-    all sets, which is all that an exact filter needs. Only the shingles in prefixes are shuffled one by one, no text."""
+    prefixes of several. How rare a shingle is goes by the lower of two of `SLOTS` counters each: two shingles may share them, but the
+    order is the same for all sets, which is all that an exact filter needs. Only the shingles in prefixes are shuffled one by one, no text."""
     import pyarrow as pa
 
     def shingled(batches):
@@ -291,16 +291,17 @@ def rare_shingles(members: DataFrame, docs: DataFrame, k: int, percent: int) ->
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
     def slots(key):
-        return (key & np.uint64(SLOTS - 1)).astype(np.int64)
+        return [(key >> np.uint64(32 * i) & np.uint64(SLOTS - 1)).astype(np.int64) + i * SLOTS for i in range(2)]
 
     def rows(names, *columns):
         for a in range(0, len(columns[0]), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in columns], names=names)
 
     def count(batches):
-        n = np.zeros(SLOTS, np.int64)
+        n = np.zeros(2 * SLOTS, np.int64)
         for batch in blocks(batches, 4_000_000, "shingles"):
-            n += np.bincount(slots(np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.uint64)), minlength=SLOTS)
+            for at in slots(np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.uint64)):
+                n += np.bincount(at, minlength=2 * SLOTS)
         slot = np.flatnonzero(n)
         yield from rows(["slot", "n"], slot, n[slot])
 
@@ -310,7 +311,7 @@ def rare_shingles(members: DataFrame, docs: DataFrame, k: int, percent: int) ->
             ids, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             for x, raw in zip(batch.column("id").to_pylist(), batch.column("shingles").to_pylist()):
                 key = np.frombuffer(raw, np.uint64)
-                many = n[slots(key)]
+                many = np.minimum(*(n[at] for at in slots(key)))
                 first = np.lexsort((key, many))[: len(key) + percent * len(key) // -100 + 1]
                 first = first[many[first] > 1]  # a count of 1: no other set has it
                 ids.append(np.full(len(first), x))
@@ -320,7 +321,7 @@ def rare_shingles(members: DataFrame, docs: DataFrame, k: int, percent: int) ->
     texts_of = docs.select(F.col("doc_id").alias("id"), "text").join(members.select("id").distinct().hint("merge"), "id")
     sets = written(texts_of.mapInArrow(shingled, "id long, shingles binary"))
     got = sets.select("shingles").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(SLOTS, np.int64)
+    counts = np.zeros(2 * SLOTS, np.int64)
     counts[got.column("slot").to_numpy()] = got.column("n").to_numpy()
     sent = sets.sparkSession.sparkContext.broadcast(counts)
     prefix = narrow(sets.mapInArrow(rarest, "key long, id long"))
