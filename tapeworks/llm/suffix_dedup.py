@@ -8,9 +8,10 @@ at equal places in them, wherever they stand.
 Dictionary and parse. Equal phrases (96 bits of two polynomial hashes) are one entry of the dictionary; the parse
 keeps where each stands. Every occurrence of an entry but the first in corpus order is a repeat as a whole. Only first
 occurrences whose trigger's bytes start several entries can hold a repeat of a part: their bytes are fetched, and each
-bucket of triggers sorts all windows of its entries as a suffix array (prefix doubling to LENGTH bytes). Windows of
-equal rank, taken in corpus order, give the other repeats. A trigger of more than `HOT` entries is not sorted in
-one bucket: its windows are dealt out by a 128-bit hash and compared by it.
+bucket of triggers sorts all windows of its entries as suffix arrays (prefix doubling to LENGTH bytes), each of whole
+triggers and of about `ARRAY` bytes, since windows of two triggers are never equal. Windows of equal rank, taken in corpus
+order, give the other repeats. A trigger of more than `HOT` entries is not sorted in one bucket: its windows are dealt out
+by a 128-bit hash and compared by it.
 
 As every window lies in one phrase, windows of different phrases meet in the dictionary's suffix arrays alone: the parse
 only needs the corpus order of its entries' places, not a suffix array of its own.
@@ -38,11 +39,13 @@ from tapeworks.llm.common import blocks, mixed, spark_hash, table, texts, writte
 LENGTH, GRAM = 100, 20
 SPAN = LENGTH - GRAM + 1
 HOT = 2000
-PIECE = 1 << 20
+PIECE = 1 << 18
+#: Bytes of phrases in one suffix array: what sorting it takes, some 80 times as much, doesn't hang on how many a bucket has.
+ARRAY = 1 << 18
 #: Bytes of text within which phrases are compared before they are dealt out.
 TOGETHER = 1 << 23
 #: Bytes of text for each bucket and for each group of documents.
-SHARE = 1 << 25
+SHARE = 1 << 23
 PLACE_BITS = 24
 _PLACE = np.uint64((1 << PLACE_BITS) - 1)
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -187,7 +190,7 @@ def group_of(doc: np.ndarray, groups: int) -> np.ndarray:
 
 
 def joined(col, kind: np.dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), kind)
+    return np.frombuffer(b"".join(x.as_buffer() for c in col.chunks for x in c), kind)
 
 
 def suffix_ranks(text: np.ndarray) -> np.ndarray:
@@ -206,6 +209,46 @@ def suffix_ranks(text: np.ndarray) -> np.ndarray:
     return rank[: len(text)]
 
 
+def together(rows: np.ndarray) -> list[slice]:
+    """Rows of phrases, in order of their triggers, cut into whole triggers of about ARRAY bytes."""
+    size = rows["n"].astype(np.int64) - 1 + LENGTH
+    begin = np.cumsum(size) - size
+    heads = np.flatnonzero(np.r_[True, np.diff(rows["gram"]) != 0][: len(rows)])
+    cuts = heads[np.r_[True, np.diff(begin[heads] // ARRAY) != 0][: len(heads)]]
+    return [slice(a, b) for a, b in zip(cuts, np.r_[cuts[1:], len(rows)])]
+
+
+def repeated_windows(rows: np.ndarray, body: np.ndarray) -> np.ndarray:
+    """Runs of the windows of phrases that are not the first of their bytes; body: the phrases' bytes, in the order of rows."""
+    size = rows["n"].astype(np.int64) - 1 + LENGTH
+    order = np.argsort(rows["gram"], kind="stable")
+    rows, begin, out = rows[order], (np.cumsum(size) - size)[order], [np.zeros(0, RUN)]
+    for some in together(rows):
+        r, n = rows[some], rows["n"][some].astype(np.int64)
+        size = n - 1 + LENGTH
+        first = np.cumsum(size) - size
+        rank = suffix_ranks(body[np.repeat(begin[some] - first, size) + np.arange(size.sum())])
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        rank = rank[np.repeat(first, n) + inner]
+        doc, crc, at = np.repeat(r["doc"], n), np.repeat(r["crc"], n), np.repeat(r["at"].astype(np.int64), n) + inner
+        order, again = repeats((rank,), doc, crc, at)
+        found = order[again]
+        out.append(runs(doc[found], crc[found], at[found], np.ones(len(found), np.int64)))
+    return np.concatenate(out)
+
+
+def prints(rows: np.ndarray, body: np.ndarray) -> np.ndarray:
+    """The 128-bit hashes and places of all windows of phrases; body: as above."""
+    n = rows["n"].astype(np.int64)
+    first = np.cumsum(n - 1 + LENGTH) - (n - 1 + LENGTH)
+    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    begin = np.repeat(first, n) + inner
+    p = np.zeros(len(begin), PRINT)
+    p["f1"], p["f2"] = (Hashes(body, x)(begin, begin + LENGTH) for x in BASES)
+    p["doc"], p["crc"], p["at"] = np.repeat(rows["doc"], n), np.repeat(rows["crc"], n), np.repeat(rows["at"].astype(np.int64), n) + inner
+    return p
+
+
 def _out(rows, names, types):
     import pyarrow as pa
 
@@ -262,23 +305,18 @@ def removed_runs(docs: DataFrame, buckets: int, groups: int) -> tuple[DataFrame,
         ask = joined(asked.column("rows"), ASK)
         asked_for = set(ask["doc"].tolist())
         texts_of = {(i, zlib.crc32(x)): x for i, x in zip(part.column("doc_id").to_pylist(), part.column("text").cast("binary").to_pylist()) if i in asked_for}
-        prints = []
         ask = ask[np.lexsort((ask["at"], ask["crc"], ask["doc"]))]
+
+        def body_of(rows):
+            return b"".join(texts_of[d, c][a : a + n - 1 + LENGTH] for d, c, a, n in zip(*(rows[x].tolist() for x in ("doc", "crc", "at", "n"))))
+
+        cold = ask[ask["hot"] == 0]
+        for b, rows in _by(cold[np.argsort(cold["bucket"], kind="stable")], "bucket"):
+            out.append((b, rows.tobytes(), body_of(rows)))
         hot = ask[ask["hot"] > 0]
-        ask = ask[ask["hot"] == 0]
-        order = np.argsort(ask["bucket"], kind="stable")
-        for b, rows in _by(ask[order], "bucket"):
-            body = b"".join(texts_of[d, c][a : a + n - 1 + LENGTH] for d, c, a, n in zip(*(rows[x].tolist() for x in ("doc", "crc", "at", "n"))))
-            out.append((b, rows.tobytes(), body))
-        for d, c, a, n in zip(*(hot[x].tolist() for x in ("doc", "crc", "at", "n"))):
-            buf = np.frombuffer(texts_of[d, c][a : a + n - 1 + LENGTH], np.uint8)
-            at = np.arange(n)
-            p = np.zeros(n, PRINT)
-            p["f1"], p["f2"] = (Hashes(buf, x)(at, at + LENGTH) for x in BASES)
-            p["doc"], p["crc"], p["at"] = d, c, a + at
-            prints.append(p)
-        if prints:
-            p = np.concatenate(prints)
+        most = ARRAY // (SPAN - 1 + LENGTH)
+        for i in range(0, len(hot), most):
+            p = prints(hot[i : i + most], np.frombuffer(body_of(hot[i : i + most]), np.uint8))
             b = (p["f1"] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(b, kind="stable")
             cuts = np.flatnonzero(np.r_[True, np.diff(b[order]) != 0])
@@ -290,17 +328,10 @@ def removed_runs(docs: DataFrame, buckets: int, groups: int) -> tuple[DataFrame,
             p = joined(part.column("rows"), PRINT)
             order, again = repeats((p["f1"], p["f2"]), p["doc"], p["crc"], p["at"])
             doc, crc, at = (p[x][order[again]] for x in ("doc", "crc", "at"))
+            found = runs(doc, crc, at, np.ones(len(doc), np.int64))
         else:
-            rows = joined(part.column("rows"), ASK)
-            rank = suffix_ranks(np.frombuffer(b"".join(part.column("body").to_pylist()), np.uint8))
-            n = rows["n"].astype(np.int64)
-            begin = np.cumsum(n - 1 + LENGTH) - (n - 1 + LENGTH)
-            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            rank = rank[np.repeat(begin, n) + inner]
-            doc, crc, at = np.repeat(rows["doc"], n), np.repeat(rows["crc"], n), np.repeat(rows["at"].astype(np.int64), n) + inner
-            order, again = repeats((rank,), doc, crc, at)
-            doc, crc, at = doc[order[again]], crc[order[again]], at[order[again]]
-        return _out(list(dealt("R", runs(doc, crc, at, np.ones(len(doc), np.int64)), groups)), ["kind", "grp", "rows"], [pa.string(), pa.int32(), pa.binary()])
+            found = repeated_windows(joined(part.column("rows"), ASK), joined(part.column("body"), np.dtype(np.uint8)))
+        return _out(list(dealt("R", found, groups)), ["kind", "grp", "rows"], [pa.string(), pa.int32(), pa.binary()])
 
     found = written(docs.mapInArrow(cut, "bucket int, rows binary").groupBy("bucket").applyInArrow(look_up, "kind string, grp int, rows binary"))
     asked = found.where("kind = 'Q'")

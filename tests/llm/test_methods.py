@@ -4,6 +4,7 @@ import collections
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -360,3 +361,31 @@ def test_latent_space_against_a_full_decomposition():
         D.PART_BYTES = whole
     assert ((a @ parts) ** 2).sum() > 0.97 * best
     assert D.latent_space([], items, idf).shape == space.shape
+
+
+def test_suffix_arrays_of_a_bucket(monkeypatch):
+    """A bucket of 4 MB is worked on in arrays of whole triggers, so in less than 80 MB (one array of all: over 300); what is found
+    doesn't hang on where they are cut."""
+    rng = np.random.default_rng(8)
+    pick = rng.integers(0, 12_000, 30_000)
+    rows = np.zeros(len(pick), suffix_dedup.ASK)
+    rows["doc"], rows["crc"], rows["at"], rows["n"], rows["gram"] = rng.permutation(len(pick)), 7, rng.integers(0, 9999, len(pick)), 41, pick // 4
+    stem = rng.integers(97, 123, (12_000, 140), dtype=np.uint8)
+    body = stem[pick]
+    body[np.arange(len(pick)), rng.integers(0, 140, len(pick))] = 65 + rng.integers(0, 26, len(pick))
+    tracemalloc.start()
+    found = suffix_dedup.repeated_windows(rows, body.ravel())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
+    first: dict[bytes, tuple[int, int]] = {}
+    windows = [((int(d), int(a) + i), x[i : i + 100].tobytes()) for d, a, x in zip(rows["doc"], rows["at"], body) for i in range(41)]
+    for place, w in windows:
+        first[w] = min(first.get(w, place), place)
+    want = {place for place, w in windows if first[w] != place}
+    assert want and {(int(r["doc"]), int(r["at"]) + i) for r in found for i in range(r["n"])} == want
+    cuts = []
+    for size in (1, 5000, 1 << 30):
+        monkeypatch.setattr(suffix_dedup, "ARRAY", size)
+        cuts.append(sorted(suffix_dedup.repeated_windows(rows[:9000], body[:9000].ravel()).tolist()))
+    assert cuts[0] and cuts[0] == cuts[1] == cuts[2]
